@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import quality
+from textloom.llm import quality, toxicity
 
 QUERIES = {
+    "op4_toxicity_boosted_trees": toxicity.op4_toxicity_boosted_trees,
     "op10_quality_discriminant": quality.op10_quality_discriminant,
 }
 
