@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import language, quality, toxicity
+from textloom.llm import language, packing, quality, toxicity
 
 QUERIES = {
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op7_language_compression": language.op7_language_compression,
     "op4_toxicity_boosted_trees": toxicity.op4_toxicity_boosted_trees,
     "op10_quality_discriminant": quality.op10_quality_discriminant,
