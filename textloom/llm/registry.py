@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from textloom.llm import language, packing, quality, toxicity
+from textloom.llm import language, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op9_warc_dictionary": warc.op9_warc_dictionary,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op7_language_compression": language.op7_language_compression,
     "op4_toxicity_boosted_trees": toxicity.op4_toxicity_boosted_trees,
     "op10_quality_discriminant": quality.op10_quality_discriminant,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc_dictionary": warc.ORACLE_SQL,
+}
