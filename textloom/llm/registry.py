@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import language, packing, quality, toxicity, warc
+from textloom.llm import exact_dedup, language, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op9_warc_dictionary": warc.op9_warc_dictionary,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op7_language_compression": language.op7_language_compression,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_warc_dictionary": warc.ORACLE_SQL,
 }
