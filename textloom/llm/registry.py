@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact_dedup, language, packing, quality, toxicity, warc
+from textloom.llm import decontaminate, exact_dedup, language, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op5_simhash_vantage": simhash.op5_simhash_vantage,
+    "op1_spaced_seed_decontamination": decontaminate.op1_spaced_seed_decontamination,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op9_warc_dictionary": warc.op9_warc_dictionary,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_spaced_seed_decontamination": decontaminate.ORACLE_SQL,
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_warc_dictionary": warc.ORACLE_SQL,
 }
