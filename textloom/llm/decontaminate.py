@@ -51,11 +51,13 @@ def positions(texts: DataFrame, masks: list[int]) -> DataFrame:
     """The columns of texts (with an array words), and mask, p (place of the window) and code, for each window of each mask."""
     names = texts.columns
     shortest = min(_shape(m)[0] for m in masks)
-    rows = texts.where(F.size("words") >= shortest).select(*names, F.explode(F.sequence(F.lit(0), F.size("words") - shortest)).alias("p"))
+    # not a filter: pushed below, that would split every text twice
+    places = F.when(F.size("words") >= shortest, F.sequence(F.lit(0), F.size("words") - shortest))
+    rows = texts.select(*names, F.explode(places).alias("p"))
     each = []
     for m in masks:
-        span, places = _shape(m)
-        code = _code(m, places, F.col("p"))
+        span, counted = _shape(m)
+        code = _code(m, counted, F.col("p"))
         each.append(F.struct(F.lit(m).alias("mask"), code.alias("code") if span == shortest else F.when(F.col("p") + span <= F.size("words"), code).alias("code")))
     out = rows.select(*names, "p", F.explode(F.array(*each)).alias("h")).select(*names, "p", F.col("h.mask").alias("mask"), F.col("h.code").alias("code"))
     return out.where(F.col("code").isNotNull())
@@ -80,19 +82,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_similarity: float = LE
     lengths = [r["n"] for r in benchmark.select(F.size(words_of()).alias("n")).where(F.col("n").between(SHORTEST, SPAN - 1)).distinct().collect()]
     masks = [*range(len(MASKS)), *(-n for n in sorted(lengths))]
     seed = seeds(benchmark, masks)
+    windows = positions(docs.select("doc_id", words_of().alias("words")), masks)
+    from_word = F.greatest(F.lit(0), F.col("p") - MARGIN)
     if seed.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        seed = F.broadcast(seed)
-    hits = positions(docs.select("doc_id", words_of().alias("words")), masks).join(seed, "code")
-    # both texts from the item's word low on, or from the document's start where that is later
-    shift = F.greatest(F.lit(0), F.col("at") - F.col("p") - F.col("low"))
-    start = F.col("p") - F.col("at") + F.col("low") + shift
-    pairs = hits.select(
-        "doc_id", "item_id", start.alias("doc_word"),
-        F.slice("item_words", shift + 1, F.size("item_words")).alias("a"), F.slice("words", start + 1, F.size("item_words") - shift).alias("b"),
-    )
-    compared = F.least(F.size("a"), F.size("b"))
-    agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
-    checked = pairs.select("doc_id", "item_id", "doc_word", agree.alias("matched"), compared.alias("compared")).where(F.col("matched") >= F.lit(least_similarity) * F.col("compared"))
+        hits = windows.withColumn("first", F.lit(0)).join(F.broadcast(seed), "code")
+    else:
+        # shuffled by code: each window carries the words around it, never its whole document
+        near = F.slice("words", from_word + 1, F.col("p") + SPAN + MARGIN - from_word)
+        hits = windows.select("doc_id", "p", "code", near.alias("words"), from_word.alias("first")).join(seed, "code")
+    # item word low + k stands opposite document word base + k; all of it compiles into the join, so that the
+    # words of a document are never copied for each of its positions
+    base = F.col("p") - F.col("at") + F.col("low") - F.col("first")
+    skip = F.greatest(F.lit(0), -base)
+    agree = F.lit(0)
+    for k in range(SPAN + 2 * MARGIN):
+        agree = agree + F.when(F.get("item_words", F.lit(k)) == F.get("words", base + k), 1).otherwise(0)
+    compared = F.least(F.size("item_words"), F.size("words") - base) - skip
+    checked = hits.select("doc_id", "item_id", (base + skip + F.col("first")).alias("doc_word"), agree.alias("matched"), compared.alias("compared")).where(F.col("matched") >= F.lit(least_similarity) * F.col("compared"))
     best = F.min(F.struct((-F.col("matched")).alias("less"), "compared", "doc_word"))
     return (
         checked.groupBy("doc_id", "item_id").agg(best.alias("best"))
