@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, exact_dedup, language, packing, quality, simhash, toxicity, warc
+from textloom.llm import decontaminate, exact_dedup, language, licenses, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op6_license_paragraphs": licenses.op6_license_paragraphs,
     "op5_simhash_vantage": simhash.op5_simhash_vantage,
     "op1_spaced_seed_decontamination": decontaminate.op1_spaced_seed_decontamination,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -15,8 +16,12 @@ QUERIES = {
     "op10_quality_discriminant": quality.op10_quality_discriminant,
 }
 
-ORACLES: dict[str, str] = {
-    "op1_spaced_seed_decontamination": decontaminate.ORACLE_SQL,
-    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
-    "op9_warc_dictionary": warc.ORACLE_SQL,
-}
+
+def oracles() -> dict[str, str]:
+    """Made when asked for: the licence query's SQL holds weights that are trained then."""
+    return {
+        "op1_spaced_seed_decontamination": decontaminate.ORACLE_SQL,
+        "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_license_paragraphs": licenses.oracle_sql(),
+        "op9_warc_dictionary": warc.ORACLE_SQL,
+    }
