@@ -27,6 +27,8 @@ from textloom.llm.common import new_path, saved, table
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a store that is done with its batch leaves the executor's disk; what it holds is in the shared checkpoint
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Bytes of thin rows that one micro-batch takes; the state carries over.
 BATCH_BYTES = 64 << 30
