@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, exact_dedup, language, licenses, packing, quality, simhash, toxicity, warc
+from textloom.llm import decontaminate, exact_dedup, language, licenses, packing, quality, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op6_license_paragraphs": licenses.op6_license_paragraphs,
     "op5_simhash_vantage": simhash.op5_simhash_vantage,
     "op1_spaced_seed_decontamination": decontaminate.op1_spaced_seed_decontamination,
