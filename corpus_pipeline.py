@@ -1,10 +1,68 @@
-"""The corpus pipeline: five filtering and packing stages over ``documents``."""
+"""The corpus pipeline: five stages from ``documents`` to packed token sequences.
+
+Each stage reads what its predecessor kept, stored as Parquet, and its decisions take
+effect: rejected documents are gone for all later stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import decontaminate, exact_dedup, packing, quality, simhash
+from textloom.llm.common import saved, table
+
+#: Scores from here on pass.
+LEAST_QUALITY = 0.5
+#: Words of a shingle, differing bits and blocks of the shards of the near-duplicate stage (see the README).
+NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS = 3, 3, 3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model, column="__quality").where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; rows without an id stay."""
+    groups = simhash.near_groups(docs, words=NEAR_WORDS, radius=NEAR_BITS, blocks=NEAR_BLOCKS)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, packed into sequences."""
+    return packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: A trained model decides the first stage, which SQL can't express; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs, f"pipeline-{name}")
+    return docs

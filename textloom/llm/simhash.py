@@ -77,8 +77,9 @@ def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def _masks(blocks: int) -> list[int]:
+    """Disjoint blocks of bits that cover all 64; where they don't come out even, the last is longer."""
     size = 64 // blocks
-    return [((1 << size) - 1) << (size * k) for k in range(blocks)]
+    return [((1 << (size if k < blocks - 1 else 64 - size * k)) - 1) << (size * k) for k in range(blocks)]
 
 
 def _signed(x: int) -> int:
@@ -144,7 +145,7 @@ def shard_rows(prints: DataFrame, radius: int, blocks: int = OUTER_BLOCKS, shard
     side 0: a row of the part at home; 1: the same shard's row in another column of the grid; 2: a visitor.
     """
     reach = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius]
-    width = 64 // blocks + 1
+    width = 64 - 64 // blocks * (blocks - 1) + 1
     far = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(m)))).cast("int") for m in _masks(blocks)]
     steps = F.array(*(F.struct(*(F.lit(x).alias(f"s{k}") for k, x in enumerate(d))) for d in reach))
     spread = prints.select("fp", *(f.alias(f"d{k}") for k, f in enumerate(far))).select("*", F.explode(steps).alias("s"))
@@ -213,11 +214,11 @@ def shard_links(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = OUTER_BLOCKS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links of fingerprints) of every row of docs."""
     prints = saved(with_fingerprint(docs, words), "fingerprints")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    links = saved(shard_links(shard_rows(distinct.select("fp"), radius), radius), "fingerprint-links")
+    links = saved(shard_links(shard_rows(distinct.select("fp"), radius, blocks), radius), "fingerprint-links")
     if links.isEmpty():
         return prints.join(distinct.withColumnRenamed("first_id", "component_id"), "fp").select("doc_id", "fp", "component_id")
     roots = components(links).withColumnRenamed("v", "fp")
