@@ -14,8 +14,9 @@ from textloom.llm.common import saved, table
 
 #: Scores from here on pass.
 LEAST_QUALITY = 0.5
-#: Words of a shingle, differing bits and blocks of the shards of the near-duplicate stage (see the README).
-NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS = 3, 3, 3
+#: Near duplicates: fingerprints of single words, which a near copy hardly changes, find the candidates exactly; those of
+#: five-word shingles decide: 64 bits that differ in NEAR_BITS stand for a similarity of about 0.8 (see the README).
+CANDIDATE_BITS, NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS = 3, 5, 10, 3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; rows without an id stay."""
-    groups = simhash.near_groups(docs, words=NEAR_WORDS, radius=NEAR_BITS, blocks=NEAR_BLOCKS)
+    groups = simhash.near_groups(docs, words=1, radius=CANDIDATE_BITS, blocks=NEAR_BLOCKS, check_words=NEAR_WORDS, check_radius=NEAR_BITS)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 

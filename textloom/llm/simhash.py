@@ -61,19 +61,22 @@ def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of whole texts."""
+def with_fingerprint(docs: DataFrame, words: int = 3, check_words: int | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and check (that of shingles of check_words, else 0) of whole texts."""
 
     def run(batches):
         for b in batches:
-            found = []
+            found = {words: [], check_words: []}
             for _, _, raw, off in text_blocks(b.column("text"), 1 << 20):
                 data = raw.tobytes()
-                found.append(fingerprints([shingle_hashes(data[i:j], words) for i, j in zip(off[:-1], off[1:], strict=True)]))
-            fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                for n, parts in found.items():
+                    if n is not None:
+                        parts.append(fingerprints([shingle_hashes(data[i:j], n) for i, j in zip(off[:-1], off[1:], strict=True)]))
+            fp = np.concatenate(found[words] or [np.zeros(0, np.uint64)])
+            check = np.zeros(len(fp), np.uint64) if check_words is None else np.concatenate(found[check_words] or [fp])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "fp", "check"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, check long")
 
 
 def _masks(blocks: int) -> list[int]:
@@ -115,10 +118,10 @@ class Forest:
         self.label = parent[self.label]
 
 
-def link_within(fp: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: int, forest: Forest, level: int = 0, slack: int | None = None) -> None:
+def link_within(fp: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: int, forest: Forest, level: int = 0, slack: int | None = None, check: np.ndarray | None = None, check_radius: int = 64) -> None:
     """Unite rows and cols (places in fp) that differ in radius bits at most, by a vantage-point tree over blocks of bits.
 
-    slack: what the blocks seen so far leave of the radius.
+    check: second fingerprints, which must differ in check_radius bits at most. slack: what the blocks seen so far leave of the radius.
     """
     if not len(rows) or not len(cols):
         return
@@ -128,6 +131,9 @@ def link_within(fp: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: int,
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
             i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[cols][None, :]) <= radius)
+            if check is not None:
+                near = np.bitwise_count(check[part[i]] ^ check[cols[j]]) <= check_radius
+                i, j = i[near], j[near]
             forest.unite(part[i], cols[j])
         return
     mask = np.uint64(_masks(INNER_BLOCKS)[level])
@@ -136,11 +142,11 @@ def link_within(fp: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: int,
         mine = rows[far_rows == d]
         for e in range(max(0, int(d) - slack), int(d) + slack + 1):
             theirs = cols[far_cols == e]
-            link_within(fp, mine, theirs, radius, forest, level + 1, slack - abs(int(d) - e))
+            link_within(fp, mine, theirs, radius, forest, level + 1, slack - abs(int(d) - e), check, check_radius)
 
 
 def shard_rows(prints: DataFrame, radius: int, blocks: int = OUTER_BLOCKS, shard_limit: int = SHARD_ROWS) -> DataFrame:
-    """(shard, part, other, side, fp): every distinct fingerprint at home and in the later shards within reach.
+    """(shard, part, other, side, fp, check): every distinct fingerprint at home and in the later shards within reach.
 
     side 0: a row of the part at home; 1: the same shard's row in another column of the grid; 2: a visitor.
     """
@@ -148,7 +154,7 @@ def shard_rows(prints: DataFrame, radius: int, blocks: int = OUTER_BLOCKS, shard
     width = 64 - 64 // blocks * (blocks - 1) + 1
     far = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(m)))).cast("int") for m in _masks(blocks)]
     steps = F.array(*(F.struct(*(F.lit(x).alias(f"s{k}") for k, x in enumerate(d))) for d in reach))
-    spread = prints.select("fp", *(f.alias(f"d{k}") for k, f in enumerate(far))).select("*", F.explode(steps).alias("s"))
+    spread = prints.select("fp", "check", *(f.alias(f"d{k}") for k, f in enumerate(far))).select("*", F.explode(steps).alias("s"))
     inside = [(F.col(f"d{k}") + F.col(f"s.s{k}")).between(0, width - 1) for k in range(blocks)]
     shard, home = F.lit(0).cast("long"), F.lit(0).cast("long")
     for k in range(blocks):
@@ -157,34 +163,37 @@ def shard_rows(prints: DataFrame, radius: int, blocks: int = OUTER_BLOCKS, shard
     ok = inside[0]
     for c in inside[1:]:
         ok = ok & c
-    rows = spread.where(ok).select("fp", shard.alias("shard"), home.alias("home")).where("shard >= home").select("shard", "fp", (F.col("shard") == F.col("home")).alias("own"))
+    rows = spread.where(ok).select("fp", "check", shard.alias("shard"), home.alias("home")).where("shard >= home").select("shard", "fp", "check", (F.col("shard") == F.col("home")).alias("own"))
     sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own_n")).where("own_n > 0")
     large = saved(sizes.where(F.col("n") > shard_limit).select("shard", F.ceil(F.col("n") / shard_limit).cast("int").alias("parts")), "large-shards")
     one = F.lit(0)
     if large.isEmpty():
-        return rows.select("shard", one.alias("part"), one.alias("other"), F.when(F.col("own"), 0).otherwise(2).alias("side"), "fp")
+        return rows.select("shard", one.alias("part"), one.alias("other"), F.when(F.col("own"), 0).otherwise(2).alias("side"), "fp", "check")
     dealt = rows.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64("fp", "check"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("mine", mine)
     grid = F.sequence(F.lit(0), F.col("parts") - 1)
     as_row = F.transform(grid, lambda j: F.struct(F.col("mine").alias("part"), j.alias("other"), F.lit(0).alias("side")))
     as_col = F.transform(F.filter(grid, lambda i: i < F.col("mine")), lambda i: F.struct(i.alias("part"), F.col("mine").alias("other"), F.lit(1).alias("side")))
     visit = F.transform(grid, lambda i: F.struct(i.alias("part"), F.col("mine").alias("other"), F.lit(2).alias("side")))
-    return dealt.select("shard", "fp", F.explode(F.when(F.col("own"), F.concat(as_row, as_col)).otherwise(visit)).alias("g")).select("shard", "g.part", "g.other", "g.side", "fp")
+    return dealt.select("shard", "fp", "check", F.explode(F.when(F.col("own"), F.concat(as_row, as_col)).otherwise(visit)).alias("g")).select("shard", "g.part", "g.other", "g.side", "fp", "check")
 
 
-def shard_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) of fingerprints: a spanning forest of each shard's exact links."""
+def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -> DataFrame:
+    """Links (a, a_check, b, b_check) of fingerprints: a spanning forest of each shard's exact links."""
 
-    def solve(side: np.ndarray, fp: np.ndarray, diagonal: bool):
-        fp, forest = fp.view(np.uint64), Forest(len(fp))
+    def solve(side: np.ndarray, fp: np.ndarray, check: np.ndarray, diagonal: bool):
+        fp, check, forest = fp.view(np.uint64), check.view(np.uint64), Forest(len(fp))
+        how = {} if check_radius is None else {"check": check, "check_radius": check_radius}
         rows_, cols, visitors = np.flatnonzero(side == 0), np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         if diagonal:
-            link_within(fp, rows_, rows_, radius, forest)
-        link_within(fp, rows_, np.concatenate([cols, visitors]), radius, forest)
+            link_within(fp, rows_, rows_, radius, forest, **how)
+        link_within(fp, rows_, np.concatenate([cols, visitors]), radius, forest, **how)
         linked = np.flatnonzero(forest.label != np.arange(len(fp)))
-        a, b = fp[linked].view(np.int64), fp[forest.label[linked]].view(np.int64)
-        return a[a != b], b[a != b]
+        to = forest.label[linked]
+        found = [fp[linked], check[linked], fp[to], check[to]]
+        apart = (found[0] != found[2]) | (found[1] != found[3])
+        return [x[apart].view(np.int64) for x in found]
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
@@ -192,11 +201,11 @@ def shard_links(rows: DataFrame, radius: int) -> DataFrame:
 
         def flush():
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            a, b = solve(cols[0], cols[1], key[1] == key[2])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found = solve(*cols, key[1] == key[2])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "a_check", "b", "b_check"])
 
         for batch in batches:
-            shard, part, other, side, fp = (batch.column(c).to_numpy() for c in ("shard", "part", "other", "side", "fp"))
+            shard, part, other, side, fp, check = (batch.column(c).to_numpy() for c in ("shard", "part", "other", "side", "fp", "check"))
             if not len(shard):
                 continue
             new = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1]))))
@@ -206,26 +215,32 @@ def shard_links(rows: DataFrame, radius: int) -> DataFrame:
                     yield flush()
                     held = []
                 key = this
-                held.append((side[i:j], fp[i:j]))
+                held.append((side[i:j], fp[i:j], check[i:j]))
         if held:
             yield flush()
 
     keys = ["shard", "part", "other"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, a_check long, b long, b_check long")
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = OUTER_BLOCKS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links of fingerprints) of every row of docs."""
-    prints = saved(with_fingerprint(docs, words), "fingerprints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    links = saved(shard_links(shard_rows(distinct.select("fp"), radius, blocks), radius), "fingerprint-links")
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = OUTER_BLOCKS, check_words: int | None = None, check_radius: int | None = None) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable by links of fingerprints) of every row of docs.
+
+    With check_words a link also needs fingerprints of shingles of that many words that differ in check_radius bits at most.
+    """
+    prints = saved(with_fingerprint(docs, words, check_words), "fingerprints")
+    both = ["fp", "check"]
+    distinct = saved(prints.groupBy(*both).agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    links = saved(shard_links(shard_rows(distinct.select(*both), radius, blocks), radius, check_radius), "fingerprint-links")
     if links.isEmpty():
-        return prints.join(distinct.withColumnRenamed("first_id", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    roots = components(links).withColumnRenamed("v", "fp")
-    named = roots.join(distinct, "fp")
+        return prints.join(distinct.withColumnRenamed("first_id", "component_id"), both).select("doc_id", "fp", "component_id")
+    # without a check the fingerprint alone is the vertex; with it, both
+    vertex = (lambda a, b: F.col(a)) if check_words is None else (lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
+    roots = components(links.select(vertex("a", "a_check").alias("a"), vertex("b", "b_check").alias("b")))
+    named = roots.join(distinct.withColumn("v", vertex("fp", "check")), "v")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    groups = saved(distinct.join(named.join(least, "root").select("fp", "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "fingerprint-groups")
-    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = saved(distinct.join(named.join(least, "root").select(*both, "least_id"), both, "left").select(*both, F.coalesce("least_id", "first_id").alias("component_id")), "fingerprint-groups")
+    return prints.join(groups, both).select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
