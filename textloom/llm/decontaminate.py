@@ -38,6 +38,11 @@ def words_of(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
+def word_codes(text: str = "text") -> Column:
+    """A 64-bit hash of each word: windows are hashed, and words compared, as longs."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
 def _code(mask: int, places, at: Column) -> Column:
     return F.xxhash64(F.lit(mask), *(F.get("words", at + F.lit(k)) for k in places))
 
@@ -48,7 +53,7 @@ def _shape(mask: int) -> tuple[int, tuple[int, ...]]:
 
 
 def positions(texts: DataFrame, masks: list[int]) -> DataFrame:
-    """The columns of texts (with an array words), and mask, p (place of the window) and code, for each window of each mask."""
+    """The columns of texts (with an array words of their codes), and mask, p (place of the window) and code, for each window of each mask."""
     names = texts.columns
     shortest = min(_shape(m)[0] for m in masks)
     # not a filter: pushed below, that would split every text twice
@@ -65,7 +70,7 @@ def positions(texts: DataFrame, masks: list[int]) -> DataFrame:
 
 def seeds(benchmark: DataFrame, masks: list[int]) -> DataFrame:
     """code, item_id, at (place of the window in the item), low (of the words to compare) and item_words."""
-    items = benchmark.select("item_id", words_of().alias("words"))
+    items = benchmark.select("item_id", word_codes().alias("words"))
     found = positions(items, masks)
     # a mask for a whole short item takes items of just that length
     found = found.where((F.col("mask") >= 0) | (F.size("words") == -F.col("mask")))
@@ -82,7 +87,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_similarity: float = LE
     lengths = [r["n"] for r in benchmark.select(F.size(words_of()).alias("n")).where(F.col("n").between(SHORTEST, SPAN - 1)).distinct().collect()]
     masks = [*range(len(MASKS)), *(-n for n in sorted(lengths))]
     seed = seeds(benchmark, masks)
-    windows = positions(docs.select("doc_id", words_of().alias("words")), masks)
+    windows = positions(docs.select("doc_id", word_codes().alias("words")), masks)
     from_word = F.greatest(F.lit(0), F.col("p") - MARGIN)
     if seed.limit(broadcast_limit + 1).count() <= broadcast_limit:
         hits = windows.withColumn("first", F.lit(0)).join(F.broadcast(seed), "code")
