@@ -56,16 +56,30 @@ class CharQueues:
         self.held = 0
 
     def pop(self, char: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """What the queue holds, part by part; backwards in the other direction."""
+        """What the queue holds: what is in memory together, each file by itself; backwards in the other direction."""
         parts, self.parts[char] = self.parts[char], []
-        for p in reversed(parts) if backwards else parts:
-            if isinstance(p, str):
-                both = np.load(p)
-                os.remove(p)
-                p = (both[0], both[1])
-            else:
-                self.held -= len(p[0])
-            yield (p[0][::-1], p[1][::-1]) if backwards else p
+        if backwards:
+            parts.reverse()
+        turn = slice(None, None, -1 if backwards else 1)
+        live: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            both = live[0] if len(live) == 1 else tuple(np.concatenate(c) for c in zip(*live, strict=True))
+            live.clear()
+            self.held -= len(both[0])
+            return both
+
+        for p in parts:
+            if not isinstance(p, str):
+                live.append((p[0][turn], p[1][turn]))
+                continue
+            if live:
+                yield together()
+            both = np.load(p)
+            os.remove(p)
+            yield both[0][turn], both[1][turn]
+        if live:
+            yield together()
 
     def close(self) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)
@@ -131,14 +145,15 @@ def name_substrings(text: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> t
 
 def doubled(names: np.ndarray, reach: int) -> np.ndarray:
     """Order of the suffixes of names by their first ``reach`` characters, by doubling."""
-    rank, step, n = names.astype(np.int64), 1, len(names)
+    n = len(names)
+    rank, step = names.astype(np.int64), 1
     while True:
-        ahead = np.full(n, -1, np.int64)
-        ahead[: max(0, n - step)] = rank[step:]
-        order = np.lexsort((ahead, rank))
-        new = np.concatenate(([False], (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])))
+        pair = rank * (n + 1)
+        pair[: max(0, n - step)] += rank[step:] + 1
+        order = np.argsort(pair)
+        ranked = pair[order]
         fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(new)
+        fresh[order] = np.cumsum(np.concatenate(([False], ranked[1:] != ranked[:-1])))
         step *= 2
         if step >= reach or fresh[order[-1]] == n - 1:
             return order
@@ -194,7 +209,7 @@ def sorted_suffixes(text: np.ndarray, cap: int, folder: str, memory_rows: int =
     elif distinct <= MAX_ALPHABET:
         order = np.concatenate([s for s, _ in sorted_suffixes(names, cap, folder, memory_rows)])[::-1]
     else:
-        order = doubled(names, cap)
+        order = doubled(names, cap // 2 + 2)  # a substring is two characters at least before the next
     seeds = starts[order]
     seed_prefix = np.concatenate(([0], common_prefix(text, seeds[:-1], seeds[1:], cap)))
     alphabet = int(text.max()) + 1
