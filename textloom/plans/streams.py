@@ -1 +1,56 @@
-"""Queries; see registry."""
+"""Streaming queries over the tables as file streams; their oracles are the batch results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.plans.ordered import _tumbling
+from textloom.plans.registry import query
+from textloom.streaming.run import coalesced_previews, drained, stream_of
+from textloom.streaming.segments import ingest_stream
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
+def stream_upsert(spark, sf_dir):
+    """The latest row of each key, updated in place."""
+    ev = stream_of(spark, sf_dir, "events")
+    s = ev.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "event_type", F.col("m.ts").alias("ts"), F.col("m.event_id").alias("event_id"))
+    out = drained(s, "update", "upsert")
+    return out.groupBy("user_id", "event_type").agg(F.max_by("event_id", "batch").alias("event_id"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark, sf_dir):
+    return drained(stream_of(spark, sf_dir, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "append", "dedupe").drop("batch")
+
+
+@query(_tumbling(86400))
+def stream_windows(spark, sf_dir):
+    """Event-time windows with a watermark, in update mode: the last update of each window."""
+    ev = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days")
+    w = ev.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+    s = w.select(F.unix_seconds("window.start").alias("window_start"), "event_type", "events", "total")
+    last = F.max_by(F.struct("events", "total"), "batch")
+    return drained(s, "update", "windows").groupBy("window_start", "event_type").agg(last.alias("l")).select("window_start", "event_type", "l.events", F.round("l.total", 6).alias("total"))
+
+
+@query("""WITH k AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 5 <> 3), c AS (SELECT k.conv_id, turn, copy FROM k, unnest([0, 1]) AS u(copy) WHERE copy = 0 OR turn % 4 = 1),
+r AS (SELECT *, (SELECT count(*) FROM k o WHERE o.conv_id = c.conv_id AND o.turn < c.turn) = turn AS reached FROM c)
+SELECT conv_id AS session, turn * 2 + copy AS arrival, turn AS sequence, CASE WHEN NOT reached THEN 'refused' WHEN copy = 1 THEN 'replayed' ELSE 'accepted' END AS outcome FROM r""")
+def stream_ingest(spark, sf_dir):
+    """Turns as packets, with some lost and some sent twice."""
+    t = stream_of(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 3")
+    copies = F.when(F.col("turn") % 4 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    t = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("sequence"), F.explode(copies).alias("copy"))
+    packets = t.select("session", (F.col("sequence") * 2 + F.col("copy")).alias("arrival"), "sequence", F.lit(False).alias("final"))
+    return drained(ingest_stream(packets), "append", "ingest").drop("batch")
+
+
+@query("""WITH q AS (SELECT event_id AS arrival, user_id AS id, event_type = 'purchase' AS final FROM events)
+SELECT arrival, id, final FROM q WHERE final UNION ALL SELECT max(arrival), id, false FROM q WHERE NOT final AND id NOT IN (SELECT id FROM q WHERE final) GROUP BY id""")
+def preview_queue(spark, sf_dir):
+    """Queued previews give way to finals and to later previews of their id."""
+    q = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("arrival"), F.col("user_id").alias("id"), (F.col("event_type") == "purchase").alias("final"))
+    return coalesced_previews(q)
+
+
