@@ -87,8 +87,8 @@ def repeated_grams(tokens: DataFrame, key: str, copies: int = 10, most_words: in
     sizes = F.explode(F.sequence(F.lit(1), F.lit(most_words)))
     spread = tokens.select(key, "words", sizes.alias("size")).where(F.size("words") >= F.col("size") * copies)
     equal = F.expr("filter(transform(sequence(0, size(words) - size - 1), i -> if(words[i] = words[i + size], i, null)), i -> i is not null)")
-    places = spread.select(key, "size", F.posexplode(equal).alias("k", "i"))
-    runs = places.groupBy(key, "size", (F.col("i") - F.col("k")).alias("island")).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    places = spread.select(key, "size", F.posexplode(equal).alias("__k", "__i"))
+    runs = places.groupBy(key, "size", (F.col("__i") - F.col("__k")).alias("island")).agg(F.min("__i").alias("first"), F.count(F.lit(1)).alias("n"))
     # n matches from place f: at each of the first starts f .. f + rest there are floor(n / size) + 1 copies
     full = runs.select(key, "size", "first", (F.floor(F.col("n") / F.col("size")) + 1).alias("copies"), (F.col("n") % F.col("size")).alias("rest")).where(F.col("copies") >= copies)
     starts = full.select(key, "size", "copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.least("rest", F.col("size") - 1))).alias("start"))
