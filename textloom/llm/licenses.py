@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table
+from textloom.llm.common import saved, table
 
 #: Names of licences, and sentences of their usual notices.
 NAMES = {
@@ -185,10 +185,10 @@ def _templates_sql() -> str:
     return "SELECT * FROM " + _values(rows, ["template", "family", "gram"])
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, paragraph (number from 0), words of every line of docs."""
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """row_id, doc_id, paragraph (number from 0), words of every line of rows (row_id, doc_id, text)."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.posexplode(lines).alias("paragraph", "line"))
+    rows = rows.select("row_id", "doc_id", F.posexplode(lines).alias("paragraph", "line"))
     return rows.select("row_id", "doc_id", "paragraph", F.array_remove(F.split(F.lower("line"), "[^\\p{L}\\p{N}]+"), "").alias("words"))
 
 
@@ -211,27 +211,27 @@ def scan(docs: DataFrame, least_probability: float = LEAST_PROBABILITY, least_ov
     _, offsets, temperature = model()
     weights = spark.sql(_weights_sql())
     keys = ["row_id", "doc_id", "paragraph"]
-    parts = paragraphs(docs)
-    known = _gram_rows(parts, keys).join(F.broadcast(weights), "gram")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    known = _gram_rows(paragraphs(rows), keys).join(F.broadcast(weights), "gram")
     sums = known.groupBy(*keys).agg(*((F.sum(f"w_{c}") + o).alias(f"m_{c}") for c, o in zip(CLASSES, offsets, strict=True)))
     rest = F.greatest(*(F.col(f"m_{f}") for f in FAMILIES))
     family = F.coalesce(*(F.when(F.col(f"m_{f}") == F.col("best"), f) for f in FAMILIES))
     scored = sums.withColumn("best", rest).withColumn("top", F.greatest("best", "m_unknown"))
-    # where the unknown class is on top, the best family has less than half of the probability
-    found = (
+    found = saved(
         scored.withColumns({"family": family, "probability": F.round(_probability(temperature), 4), "margin": F.col("best") - F.col("m_unknown")})
-        .where((F.col("margin") > 0) & (F.col("probability") >= least_probability)).select(*keys, "family", "margin", "probability")
+        .where((F.col("margin") > 0) & (F.col("probability") >= least_probability)).select(*keys, "family", "margin", "probability"),
+        "license-paragraphs",
     )
-    # the words of those paragraphs again, and the notices that share n-grams with them
+    # the texts that hold such paragraphs again (only those rows' texts pass the join), and the notices that share n-grams with them
     notices = spark.sql(_templates_sql())
     sizes = notices.groupBy("template").agg(F.count(F.lit(1)).alias("n_template"))
-    again = parts.join(found, keys).select(*keys, "family", "margin", "probability", "words")
-    own = _gram_rows(again, [*keys, "family", "margin", "probability"]).where(F.col("gram").isNotNull()).distinct()
+    again = paragraphs(rows.join(found.select("row_id").distinct(), "row_id", "left_semi")).join(found.drop("doc_id"), ["row_id", "paragraph"]).select(*keys, "family", "margin", "probability", "words")
+    own = saved(_gram_rows(again, [*keys, "family", "margin", "probability"]).where(F.col("gram").isNotNull()).distinct(), "license-grams")
     n_own = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_own"))
     shared = own.join(F.broadcast(notices), ["family", "gram"]).groupBy(*keys, "family", "margin", "probability", "template").agg(F.count(F.lit(1)).alias("n_shared"))
     overlap = F.col("n_shared") / F.least("n_own", "n_template")
-    best = shared.join(F.broadcast(sizes), "template").join(n_own, keys).groupBy(*keys, "family", "margin", "probability").agg(F.max(overlap).alias("overlap"))
-    full = found.join(best.select(*keys, "overlap"), keys, "left")
+    best = shared.join(F.broadcast(sizes), "template").join(n_own.drop("doc_id"), ["row_id", "paragraph"]).groupBy(*keys, "family", "margin", "probability").agg(F.max(overlap).alias("overlap"))
+    full = found.join(best.select("row_id", "paragraph", "overlap"), ["row_id", "paragraph"], "left")
     share = F.round(F.coalesce("overlap", F.lit(0.0)), 4)
     return full.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.col("margin").cast("long").alias("margin"), "probability", share.alias("overlap"), (share >= least_overlap).alias("confirmed"))
 
