@@ -395,8 +395,8 @@ def order_shards(pieces: DataFrame, length: int, shards: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, shards: int | None = None) -> DataFrame:
     """doc, row and spans (a list of packed SPAN arrays) of the documents (doc, row, text) that lose something."""
     if shards is None:
-        # of the order of the input's own partitions, so that a shard is no larger than what a task reads
-        shards = max(16, 2 * docs.rdd.getNumPartitions())
+        # a multiple of the input's own partitions: a shard is of the order of what a task reads
+        shards = max(16, 4 * docs.rdd.getNumPartitions())
     met = saved(meet_by_key(cut_documents(docs, length, gram, shards), shards, hot_segments), "segments")
     wanted = met.where(F.col("kind") != REMOVED)
     hidden = order_shards(fetch(docs, wanted, length, shards), length, shards)
