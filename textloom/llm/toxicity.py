@@ -4,9 +4,9 @@ Features of a whole text: densities of a lexicon of insults (written plainly, ob
 look-alike characters, inner punctuation, repeated or masked letters, or spelt letter by
 letter) and of a lexicon learnt from the labels (words, and beginnings of words, that mark
 toxic documents), how near second-person words stand to the hits, and rates of capitals,
-punctuation and obfuscation. A half of the rows learnt from gives the lexicon, a quarter
-grows the trees on histograms of the features, and on the last quarter pool adjacent
-violators turn their margins into probabilities.
+punctuation and obfuscation. A half of the rows learnt from gives the lexicon, the other
+half grows the trees on histograms of the features; pool adjacent violators turn margins
+into probabilities, on margins of rows that the trees behind them have not seen.
 
 Defined cases: null text counts as empty and has all features zero; repeated ids give a
 row each; extra columns are ignored; without labels of both classes every score is the
@@ -283,7 +283,7 @@ def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, np.clip(np.maximum.accumulate(v), 0, 1)
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, least: float = 2.0) -> Boosted:
+def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 0.5, least: float = 0.5) -> Boosted:
     """Newton boosting of the logistic loss on histograms of quantile bins."""
     p0 = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Boosted(float(np.log(p0 / (1 - p0))), depth)
@@ -329,18 +329,21 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: fl
 
 
 def part_of(doc_id: np.ndarray) -> np.ndarray:
-    """0 and 1: rows that give the lexicon; 2: that grow the trees; 3: that calibrate."""
+    """0 and 1: rows that give the lexicon; 2 and 3: the two folds of those that grow and calibrate the trees."""
     return ((doc_id.astype(np.uint64) * np.uint64(2654435761)) >> np.uint64(20)) % np.uint64(4)
 
 
 def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Boosted | float:
-    """Trees on the rows where fold is false, calibration on the others; the share of label 1 where a class is missing."""
+    """Trees on all rows, calibrated on margins that trees from the other fold give; the share of label 1 where a class is missing."""
     if len(y) < 8 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
+    model = grow(x, y)
     if y[fold].sum() in (0, fold.sum()) or y[~fold].sum() in (0, (~fold).sum()):
-        return grow(x, y)
-    model = grow(x[~fold], y[~fold])
-    model.steps_x, model.steps_y = isotonic(model.margin(x[fold]), y[fold])
+        return model
+    unseen = np.zeros(len(y))
+    for part in (fold, ~fold):
+        unseen[part] = grow(x[~part], y[~part]).margin(x[part])
+    model.steps_x, model.steps_y = isotonic(unseen, y)
     return model
 
 
