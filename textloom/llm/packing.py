@@ -36,7 +36,7 @@ from textloom.llm.docstats import PLACES
 
 CAPACITY = 2048
 #: Characters that a worker looks at together, and words that it remembers at most.
-BLOCK_CHARS, MAX_WORDS = 1 << 20, 1 << 20
+BLOCK_CHARS, MAX_WORDS = 1 << 19, 1 << 20
 
 SPACE, OTHER, NUMBER, LETTER = range(4)
 
