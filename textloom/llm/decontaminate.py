@@ -95,15 +95,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_similarity: float = LE
         # shuffled by code: each window carries the words around it, never its whole document
         near = F.slice("words", from_word + 1, F.col("p") + SPAN + MARGIN - from_word)
         hits = windows.select("doc_id", "p", "code", near.alias("words"), from_word.alias("first")).join(seed, "code")
-    # item word low + k stands opposite document word base + k; all of it compiles into the join, so that the
-    # words of a document are never copied for each of its positions
+    # both sides' words around the hit: from the item's word low on, or from the document's start where that is later
     base = F.col("p") - F.col("at") + F.col("low") - F.col("first")
     skip = F.greatest(F.lit(0), -base)
-    agree = F.lit(0)
-    for k in range(SPAN + 2 * MARGIN):
-        agree = agree + F.when(F.get("item_words", F.lit(k)) == F.get("words", base + k), 1).otherwise(0)
-    compared = F.least(F.size("item_words"), F.size("words") - base) - skip
-    checked = hits.select("doc_id", "item_id", (base + skip + F.col("first")).alias("doc_word"), agree.alias("matched"), compared.alias("compared")).where(F.col("matched") >= F.lit(least_similarity) * F.col("compared"))
+    size = F.size("item_words") - skip
+    around = hits.select("doc_id", "item_id", (base + skip + F.col("first")).alias("doc_word"), (F.col("p") - F.col("at")).alias("diagonal"), "low", F.slice("item_words", skip + 1, size).alias("a"), F.slice("words", base + skip + 1, size).alias("b"))
+    # one row for each diagonal, place and wording; the comparison stays above this aggregate, so that the join's loop is small
+    # enough to be compiled and no document's words are copied for its positions
+    once = around.groupBy("doc_id", "item_id", "doc_word", "diagonal", "low", F.xxhash64("b").alias("wording")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    compared = F.least(F.size("a"), F.size("b"))
+    agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
+    checked = once.select("doc_id", "item_id", "doc_word", agree.alias("matched"), compared.alias("compared")).where(F.col("matched") >= F.lit(least_similarity) * F.col("compared"))
     best = F.min(F.struct((-F.col("matched")).alias("less"), "compared", "doc_word"))
     return (
         checked.groupBy("doc_id", "item_id").agg(best.alias("best"))
