@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, exact_dedup, packing, quality, simhash
+from textloom.llm import decontaminate, exact_dedup, near_copies, packing, quality
 from textloom.llm.common import saved, table
 
 #: Scores from here on pass.
 LEAST_QUALITY = 0.5
-#: Near duplicates: fingerprints of single words, which a near copy hardly changes, find the candidates exactly; those of
-#: five-word shingles decide: 64 bits that differ in NEAR_BITS stand for a similarity of about 0.8 (see the README).
-CANDIDATE_BITS, NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS = 3, 5, 10, 3
+#: The rule by fingerprints that near copies were found by before; test_pipeline still compares with it.
+CANDIDATE_BITS, NEAR_WORDS, NEAR_BITS = 3, 5, 10
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +30,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; rows without an id stay."""
-    groups = simhash.near_groups(docs, words=1, radius=CANDIDATE_BITS, blocks=NEAR_BLOCKS, check_words=NEAR_WORDS, check_radius=NEAR_BITS)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    """One document of each group of near copies (0.8 of five-word shingles), that with the smallest id; rows without an id stay."""
+    gone = near_copies.near_components(docs).where("v <> root").select(F.col("v").alias("__id"))
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
