@@ -25,9 +25,9 @@ def collapse_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), "\\s+", " "))
 
 
-def error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Edits per reference character; 0 where both are empty, null where only the reference is."""
-    edits = F.levenshtein(reference, hypothesis)
+def error_rate(reference: Column, hypothesis: Column, edits: Column | None = None) -> Column:
+    """Edits (counted here unless given) per reference character; 0 where both are empty, null where only the reference is."""
+    edits = F.levenshtein(reference, hypothesis) if edits is None else edits
     return F.when(F.length(reference) > 0, edits / F.length(reference)).when(F.length(hypothesis) == 0, F.lit(0.0))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as X
+from textloom.operators import align as A
 from textloom.operators import ordered as O  # noqa: E741
 from textloom.plans.registry import query, table
 
@@ -66,15 +67,15 @@ r AS (SELECT *, levenshtein(ref, hyp) AS edits FROM p WHERE ref IS NOT NULL)"""
 
 
 def _turn_pairs(spark, sf_dir):
-    norm = X.normalize_fast(F.substring("text", 1, 200))
+    norm = X.normalize_fast("text")
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", norm.alias("hyp"))
-    return rows.withColumn("ref", F.lag("hyp").over(w)).where("ref IS NOT NULL").withColumn("edits", F.levenshtein("ref", "hyp").cast("long"))
+    return rows.withColumn("ref", F.lag("hyp").over(w)).where("ref IS NOT NULL").withColumn("edits", A.edit_distance_udf("ref", "hyp"))
 
 
 @query(_TURNS + " SELECT conv_id, turn, CAST(edits AS BIGINT) AS edits, CASE WHEN length(ref) > 0 THEN round(edits / length(ref), 6) WHEN length(hyp) = 0 THEN 0.0 END AS cer FROM r")
 def turn_error_rate(spark, sf_dir):
-    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", "edits", F.round(X.error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", "edits", F.round(X.error_rate(F.col("ref"), F.col("hyp"), F.col("edits")), 6).alias("cer"))
 
 
 @query(_TURNS.replace("SELECT conv_id, turn, translate", "SELECT conv_id, turn, role, translate").replace("SELECT conv_id, turn, lag", "SELECT conv_id, turn, role, lag") + """
