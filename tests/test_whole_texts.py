@@ -48,3 +48,14 @@ def test_error_rates(spark, sf):
     assert {k: r.cer for k, r in got.items()} == {k: round(want[k] / len(texts[k - 1]), 6) for k in want}
     by_role = {r.role: (r.edits, r.reference_chars) for r in registry.QUERIES["micro_average_by_role"](spark, where).collect()}
     assert by_role == {"bot": (want[1], len(texts[0])), "user": (want[2], len(texts[1]))}
+
+
+def test_differences_and_coverage(spark, sf):
+    where, turns, _ = sf
+    got: dict[int, list] = {}
+    for r in registry.QUERIES["token_diff"](spark, where).collect():
+        got.setdefault(r.turn, []).append(r)
+    for k in (1, 2):
+        assert "".join(r.original for r in got[k]) == turns[k - 1][3] and "".join(r.other for r in got[k]) == turns[k][3]
+    share = {r.turn: r.coverage for r in registry.QUERIES["match_coverage"](spark, where).collect()}
+    assert share == {k: A.coverage(turns[k - 1][3], turns[k][3]) for k in (1, 2)}
