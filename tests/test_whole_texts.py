@@ -59,3 +59,12 @@ def test_differences_and_coverage(spark, sf):
         assert "".join(r.original for r in got[k]) == turns[k - 1][3] and "".join(r.other for r in got[k]) == turns[k][3]
     share = {r.turn: r.coverage for r in registry.QUERIES["match_coverage"](spark, where).collect()}
     assert share == {k: A.coverage(turns[k - 1][3], turns[k][3]) for k in (1, 2)}
+
+
+def test_documents_and_turns_go_through_whole(spark, sf):
+    where, turns, docs = sf
+    assert {r.doc_id: list(r.parts) for r in registry.QUERIES["highlight_split"](spark, where).collect()} == {i: t.split("the") for i, t in docs}
+    safe = {r.doc_id: r.payload for r in registry.QUERIES["html_safe_payload"](spark, where).collect()}
+    assert safe[1] == '{"text":"' + "a" * 600 + ' the end \\u0026 \\u003cb\\u003e\\u003c/script\\u003e"}' and safe[2].count("the x") == 200
+    joined = registry.QUERIES["ordered_concat"](spark, where).collect()
+    assert [r.transcript for r in joined] == ["\n".join(f"[{t[2]}] {t[3]}" for t in turns)]

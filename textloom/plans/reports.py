@@ -91,7 +91,7 @@ def weighted_mean(spark, sf_dir):
 
 @query("""SELECT conv_id, string_agg('[' || role || '] ' || substr(text, 1, 40), chr(10) ORDER BY turn) AS transcript, list_sort(list_distinct(list(role))) AS roles FROM conversations GROUP BY conv_id""")
 def ordered_concat(spark, sf_dir):
-    line = F.concat(F.lit("["), F.col("role"), F.lit("] "), F.substring("text", 1, 40))
+    line = F.concat(F.lit("["), F.col("role"), F.lit("] "), "text")
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"), F.sort_array(F.collect_set("role")).alias("roles"))
     return g.select("conv_id", F.array_join("l.line", "\n").alias("transcript"), "roles")
 

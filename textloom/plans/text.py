@@ -121,10 +121,10 @@ def clock_format(spark, sf_dir):
 
 @query("""SELECT doc_id, replace(replace(replace('{"text":"' || left(regexp_replace(text, '[^a-zA-Z<>& ]', '', 'g'), 80) || '</script>"}', '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') AS payload FROM documents""".replace("\\\\", "\\"))
 def html_safe_payload(spark, sf_dir):
-    short = F.concat(F.left(F.regexp_replace("text", "[^a-zA-Z<>& ]", ""), F.lit(80)), F.lit("</script>"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.html_safe_json(F.to_json(F.struct(short.alias("text")), {"escapeForwardSlash": "false"})).alias("payload"))
+    letters = F.concat(F.regexp_replace("text", "[^a-zA-Z<>& ]", ""), F.lit("</script>"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.html_safe_json(F.to_json(F.struct(letters.alias("text")), {"escapeForwardSlash": "false"})).alias("payload"))
 
 
 @query("""SELECT doc_id, string_split(left(text, 500), 'the') AS parts FROM documents""")
 def highlight_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.highlight(F.substring("text", 1, 500), "the").alias("parts"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.highlight("text", "the").alias("parts"))
