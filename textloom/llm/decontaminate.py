@@ -100,9 +100,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_similarity: float = LE
     skip = F.greatest(F.lit(0), -base)
     size = F.size("item_words") - skip
     around = hits.select("doc_id", "item_id", (base + skip + F.col("first")).alias("doc_word"), (F.col("p") - F.col("at")).alias("diagonal"), "low", F.slice("item_words", skip + 1, size).alias("a"), F.slice("words", base + skip + 1, size).alias("b"))
-    # one row for each diagonal, place and wording; the comparison stays above this aggregate, so that the join's loop is small
+    # one row for each diagonal, place and wording of both sides; the comparison stays above this aggregate, so that the join's loop is small
     # enough to be compiled and no document's words are copied for its positions
-    once = around.groupBy("doc_id", "item_id", "doc_word", "diagonal", "low", F.xxhash64("b").alias("wording")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    once = around.groupBy("doc_id", "item_id", "doc_word", "diagonal", "low", F.xxhash64("a").alias("item_wording"), F.xxhash64("b").alias("wording")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
     compared = F.least(F.size("a"), F.size("b"))
     agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
     checked = once.select("doc_id", "item_id", "doc_word", agree.alias("matched"), compared.alias("compared")).where(F.col("matched") >= F.lit(least_similarity) * F.col("compared"))
