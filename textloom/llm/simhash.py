@@ -1,14 +1,19 @@
 """SimHash near-duplicates through vantage-point trees.
 
-Fingerprints of 64 bits come from word shingles hashed with XXH64. Distinct fingerprints
-are partitioned by their Hamming distances to a vantage point, taken over disjoint blocks
-of bits: the tuple of those distances is a shard. The triangle inequality holds for each
-block and, as blocks are disjoint, for their sum, so two fingerprints within the radius
-lie in shards whose distances differ by no more than the radius in all. Each fingerprint
-visits the later shards within that reach; inside a shard a vantage-point tree over finer
-blocks prunes branches by the same bounds and leaves are compared exactly. Shards with very
-many rows are dealt out as a grid of parts, each pair of parts meeting once. A shard hands
-on a spanning forest of its links, never all pairs; components follow from ``graph``.
+Fingerprints of 64 bits come from word shingles hashed with XXH64. A vantage point is chosen
+from a sample of them, the one with the widest spread of distances. Distinct fingerprints
+are partitioned by their Hamming distances to it, taken over disjoint blocks
+of bits: the tuple of those distances is a path down the tree, its end a shard. The triangle
+inequality holds for each block and, as blocks are disjoint, for their sum, so two fingerprints
+within the radius lie in shards whose distances differ by no more than the radius in all.
+Each fingerprint visits the shards within that reach, and no others.
+
+The tree is as deep as the data need: the first depth is chosen by the number of fingerprints and the
+sample's shares of shards, and shards that are still over ``leaf_rows`` go down another level, with every block halved. At the
+last level a block is one bit and a shard one fingerprint, so the descent ends; nothing is dealt
+out as a grid of pairs. Inside a shard a tree over finer blocks prunes branches by the same bounds
+and leaves are compared exactly. A shard hands on a spanning forest of its links, never
+all pairs; components follow from ``graph``.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero, which
 links like any other; fewer words than a shingle make one shingle; null ids never name
@@ -18,8 +23,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import partial
-from itertools import product
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,12 @@ from textloom.llm.common import saved, table, text_blocks
 from textloom.llm.graph import components
 
 SEED = 42
-#: Blocks of bits for the shards, and for the trees inside them.
-OUTER_BLOCKS, INNER_BLOCKS = 4, 8
-#: Rows of a shard above which it is dealt out in parts, and comparisons of a leaf.
-SHARD_ROWS, LEAF = 20_000, 1 << 16
+#: Blocks of bits at each depth of the shards, and for the trees inside them.
+DEPTHS, INNER_BLOCKS = (2, 4, 8, 16, 32, 64), 8
+#: Rows of a shard above which it goes down a level, and comparisons of a leaf inside it.
+LEAF_ROWS, LEAF = 20_000, 1 << 16
+#: Distinct fingerprints that the vantage point and the first depth are chosen from, and candidates for it.
+SAMPLE_ROWS, CANDIDATES = 20_000, 64
 
 
 def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
@@ -46,6 +52,32 @@ def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64)
 
 
+#: Sixteen bits as sixteen numbers of two bytes, four to a word: four words' worth of counts are added at once.
+_LANES = np.ascontiguousarray(np.unpackbits(np.arange(1 << 16, dtype="<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little").astype("<u2")).view("<u8")
+#: Codes that are counted before the two bytes could run over; weights are 57 at most.
+_LANE_CODES = 1024
+
+
+def majority(codes: np.ndarray, weights: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A word for each run of codes from begin on: its bits are set where codes of over half the weight (57 each at most) have them."""
+    size = np.diff(np.append(begin, len(codes)))
+    parts = -(-size // _LANE_CODES)
+    place = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    cuts = np.repeat(begin, parts) + place * _LANE_CODES
+    short, heavy, counts = codes.view("<u2"), weights.astype(np.uint64)[:, None], np.empty((len(cuts), 16), np.uint64)
+    ends, at = np.append(cuts[1:], len(codes)), 0
+    while at < len(cuts):  # a piece at a time that stays in the cache
+        to = max(at + 1, int(np.searchsorted(ends, cuts[at] + 4 * _LANE_CODES, "right")))
+        i, j = int(cuts[at]), int(ends[to - 1])
+        lanes = np.take(_LANES, short[4 * i : 4 * j], axis=0).reshape(j - i, 16)
+        lanes *= heavy[i:j]
+        counts[at:to] = np.add.reduceat(lanes, cuts[at:to] - i, axis=0)
+        at = to
+    have = np.add.reduceat(counts.view("<u2").astype(np.uint32), np.cumsum(parts) - parts, axis=0).astype(np.int64)
+    whole = np.add.reduceat(weights.astype(np.int64), begin)
+    return np.packbits(2 * have > whole[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     """A fingerprint for each array of hashes: a bit is set if over half of them have it; of no hashes zero."""
     out = np.zeros(len(hashes), np.uint64)
@@ -53,30 +85,22 @@ def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     full = np.flatnonzero(sizes)
     if len(full):
         joined = np.concatenate([hashes[i] for i in full])
-        starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-        bits = np.unpackbits(joined.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
-        most = (2 * counts.astype(np.int64) > sizes[full][:, None]).astype(np.uint8)
-        out[full] = np.packbits(most, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        out[full] = majority(joined, np.ones(len(joined), np.uint8), np.cumsum(sizes[full]) - sizes[full])
     return out
 
 
-def with_fingerprint(docs: DataFrame, words: int = 3, check_words: int | None = None) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) and check (that of shingles of check_words, else 0) of whole texts."""
+def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a long) of whole texts."""
 
     def run(batches):
         for b in batches:
-            found = {words: [], check_words: []}
+            found = [np.zeros(0, np.uint64)]
             for _, _, raw, off in text_blocks(b.column("text"), 1 << 20):
                 data = raw.tobytes()
-                for n, parts in found.items():
-                    if n is not None:
-                        parts.append(fingerprints([shingle_hashes(data[i:j], n) for i, j in zip(off[:-1], off[1:], strict=True)]))
-            fp = np.concatenate(found[words] or [np.zeros(0, np.uint64)])
-            check = np.zeros(len(fp), np.uint64) if check_words is None else np.concatenate(found[check_words] or [fp])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64))], ["doc_id", "fp", "check"])
+                found.append(fingerprints([shingle_hashes(data[i:j], words) for i, j in zip(off[:-1], off[1:], strict=True)]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, check long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def _masks(blocks: int) -> list[int]:
@@ -85,10 +109,6 @@ def _masks(blocks: int) -> list[int]:
     return [((1 << (size if k < blocks - 1 else 64 - size * k)) - 1) << (size * k) for k in range(blocks)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 class Forest:
     """Labels of the rows of a shard; rows with one label are linked."""
 
@@ -136,8 +156,8 @@ def link_within(fp: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: int,
                 i, j = i[near], j[near]
             forest.unite(part[i], cols[j])
         return
-    mask = np.uint64(_masks(INNER_BLOCKS)[level])
-    far_rows, far_cols = np.bitwise_count(fp[rows] & mask), np.bitwise_count(fp[cols] & mask)
+    mask, vantage = np.uint64(_masks(INNER_BLOCKS)[level]), fp[rows[0]]
+    far_rows, far_cols = np.bitwise_count((fp[rows] ^ vantage) & mask), np.bitwise_count((fp[cols] ^ vantage) & mask)
     for d in np.unique(far_rows):
         mine = rows[far_rows == d]
         for e in range(max(0, int(d) - slack), int(d) + slack + 1):
@@ -145,50 +165,146 @@ def link_within(fp: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: int,
             link_within(fp, mine, theirs, radius, forest, level + 1, slack - abs(int(d) - e), check, check_radius)
 
 
-def shard_rows(prints: DataFrame, radius: int, blocks: int = OUTER_BLOCKS, shard_limit: int = SHARD_ROWS) -> DataFrame:
-    """(shard, part, other, side, fp, check): every distinct fingerprint at home and in the later shards within reach.
+def choose_vantage(sample: np.ndarray) -> int:
+    """Of the sample's first words the one whose distances to the sample spread the most over the coarsest blocks; zero without a sample."""
+    if not len(sample):
+        return 0
+    spread = lambda v: sum(float(np.var(np.bitwise_count((sample ^ v) & np.uint64(m)))) for m in _masks(DEPTHS[0]))
+    return int(max(sample[:CANDIDATES], key=lambda v: (spread(v), -int(v))))
 
-    side 0: a row of the part at home; 1: the same shard's row in another column of the grid; 2: a visitor.
-    """
-    reach = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius]
-    width = 64 - 64 // blocks * (blocks - 1) + 1
-    far = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(m)))).cast("int") for m in _masks(blocks)]
-    steps = F.array(*(F.struct(*(F.lit(x).alias(f"s{k}") for k, x in enumerate(d))) for d in reach))
-    spread = prints.select("fp", "check", *(f.alias(f"d{k}") for k, f in enumerate(far))).select("*", F.explode(steps).alias("s"))
-    inside = [(F.col(f"d{k}") + F.col(f"s.s{k}")).between(0, width - 1) for k in range(blocks)]
-    shard, home = F.lit(0).cast("long"), F.lit(0).cast("long")
+
+def distances(x: np.ndarray, blocks: int) -> np.ndarray:
+    """A row for each word: its distance from the vantage point (x: the words with that taken away) in each block."""
+    return np.column_stack([np.bitwise_count(x & np.uint64(m)) for m in _masks(blocks)]).astype(np.int64)
+
+
+def path_of(far: np.ndarray, blocks: int) -> np.ndarray:
+    """The distances as one number; with one bit a block the number wraps to the word itself."""
+    path = np.zeros(len(far), np.uint64)
     for k in range(blocks):
-        shard = shard * width + F.col(f"d{k}") + F.col(f"s.s{k}")
-        home = home * width + F.col(f"d{k}")
-    ok = inside[0]
-    for c in inside[1:]:
-        ok = ok & c
-    rows = spread.where(ok).select("fp", "check", shard.alias("shard"), home.alias("home")).where("shard >= home").select("shard", "fp", "check", (F.col("shard") == F.col("home")).alias("own"))
-    sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own_n")).where("own_n > 0")
-    large = saved(sizes.where(F.col("n") > shard_limit).select("shard", F.ceil(F.col("n") / shard_limit).cast("int").alias("parts")), "large-shards")
-    one = F.lit(0)
-    if large.isEmpty():
-        return rows.select("shard", one.alias("part"), one.alias("other"), F.when(F.col("own"), 0).otherwise(2).alias("side"), "fp", "check")
-    dealt = rows.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp", "check"), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("mine", mine)
-    grid = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_row = F.transform(grid, lambda j: F.struct(F.col("mine").alias("part"), j.alias("other"), F.lit(0).alias("side")))
-    as_col = F.transform(F.filter(grid, lambda i: i < F.col("mine")), lambda i: F.struct(i.alias("part"), F.col("mine").alias("other"), F.lit(1).alias("side")))
-    visit = F.transform(grid, lambda i: F.struct(i.alias("part"), F.col("mine").alias("other"), F.lit(2).alias("side")))
-    return dealt.select("shard", "fp", "check", F.explode(F.when(F.col("own"), F.concat(as_row, as_col)).otherwise(visit)).alias("g")).select("shard", "g.part", "g.other", "g.side", "fp", "check")
+        path = path * np.uint64(64 // blocks + (blocks < 64)) + far[:, k].astype(np.uint64) if blocks < 64 else path | (far[:, k].astype(np.uint64) << np.uint64(k))
+    return path
+
+
+@cache
+def moves(blocks: int, radius: int) -> np.ndarray:
+    """All changes of distances, a row each, that two words within the radius can show: radius in all at most."""
+    found = {(0,) * blocks}
+    edge = set(found)
+    for _ in range(radius):
+        edge = {(*m[:k], m[k] + d, *m[k + 1 :]) for m in edge for k in range(blocks) for d in (-1, 1)}
+        edge = {m for m in edge if sum(map(abs, m)) <= radius}
+        found |= edge
+    return np.array(sorted(found), np.int64).reshape(-1, blocks)
+
+
+@cache
+def finer_moves(blocks: int, radius: int) -> dict[tuple[int, ...], np.ndarray]:
+    """The moves over blocks by what they come to over half as many."""
+    out: dict[tuple[int, ...], list[np.ndarray]] = {}
+    for m in moves(blocks, radius):
+        out.setdefault(tuple(int(v) for v in m.reshape(-1, 2).sum(1)), []).append(m)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def reached(x: np.ndarray, blocks: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, whether it is the row's home) of every shard that a row lies in or has to visit; of two shards the later is visited."""
+    far, most = distances(x, blocks), 64 // blocks
+    home = path_of(far, blocks)
+    rows, shards = [np.arange(len(x))], [home]
+    for m in moves(blocks, radius):
+        to = far + m
+        inside = np.flatnonzero(((to >= 0) & (to <= most)).all(1)) if m.any() else np.zeros(0, np.int64)
+        path = path_of(to[inside], blocks)
+        later = path > home[inside]
+        rows.append(inside[later])
+        shards.append(path[later])
+    row, shard = np.concatenate(rows), np.concatenate(shards)
+    return row, shard, np.arange(len(row)) < len(x)
+
+
+def reached_below(x: np.ndarray, shard: np.ndarray, blocks: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for rows that are in, or visit, a shard over half as many blocks, inside that shard."""
+    far, most, coarse = distances(x, blocks), 64 // blocks, blocks // 2
+    width, rest = np.uint64(64 // coarse + 1), shard.copy()
+    change = np.zeros((len(x), coarse), np.int64)
+    for k in range(coarse - 1, -1, -1):
+        change[:, k] = (rest % width).astype(np.int64) - far[:, 2 * k] - far[:, 2 * k + 1]
+        rest //= width
+    kinds, which = np.unique(change, axis=0, return_inverse=True)
+    rows, shards, own = [], [], []
+    for k, kind in enumerate(kinds):
+        mine = np.flatnonzero(which.ravel() == k)
+        for m in finer_moves(blocks, radius).get(tuple(int(v) for v in kind), ()):
+            to = far[mine] + m
+            inside = ((to >= 0) & (to <= most)).all(1)
+            rows.append(mine[inside])
+            shards.append(path_of(to[inside], blocks))
+            own.append(np.full(int(inside.sum()), not m.any()))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return np.concatenate(rows), np.concatenate(shards), np.concatenate(own)
+
+
+SHARD_SCHEMA = "space int, shard long, own boolean, fp long, check long"
+
+
+def _dealt(rows: DataFrame, vantage: int, blocks: int, radius: int, below: bool) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 13):
+                part = b.slice(at, 1 << 13)
+                x = part.column("fp").to_numpy().view(np.uint64) ^ np.uint64(vantage)
+                row, shard, own = reached_below(x, part.column("shard").to_numpy().view(np.uint64), blocks, radius) if below else reached(x, blocks, radius)
+                take = lambda c: part.column(c).take(pa.array(row))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([take("space"), pa.array(shard.view(np.int64)), pa.array(own), take("fp"), take("check")], ["space", "shard", "own", "fp", "check"])
+
+    return rows.mapInArrow(run, SHARD_SCHEMA)
+
+
+def first_depth(sample: np.ndarray, n: int, radius: int, leaf_rows: int) -> int:
+    """The first depth at which the shard of a random one of n rows is expected to hold a leaf's rows at most, visitors included."""
+    for k, blocks in enumerate(DEPTHS[:-1]):
+        _, size = np.unique(path_of(distances(sample, blocks), blocks), return_counts=True)
+        share = float((size * (size - 1)).sum()) / max(1, len(sample) * (len(sample) - 1))
+        if n * share * (len(moves(blocks, radius)) + 1) / 2 <= leaf_rows:
+            return k
+    return len(DEPTHS) - 2
+
+
+def vantage_links(prints: DataFrame, radius: int, check_radius: int | None = None, leaf_rows: int = LEAF_ROWS, depth: int | None = None) -> DataFrame:
+    """Links (space, a, a_check, b, b_check) of distinct prints (space, fp, check): within each space a forest of all links within the radius, at least."""
+    # SAMPLE_ROWS rows of 16 bytes at most
+    sample = prints.orderBy(F.xxhash64("space", "fp", "check"), "space", "fp", "check").select("fp").limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    vantage = choose_vantage(sample)
+    if depth is None:
+        depth = first_depth(sample ^ np.uint64(vantage), prints.count(), radius, leaf_rows)
+    rows, found = _dealt(prints, vantage, DEPTHS[depth], radius, False), []
+    while True:
+        rows = saved(rows, "shard-rows")
+        last = depth == len(DEPTHS) - 1
+        sizes = rows.groupBy("space", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).select("space", "shard")
+        large = None if last else saved(sizes, "large-shards")
+        if large is None or large.isEmpty():
+            found.append(shard_links(rows, radius, check_radius))
+            break
+        found.append(shard_links(rows.join(large, ["space", "shard"], "left_anti"), radius, check_radius))
+        depth += 1
+        rows = _dealt(rows.join(large, ["space", "shard"], "left_semi").select("space", "shard", "fp", "check"), vantage, DEPTHS[depth], radius, True)
+    return saved(reduce(DataFrame.unionByName, found), "fingerprint-links")
 
 
 def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -> DataFrame:
-    """Links (a, a_check, b, b_check) of fingerprints: a spanning forest of each shard's exact links."""
+    """Links (space, a, a_check, b, b_check) of fingerprints: a spanning forest of each shard's exact links."""
 
-    def solve(side: np.ndarray, fp: np.ndarray, check: np.ndarray, diagonal: bool):
+    def solve(own: np.ndarray, fp: np.ndarray, check: np.ndarray):
         fp, check, forest = fp.view(np.uint64), check.view(np.uint64), Forest(len(fp))
         how = {} if check_radius is None else {"check": check, "check_radius": check_radius}
-        rows_, cols, visitors = np.flatnonzero(side == 0), np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        if diagonal:
-            link_within(fp, rows_, rows_, radius, forest, **how)
-        link_within(fp, rows_, np.concatenate([cols, visitors]), radius, forest, **how)
+        home, visitors = np.flatnonzero(own), np.flatnonzero(~own)
+        if not len(home) or len(fp) < 2:
+            return None
+        link_within(fp, home, home, radius, forest, **how)
+        link_within(fp, home, visitors, radius, forest, **how)
         linked = np.flatnonzero(forest.label != np.arange(len(fp)))
         to = forest.label[linked]
         found = [fp[linked], check[linked], fp[to], check[to]]
@@ -200,47 +316,43 @@ def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -
         key = None
 
         def flush():
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            found = solve(*cols, key[1] == key[2])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "a_check", "b", "b_check"])
+            found = solve(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            if found is not None and len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), key[0], np.int32)), *(pa.array(x) for x in found)], ["space", "a", "a_check", "b", "b_check"])
 
         for batch in batches:
-            shard, part, other, side, fp, check = (batch.column(c).to_numpy() for c in ("shard", "part", "other", "side", "fp", "check"))
+            space, shard, fp, check = (batch.column(c).to_numpy() for c in ("space", "shard", "fp", "check"))
+            own = batch.column("own").to_numpy(zero_copy_only=False)
             if not len(shard):
                 continue
-            new = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1]))))
+            new = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (space[1:] != space[:-1]))))
             for i, j in zip(new, np.append(new[1:], len(shard)), strict=True):
-                this = (shard[i], part[i], other[i])
+                this = (space[i], shard[i])
                 if held and this != key:
-                    yield flush()
+                    yield from flush()
                     held = []
                 key = this
-                held.append((side[i:j], fp[i:j], check[i:j]))
+                held.append((own[i:j], fp[i:j], check[i:j]))
         if held:
-            yield flush()
-
-    keys = ["shard", "part", "other"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, a_check long, b long, b_check long")
+            yield from flush()
 
+    keys = ["space", "shard"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "space int, a long, a_check long, b long, b_check long")
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = OUTER_BLOCKS, check_words: int | None = None, check_radius: int | None = None) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable by links of fingerprints) of every row of docs.
 
-    With check_words a link also needs fingerprints of shingles of that many words that differ in check_radius bits at most.
-    """
-    prints = saved(with_fingerprint(docs, words, check_words), "fingerprints")
-    both = ["fp", "check"]
-    distinct = saved(prints.groupBy(*both).agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    links = saved(shard_links(shard_rows(distinct.select(*both), radius, blocks), radius, check_radius), "fingerprint-links")
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, leaf_rows: int = LEAF_ROWS, depth: int | None = None) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable by links of fingerprints) of every row of docs."""
+    prints = saved(with_fingerprint(docs, words), "fingerprints")
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    links = vantage_links(distinct.select(F.lit(0).alias("space"), "fp", F.lit(0).cast("long").alias("check")), radius, None, leaf_rows, depth)
     if links.isEmpty():
-        return prints.join(distinct.withColumnRenamed("first_id", "component_id"), both).select("doc_id", "fp", "component_id")
-    # without a check the fingerprint alone is the vertex; with it, both
-    vertex = (lambda a, b: F.col(a)) if check_words is None else (lambda a, b: F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
-    roots = components(links.select(vertex("a", "a_check").alias("a"), vertex("b", "b_check").alias("b")))
-    named = roots.join(distinct.withColumn("v", vertex("fp", "check")), "v")
+        return prints.join(distinct.withColumnRenamed("first_id", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    roots = components(links.select("a", "b"))
+    named = roots.join(distinct.withColumnRenamed("fp", "v"), "v")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    groups = saved(distinct.join(named.join(least, "root").select(*both, "least_id"), both, "left").select(*both, F.coalesce("least_id", "first_id").alias("component_id")), "fingerprint-groups")
-    return prints.join(groups, both).select("doc_id", "fp", "component_id")
+    named = named.join(least, "root").select(F.col("v").alias("fp"), "least_id")
+    groups = saved(distinct.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "fingerprint-groups")
+    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
