@@ -14,8 +14,6 @@ from textloom.llm.common import saved, table
 
 #: Scores from here on pass.
 LEAST_QUALITY = 0.5
-#: The rule by fingerprints that near copies were found by before; test_pipeline still compares with it.
-CANDIDATE_BITS, NEAR_WORDS, NEAR_BITS = 3, 5, 10
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
