@@ -69,11 +69,11 @@ def test_simhash(docs, empty):
 
 
 def test_decontaminate(spark, docs, empty):
-    bench = spark.createDataFrame([(1, "hello there you idiot"), (2, None), (3, ""), (4, "word and more word and more word"), (5, "Hello there you old idiot")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "hello there you idiot"), (2, None), (3, ""), (4, "word and more word and more word"), (5, "Hello there you old idiot"), (6, "hello there you fine idiot friend")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
-    assert got == {(4, 4), (5, 4)}  # four words never match, and one of five differs
+    assert got == {(3, 1), (None, 1), (4, 4), (5, 4)}  # words in their places count: in item 5 and 6 too few are
     assert decontaminate.overlaps(empty, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
-    assert decontaminate.clean(docs, bench).count() == len(ROWS) - 2
+    assert decontaminate.clean(docs, bench).count() == len(ROWS) - 4  # a null id names no row
 
 
 def test_packing(docs, empty):

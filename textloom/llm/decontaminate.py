@@ -1,39 +1,54 @@
 """Benchmark decontamination with spaced seeds, in DataFrame operations only.
 
-A seed is a fixed mask over SPAN consecutive words of which only some count, so a hit
-survives substituted words at the ignored places. Every word position of every document is
-hashed under each mask and joined to the hashes of the benchmark items; around each hit, on
-its diagonal, up to SPAN + 2 * MARGIN words of item and document are compared one by one,
-and the hit stands if at least ``least_similarity`` of them (SPAN words or more, or the
-whole of a shorter item) agree.
-
-Words are runs of letters and digits in lower case. Benchmark items of 5 to SPAN - 1 words
-are sought as a whole, with all words counting; shorter ones never match.
-
-The seeds go to every task only if they are few (``broadcast_limit`` rows, counted first);
+Text and item overlap where some run of SPAN consecutive words of the item (the whole of a
+shorter item) stands in the text with LEAST_SIMILARITY of its words or more unchanged, each in
+its place. A seed is a fixed mask over such a run of which only some words count, so a hit
+survives substituted words at the ignored places; every word position of every document is
+hashed under each mask and joined to the hashes of the benchmark's items. The masks leave out
+every pair of places of SPAN, and every single place of a shorter item, so no overlap is without a hit.
+Around each hit the whole item is then laid along the text and compared word by word, and the
+overlap stands if one of its runs agrees as said.
+
+Words are runs of letters and digits in lower case. Items of one to four words must stand whole.
+
+The seeds, and the items' words, go to every task only if they are few (``broadcast_limit`` seeds, counted first);
 beyond that, seeds and positions are shuffled by hash.
 
 Defined cases: null texts count as empty and match nothing; null ids are ids like others;
 rows of one doc_id, or item_id, are reported together; repeated rows change nothing;
-extra columns are ignored; empty tables give no rows.
+extra columns are ignored; empty tables give no rows; of overlaps of one document and item that
+match alike, the one that compares fewer words and then the earliest is told.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 
-SPAN, MARGIN = 10, 5
-#: Places that count, of SPAN words.
-MASKS = ((0, 1, 3, 5, 6, 9), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 7, 9))
-SHORTEST = 5
+SPAN = 10
 LEAST_SIMILARITY = 0.8
-#: Seeds (each with at most SPAN + 2 * MARGIN words) that are sent to every task at most.
+#: Places of SPAN that count; any two places are both ignored by one of the masks.
+MASKS = ((1, 4, 5, 7, 8), (1, 2, 4, 7, 9), (2, 5, 6, 8, 9), (0, 2, 3, 5, 8), (0, 3, 4, 6, 7), (0, 1, 3, 6, 9))
+#: Seeds that are sent to every task at most.
 BROADCAST_LIMIT = 200_000
 
 
+def masks_of(words: int) -> tuple[tuple[int, ...], ...]:
+    """The masks for items of so many words: of SPAN or more MASKS, of 5 to SPAN - 1 every other place, else all places."""
+    if words >= SPAN:
+        return MASKS
+    every = tuple(range(words))
+    return (every[::2], every[1::2]) if words >= 5 else (every,)
+
+
+def least_words(span: int, least_similarity: float = LEAST_SIMILARITY) -> int:
+    return math.ceil(least_similarity * span - 1e-9)
+
+
 def words_of(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
@@ -43,69 +58,73 @@ def word_codes(text: str = "text") -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def _code(mask: int, places, at: Column) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get("words", at + F.lit(k)) for k in places))
-
-
-def _shape(mask: int) -> tuple[int, tuple[int, ...]]:
-    """Span and places of a mask; mask -n is all of n words."""
-    return (SPAN, MASKS[mask]) if mask >= 0 else (-mask, tuple(range(-mask)))
-
-
-def positions(texts: DataFrame, masks: list[int]) -> DataFrame:
-    """The columns of texts (with an array words of their codes), and mask, p (place of the window) and code, for each window of each mask."""
-    names = texts.columns
-    shortest = min(_shape(m)[0] for m in masks)
+def positions(texts: DataFrame, spans: list[int]) -> DataFrame:
+    """The columns of texts (with an array words of their codes), and p (place of the window) and code, for each window of each mask of each span."""
+    names, shortest = texts.columns, min(spans)
     # not a filter: pushed below, that would split every text twice
     places = F.when(F.size("words") >= shortest, F.sequence(F.lit(0), F.size("words") - shortest))
     rows = texts.select(*names, F.explode(places).alias("p"))
     each = []
-    for m in masks:
-        span, counted = _shape(m)
-        code = _code(m, counted, F.col("p"))
-        each.append(F.struct(F.lit(m).alias("mask"), code.alias("code") if span == shortest else F.when(F.col("p") + span <= F.size("words"), code).alias("code")))
-    out = rows.select(*names, "p", F.explode(F.array(*each)).alias("h")).select(*names, "p", F.col("h.mask").alias("mask"), F.col("h.code").alias("code"))
-    return out.where(F.col("code").isNotNull())
+    for span in spans:
+        for k, counted in enumerate(masks_of(span)):
+            code = F.xxhash64(F.lit(100 * span + k), *(F.get("words", F.col("p") + F.lit(i)) for i in counted))
+            each.append(code if span == shortest else F.when(F.col("p") + span <= F.size("words"), code))
+    return rows.select(*names, "p", F.explode(F.array(*each)).alias("code")).where(F.col("code").isNotNull())
 
 
-def seeds(benchmark: DataFrame, masks: list[int]) -> DataFrame:
-    """code, item_id, at (place of the window in the item), low (of the words to compare) and item_words."""
-    items = benchmark.select("item_id", word_codes().alias("words"))
-    found = positions(items, masks)
-    # a mask for a whole short item takes items of just that length
-    found = found.where((F.col("mask") >= 0) | (F.size("words") == -F.col("mask")))
-    low = F.greatest(F.lit(0), F.col("p") - MARGIN)
-    high = F.least(F.size("words"), F.col("p") + SPAN + MARGIN)
-    return found.select("code", "item_id", F.col("p").alias("at"), low.alias("low"), F.slice("words", low + 1, high - low).alias("item_words")).distinct()
+def seeds(items: DataFrame, spans: list[int]) -> DataFrame:
+    """code, item_id, wording, n_words, at (place of the window in the item) of items (item_id, wording, words)."""
+    parts = []
+    for span in spans:
+        own = items.where(F.size("words") >= span) if span == SPAN else items.where(F.size("words") == span)
+        parts.append(positions(own, [span]).select("code", "item_id", "wording", F.size("words").alias("n_words"), F.col("p").alias("at")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least_similarity: float = LEAST_SIMILARITY, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """A row for each document and benchmark item that overlap: doc_id, item_id, matched, compared, doc_word.
 
-    Of the overlaps of a pair, the one with the most matched words, then the fewest compared, then the earliest.
+    matched and compared count the words along the whole item, doc_word is where it begins in the document. Of several
+    places, the one with the most matched words, then the fewest compared, then the earliest.
     """
-    lengths = [r["n"] for r in benchmark.select(F.size(words_of()).alias("n")).where(F.col("n").between(SHORTEST, SPAN - 1)).distinct().collect()]
-    masks = [*range(len(MASKS)), *(-n for n in sorted(lengths))]
-    seed = seeds(benchmark, masks)
-    windows = positions(docs.select("doc_id", word_codes().alias("words")), masks)
-    from_word = F.greatest(F.lit(0), F.col("p") - MARGIN)
-    if seed.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        hits = windows.withColumn("first", F.lit(0)).join(F.broadcast(seed), "code")
+    if least_similarity < LEAST_SIMILARITY:
+        raise ValueError(f"the masks find overlaps from {LEAST_SIMILARITY} on")
+    items = benchmark.select("item_id", word_codes().alias("words")).where(F.size("words") > 0).withColumn("wording", F.xxhash64("words"))
+    # at most SPAN rows
+    spans = sorted(r["n"] for r in items.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).distinct().collect())
+    if not spans:
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add(items.schema["item_id"]).add("matched", "long").add("compared", "long").add("doc_word", "long"))
+    seed = seeds(items, spans)
+    windows = positions(docs.select("doc_id", word_codes().alias("words")), spans)
+    few = seed.limit(broadcast_limit + 1).count() <= broadcast_limit
+    words = items.select("wording", F.col("words").alias("item_words")).distinct()
+    diagonal = F.col("p") - F.col("at")
+    skip = F.greatest(F.lit(0), -diagonal)
+    if few:
+        hits = windows.join(F.broadcast(seed), "code")
+        # the words of the text along the item
+        along = hits.select("doc_id", "item_id", "wording", diagonal.alias("diagonal"), F.slice("words", diagonal + skip + 1, F.col("n_words") - skip).alias("b"))
+        words = F.broadcast(words)
     else:
-        # shuffled by code: each window carries the words around it, never its whole document
-        near = F.slice("words", from_word + 1, F.col("p") + SPAN + MARGIN - from_word)
-        hits = windows.select("doc_id", "p", "code", near.alias("words"), from_word.alias("first")).join(seed, "code")
-    # both sides' words around the hit: from the item's word low on, or from the document's start where that is later
-    base = F.col("p") - F.col("at") + F.col("low") - F.col("first")
-    skip = F.greatest(F.lit(0), -base)
-    size = F.size("item_words") - skip
-    around = hits.select("doc_id", "item_id", (base + skip + F.col("first")).alias("doc_word"), (F.col("p") - F.col("at")).alias("diagonal"), "low", F.slice("item_words", skip + 1, size).alias("a"), F.slice("words", base + skip + 1, size).alias("b"))
-    # one row for each diagonal, place and wording of both sides; the comparison stays above this aggregate, so that the join's loop is small
+        # shuffled by code, positions go without their texts; the places that are hit fetch their words again
+        rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", word_codes().alias("words"))
+        thin = positions(rows, spans).select("row", "p", "code")
+        places = thin.join(seed, "code").select("row", "item_id", "wording", "n_words", diagonal.alias("diagonal")).distinct()
+        start = F.greatest(F.lit(0), F.col("diagonal"))
+        along = rows.distinct().join(places, "row").select("doc_id", "item_id", "wording", "diagonal", F.slice("words", start + 1, F.col("n_words") - start + F.col("diagonal")).alias("b"))
+    # one row for each diagonal and wording of both sides; the comparison stays above this aggregate, so that the join's loop is small
     # enough to be compiled and no document's words are copied for its positions
-    once = around.groupBy("doc_id", "item_id", "doc_word", "diagonal", "low", F.xxhash64("a").alias("item_wording"), F.xxhash64("b").alias("wording")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    compared = F.least(F.size("a"), F.size("b"))
-    agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
-    checked = once.select("doc_id", "item_id", "doc_word", agree.alias("matched"), compared.alias("compared")).where(F.col("matched") >= F.lit(least_similarity) * F.col("compared"))
+    once = along.groupBy("doc_id", "item_id", "wording", "diagonal", F.xxhash64("b").alias("text_wording")).agg(F.first("b").alias("b"))
+    pairs = once.join(words, "wording").withColumn("skip", F.greatest(F.lit(0), -F.col("diagonal")))
+    same = F.zip_with(F.slice("item_words", F.col("skip") + 1, F.size("b")), "b", lambda x, y: (x == y).cast("int"))
+    checked = pairs.select("doc_id", "item_id", F.greatest(F.lit(0), F.col("diagonal")).alias("doc_word"), F.size("b").alias("compared"), F.least(F.size("item_words"), F.lit(SPAN)).alias("span"), same.alias("same"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    best_run = F.array_max(F.transform(F.sequence(F.lit(1), F.col("compared") - F.col("span") + 1), lambda k: total(F.slice("same", k, F.col("span")))))
+    needed = F.ceil(F.lit(least_similarity) * F.col("span") - F.lit(1e-9))
+    checked = checked.where(F.col("compared") >= F.col("span")).where(best_run >= needed).select("doc_id", "item_id", "doc_word", "compared", total(F.col("same")).alias("matched"))
     best = F.min(F.struct((-F.col("matched")).alias("less"), "compared", "doc_word"))
     return (
         checked.groupBy("doc_id", "item_id").agg(best.alias("best"))
@@ -123,32 +142,24 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _sql_windows(source: str) -> str:
-    parts = [
-        f"SELECT {source}.*, {m} AS mask, p, concat_ws(' ', {', '.join(f'w[p + {k + 1}]' for k in places)}) AS code FROM {source}, unnest(range(0, len(w) - {SPAN - 1})) AS u(p) WHERE len(w) >= {SPAN}"
-        for m, places in enumerate(MASKS)
-    ]
-    for n in range(SHORTEST, SPAN):
-        words = ", ".join(f"w[p + {k + 1}]" for k in range(n))
-        parts.append(f"SELECT {source}.*, -{n} AS mask, p, concat_ws(' ', {words}) AS code FROM {source}, unnest(range(0, len(w) - {n - 1})) AS u(p) WHERE len(w) >= {n} AND {n} IN (SELECT len(w) FROM b)")
-    return " UNION ALL ".join(parts)
-
-
+#: Without seeds: every pair of equal words lies on a diagonal of its text and item, and runs of a diagonal are counted.
 ORACLE_SQL = rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-dp AS ({_sql_windows("d")}),
-bp AS ({_sql_windows("b")}),
-hits AS (
-  SELECT DISTINCT dp.doc_id, bp.item_id, dp.w AS dw, bp.w AS bw, dp.p - bp.p AS diagonal,
-         greatest(0, bp.p - {MARGIN}, bp.p - dp.p) AS low, least(len(bp.w), bp.p + {SPAN + MARGIN}, len(dp.w) + bp.p - dp.p) AS high
-  FROM dp JOIN bp ON dp.mask = bp.mask AND dp.code = bp.code AND (bp.mask >= 0 OR len(bp.w) = -bp.mask)),
-checked AS (
-  SELECT doc_id, item_id, low + diagonal AS doc_word, high - low AS compared,
-         len(list_filter(range(low, high), lambda k: bw[k + 1] = dw[k + diagonal + 1])) AS matched
-  FROM hits),
+WITH dt AS (SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+it AS (SELECT row_number() OVER () AS i, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT d, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM dt),
+iw AS (SELECT i, unnest(w) AS word, unnest(range(0, len(w))) AS q FROM it),
+points AS (SELECT d, i, p - q AS diagonal, q FROM dw JOIN iw USING (word)),
+many AS (SELECT d, i, diagonal, count(*) AS matched FROM points GROUP BY ALL HAVING count(*) >= {least_words(SPAN)} OR count(*) >= 0.8 * (SELECT min(len(w)) FROM it)),
+runs AS (
+  SELECT d, i, diagonal, matched, count(*) OVER (PARTITION BY d, i, diagonal ORDER BY q RANGE BETWEEN CURRENT ROW AND {SPAN - 1} FOLLOWING) AS run
+  FROM points JOIN many USING (d, i, diagonal)),
+best AS (SELECT d, i, diagonal, matched, max(run) AS run FROM runs GROUP BY ALL),
+sides AS (
+  SELECT doc_id, item_id, greatest(0, diagonal) AS doc_word, matched, run, least(len(it.w), {SPAN}) AS span,
+         least(len(it.w), len(dt.w) - diagonal) - greatest(0, -diagonal) AS compared
+  FROM best JOIN dt USING (d) JOIN it USING (i)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, compared, doc_word) AS r
-  FROM checked WHERE matched >= {LEAST_SIMILARITY} * compared)
+  FROM sides WHERE compared >= span AND run >= ceil({LEAST_SIMILARITY} * span - 1e-9))
 SELECT doc_id, item_id, CAST(matched AS BIGINT) AS matched, CAST(compared AS BIGINT) AS compared, CAST(doc_word AS BIGINT) AS doc_word FROM ranked WHERE r = 1
 """
