@@ -1,9 +1,9 @@
 """The operators against brute force, round trips and held-out accuracy."""
 
+import itertools
 import os
 import random
 import re
-import tempfile
 import zlib
 
 import duckdb
@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -48,25 +49,27 @@ def test_language_accuracy(spark):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.93
 
 
-def test_suffixes_and_prefixes_equal_brute_force():
-    rnd, folder = random.Random(5), tempfile.mkdtemp()
-    for bound in (0, 3, 2048):
-        induced.MAX_ALPHABET = bound
-        for memory in (7, 1 << 20):
-            for _ in range(25):
-                t = [rnd.randint(1, rnd.choice([1, 2, 5, 20])) for _ in range(rnd.randint(1, 90))]
-                if rnd.random() < 0.4:
-                    t = (t[: rnd.randint(1, 6)] * 40)[: len(t)]
-                t = np.array([*t, 0])
-                parts = list(induced.sorted_suffixes(t, 200, folder, memory))
-                order, prefix = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                tail = [tuple(t[i:]) for i in range(len(t))]
-                assert list(order) == sorted(range(len(t)), key=tail.__getitem__, reverse=True)
-                for k in range(1, len(order)):
-                    a, b = tail[order[k - 1]], tail[order[k]]
-                    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-                    assert prefix[k] == same
-    induced.MAX_ALPHABET = 2048
+@pytest.mark.parametrize(("memory", "least_range", "steps"), [(7, 4, 1), (7, 2048, 12), (1 << 20, 4, 12), (1 << 20, 2048, 0), (40, 16, 2)])
+def test_suffixes_and_prefixes_equal_brute_force(monkeypatch, tmp_path, memory, least_range, steps):
+    monkeypatch.setattr(induced, "LEAST_RANGE", least_range)
+    monkeypatch.setattr(induced, "STEPS", steps)
+    monkeypatch.setattr(induced, "BLOCK", 32)
+    rnd = random.Random(5)
+    for _ in range(60):
+        t = [rnd.randint(1, rnd.choice([1, 2, 5, 20])) for _ in range(rnd.randint(1, 90))]
+        if rnd.random() < 0.4:
+            t = (t[: rnd.randint(1, 6)] * 40)[: len(t)]
+        t = np.array([*t, 0], rnd.choice([np.int64, np.uint16]))
+        for cap in (200, 4):
+            parts = list(induced.sorted_suffixes(t, cap, str(tmp_path), memory))
+            order, prefix = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            tail = [tuple(t[i:]) for i in range(len(t))]
+            assert list(order) == sorted(range(len(t)), key=tail.__getitem__, reverse=True)
+            for k in range(1, len(order)):
+                a, b = tail[order[k - 1]], tail[order[k]]
+                same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                assert prefix[k] == min(same, cap)
+    assert not list(tmp_path.iterdir())
 
 
 @pytest.mark.parametrize(("length", "gram", "hot"), [(12, 4, 10_000), (12, 4, 3), (20, 8, 2)])
@@ -92,6 +95,43 @@ def test_substrings_equal_brute_force(spark, length, gram, hot):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == sorted(want)
 
 
+def test_a_shard_far_larger_than_its_queues(tmp_path):
+    """Windows of 100 bytes that repeat in pieces of a shard, with queues and arrays on disk, against a set."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    base = " ".join(rnd.choice(words) for _ in range(4000)).encode()
+    pieces, want, seen = [], set(), {}
+    for d in range(150):
+        at = rnd.randrange(len(base) - 900)
+        text = base[at : at + rnd.randint(100, 800)] + b"ab" * rnd.choice([0, 0, 90])
+        seg = np.zeros(1, substring_dedup.SEGMENT)
+        seg["doc"], seg["row"], seg["size"] = d, substring_dedup.HAS_ID, len(text)
+        pieces.append((1).to_bytes(4, "little") + seg.tobytes() + text)
+        for i in range(len(text) - 99):
+            if seen.setdefault(text[i : i + 100], (d, i)) != (d, i):
+                want.add((d, i))
+    rnd.shuffle(pieces)
+    for memory in (500, 1 << 20):
+        found = substring_dedup.repeats_in_shard(pieces, 100, str(tmp_path), memory)
+        assert {(int(w["doc"]), int(w["start"])) for w in found} == want and len(found) == len(want) > 10_000
+
+
+def test_texts_without_ids_are_told_apart(spark):
+    """Texts whose hashes share their lower 32 bits, and ids at the edge of their type."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefghij") for _ in range(n)) for n in (256, 384, 300)]
+    rows = [(None, texts[0]), (None, texts[1]), (-(1 << 63), texts[2]), (None, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in substring_dedup.without_repeats(df).collect()), key=str)
+    assert got == sorted([(None, 256, 0), (None, 384, 0), (-(1 << 63), 300, 300), (None, 300, 0)], key=str)
+    # the same names for two texts: only their hashes' other halves differ
+    seg = np.zeros(2, substring_dedup.SEGMENT)
+    seg["doc"], seg["row"] = 7, [5, 5 + (1 << 40)]
+    assert substring_dedup.repeats_of_first(seg, np.array([True, False])).tolist() == [False, True]
+    with pytest.raises(TypeError, match="integer"):
+        substring_dedup.without_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 @pytest.mark.parametrize(("words", "radius", "depth", "leaf"), [(3, 2, None, simhash.LEAF_ROWS), (3, 2, 0, 8), (2, 4, 1, 1 << 14), (1, 2, 0, 2)])
 def test_simhash_equals_brute_force(spark, words, radius, depth, leaf):
     t = pq.read_table(f"{SF}/documents.parquet").to_pandas()
@@ -117,15 +157,43 @@ def test_simhash_equals_brute_force(spark, words, radius, depth, leaf):
     assert {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in got} == {i: (fp[i], find(i)) for i in fp}
 
 
-def test_seeds_survive_substitutions_and_the_shuffled_way_is_the_same(spark):
-    words = [f"w{i}" for i in range(40)]
-    changed = [w if i % 5 else f"other{i}" for i, w in enumerate(words)]
-    docs = spark.createDataFrame([(1, "start " + " ".join(words)), (2, "x y " + " ".join(changed)), (3, " ".join(reversed(words))), (4, " ".join(words[:9])), (5, " ".join(words[30:]))], "doc_id long, text string")
-    bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id, r.matched, r.compared) for r in decontaminate.overlaps(docs, bench).collect())
-    assert got == [(1, 9, 20, 20), (2, 9, 16, 20), (5, 9, 10, 10)]
-    again = sorted((r.doc_id, r.item_id, r.matched, r.compared) for r in decontaminate.overlaps(docs, bench, broadcast_limit=3).collect())
-    assert again == got
+def test_masks_leave_out_all_substitutions():
+    for n in range(1, 13):
+        span = min(n, decontaminate.SPAN)
+        missed = span - decontaminate.least_words(span)
+        for places in itertools.combinations(range(span), missed):
+            assert any(not set(places) & set(m) for m in decontaminate.masks_of(n))
+
+
+def test_overlaps_equal_a_sliding_comparison(spark):
+    """Copies of items of every length with words replaced, cut or moved to a text's edge, against all places of all texts."""
+    rnd = random.Random(11)
+    items = {n: [f"w{rnd.randrange(900)}" for _ in range(n)] for n in [*range(1, 26), 40]}
+    texts = {}
+    for n, words in items.items():
+        for k in range(12):
+            copy = list(words[rnd.randint(0, n // 3) :] if k % 4 == 3 else words)
+            for place in rnd.sample(range(len(copy)), rnd.randint(0, max(1, len(copy) * 3 // 10))):
+                copy[place] = f"x{rnd.randrange(99)}"
+            texts[len(texts)] = [f"y{rnd.randrange(300)}" for _ in range(rnd.choice([0, 3, 20]))] + copy + [f"y{rnd.randrange(300)}" for _ in range(rnd.choice([0, 3]))]
+    want = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            span, found = min(len(item), 10), []
+            for diagonal in range(-len(item) + 1, len(text)):
+                same = [text[q + diagonal] == w for q, w in enumerate(item) if 0 <= q + diagonal < len(text)]
+                if any(5 * sum(same[k : k + span]) >= 4 * span for k in range(len(same) - span + 1)):
+                    found.append((-sum(same), len(same), max(0, diagonal)))
+            if found:
+                want[d, i] = min(found)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in items.items()], "item_id long, text string")
+    assert len({i for _, i in want}) == len(items)
+    for limit in (decontaminate.BROADCAST_LIMIT, 3):
+        got = {(r.doc_id, r.item_id): (-r.matched, r.compared, r.doc_word) for r in decontaminate.overlaps(docs, bench, broadcast_limit=limit).collect()}
+        assert got == want
+    with pytest.raises(ValueError, match="0.8"):
+        decontaminate.overlaps(docs, bench, least_similarity=0.5)
 
 
 def test_token_ids_are_the_librarys(spark):

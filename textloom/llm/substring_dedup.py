@@ -19,10 +19,12 @@ A key with more than ``hot_segments`` different segments is cut into its single
 windows, combined in each task and keyed by the window itself, so that no key grows with the corpus.
 The number of shards follows the number of the input's partitions.
 
+Segments are equal where their 128-bit hashes are.
+
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; rows
-alike in id and text are one document and get the same result each; rows of one id with
-different texts are different documents, in the order of their texts' hashes; a null id
-comes before all others; extra columns are ignored; an empty table gives no rows.
+alike in id and text are one document and get the same result each; rows of one id, or of none, with
+different texts are different documents, in the order of their texts' hashes (63 bits beside an id, 126 without one); a null id
+comes before all others; ids that are no integers are refused; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,18 +36,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.common import saved, table, text_blocks
-from textloom.llm.induced import sorted_suffixes
+from textloom.llm.induced import MEMORY_ROWS, sorted_suffixes
 
-LENGTH, GRAM = 100, 16
+#: Wide grams: short ones that many texts hold would be the key of many different segments.
+LENGTH, GRAM = 100, 32
 #: Different segments of one key above which its windows are keyed one by one.
-HOT_SEGMENTS = 10_000
+HOT_SEGMENTS = 4_000
+#: Shards at most: beyond it they grow in size, and the queues of a shard on disk, not in number.
+MAX_SHARDS = 100_000
 #: Segments that a task of step 1 combines at a time, and windows of hot keys.
 COMBINE_ROWS = 1 << 20
-NO_ID = -(1 << 63)
 
-SEGMENT = np.dtype([("key", "<u8"), ("code", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("row", "<u4")])
+#: doc and row name a document: its id and, with the highest bit set, 63 bits of its text's hash; without an id two hashes of its text, that bit clear.
+SEGMENT = np.dtype([("key", "<u8"), ("code", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("row", "<u8")])
+HAS_ID = np.uint64(1 << 63)
 SPAN = np.dtype([("start", "<u4"), ("size", "<u4")])
 #: Kinds of rows that the steps hand on: spans to remove, segments, segments of hot keys.
 REMOVED, PIECES, HOT = 0, 1, 2
@@ -126,9 +133,15 @@ def segments(raw: np.ndarray, off: np.ndarray, docs: np.ndarray, rows: np.ndarra
     return out, count[stop] > count[first]
 
 
+def place_keys(seg: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sort keys, the last one first, of the order in the corpus: documents without an id come before all others."""
+    with_id = (seg["row"] & HAS_ID) > 0
+    return (start, seg["row"], seg["doc"]) if with_id.all() else (start, seg["row"], seg["doc"], with_id)
+
+
 def placed(seg: np.ndarray) -> np.ndarray:
     """The order of segments by key, content, then place in the corpus."""
-    return np.lexsort((seg["start"], seg["row"], seg["doc"], seg["size"], seg["code"], seg["key"]))
+    return np.lexsort((*place_keys(seg, seg["start"]), seg["size"], seg["code"], seg["key"]))
 
 
 def firsts(seg: np.ndarray) -> np.ndarray:
@@ -148,7 +161,7 @@ def repeats_of_first(seg: np.ndarray, new: np.ndarray) -> np.ndarray:
 
 def _batch(kind: int, places, docs, rows, datas) -> pa.RecordBatch:
     n = len(datas)
-    arrays = [pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(places, np.int64)), pa.array(np.asarray(docs, np.int64)), pa.array(np.asarray(rows, np.int64)), pa.array(datas, pa.binary())]
+    arrays = [pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(places, np.int64)), pa.array(np.asarray(docs, np.int64)), pa.array(np.asarray(rows, np.uint64).view(np.int64)), pa.array(datas, pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, ["kind", "place", "doc", "row", "data"])
 
 
@@ -169,7 +182,7 @@ def by_document(kind: int, found: np.ndarray, shards: int) -> pa.RecordBatch:
             datas.append(spans.tobytes())
         else:
             datas.append(part.tobytes())
-    d, r = found["doc"][head], found["row"][head].astype(np.int64)
+    d, r = found["doc"][head], found["row"][head]
     return _batch(kind, (d.astype(np.uint64) * _ODD >> np.uint64(33)).astype(np.int64) % shards, d, r, datas)
 
 
@@ -203,7 +216,7 @@ def cut_documents(docs: DataFrame, length: int, gram: int, shards: int, combine_
     def run(batches):
         held, n = [], 0
         for b in batches:
-            docs_, rows = b.column("doc").to_numpy(), b.column("row").to_numpy().astype(np.uint32)
+            docs_, rows = b.column("doc").to_numpy(), b.column("row").to_numpy().view(np.uint64)
             for at, end, raw, off in text_blocks(b.column("text"), 1 << 20):
                 held.append(segments(raw, off, docs_[at:end], rows[at:end], length, gram))
                 n += len(held[-1][0])
@@ -306,7 +319,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataF
     return joined.mapInArrow(run, ROW_SCHEMA)
 
 
-def repeats_in_shard(pieces: list[bytes], length: int, folder: str | None = None) -> np.ndarray:
+def repeats_in_shard(pieces: list[bytes], length: int, folder: str | None = None, memory_rows: int = MEMORY_ROWS) -> np.ndarray:
     """The windows (SEGMENT of that size) that start earlier elsewhere among the pieces of a shard."""
     segs, texts = [], []
     for data in pieces:
@@ -335,7 +348,7 @@ def repeats_in_shard(pieces: list[bytes], length: int, folder: str | None = None
             return
         s = seg[own]
         start = s["start"].astype(np.int64) + suffix - begin[own]
-        order = np.lexsort((start, s["row"], s["doc"], run))
+        order = np.lexsort((*place_keys(s, start), run))
         run, s, start = run[order], s[order], start[order]
         new = np.concatenate(([True], run[1:] != run[:-1]))
         head = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
@@ -345,7 +358,7 @@ def repeats_in_shard(pieces: list[bytes], length: int, folder: str | None = None
         out.append(w)
 
     runs, held = 0, []
-    for suffix, prefix in sorted_suffixes(text, length, folder or tempfile.gettempdir()):
+    for suffix, prefix in sorted_suffixes(text, length, folder or tempfile.gettempdir(), memory_rows):
         joins = prefix >= length
         number = runs + np.cumsum(~joins)
         runs = int(number[-1])
@@ -396,7 +409,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
     """doc, row and spans (a list of packed SPAN arrays) of the documents (doc, row, text) that lose something."""
     if shards is None:
         # a multiple of the input's own partitions: a shard is of the order of what a task reads
-        shards = max(16, 4 * docs.rdd.getNumPartitions())
+        shards = min(MAX_SHARDS, max(16, 4 * docs.rdd.getNumPartitions()))
     met = saved(meet_by_key(cut_documents(docs, length, gram, shards), shards, hot_segments), "segments")
     wanted = met.where(F.col("kind") != REMOVED)
     hidden = order_shards(fetch(docs, wanted, length, shards), length, shards)
@@ -405,8 +418,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), text.alias("text"))
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer: documents are in its order")
+    text, there = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").isNotNull()
+    row = F.shiftrightunsigned(F.xxhash64(text), 1).bitwiseOR(F.when(there, F.lit(-(1 << 63))).otherwise(F.lit(0)).cast("long"))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)).alias("doc"), row.alias("row"), text.alias("text"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
@@ -417,7 +433,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for doc, text, spans in zip(*(b.column(c) for c in ("doc", "text", "spans")), strict=True):
+            for doc, text, spans in zip(*(b.column(c) for c in ("doc_id", "text", "spans")), strict=True):
                 raw = text.as_py().encode()
                 cut = np.frombuffer(b"".join(spans.as_py() or ()), SPAN)
                 mark = np.zeros(len(raw) + 1, np.int64)
@@ -428,14 +444,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                 first = np.flatnonzero(gone & ~np.concatenate(([False], gone[:-1]))) if len(raw) else np.zeros(0, np.int64)
                 last = np.flatnonzero(gone & ~np.concatenate((gone[1:], [False]))) if len(raw) else first
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                d = doc.as_py()
-                out.append((None if d == NO_ID else d, len(raw), int(gone.sum()), len(first), kept, [{"start": int(i), "size": int(j - i + 1)} for i, j in zip(first, last, strict=True)]))
+                out.append((doc.as_py(), len(raw), int(gone.sum()), len(first), kept, [{"start": int(i), "size": int(j - i + 1)} for i, j in zip(first, last, strict=True)]))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    return joined.select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,size:long>>")
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,size:long>>")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
