@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all machines share, ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("textloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("textloom.shared.dir", found)
     return found.rstrip("/")
