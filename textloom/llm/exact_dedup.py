@@ -4,8 +4,8 @@ A thin row for each document (digest of the normalised text, code points, id, co
 locator) streams through a keyed state that RocksDB holds on disk and that never expires:
 for each digest it retains the identifier and content locator of the document that stays,
 and how many rows share it. Rows are combined before the shuffle, so a digest that a third
-of all rows share reaches its state as one row from each task. Then full bytes are checked:
-normalised texts are grouped by digest and text, and a digest that turns out to stand for
+of all rows share reaches its state as one row from each task. Then full bytes are checked
+on hits: normalised texts whose digest is another row's too are grouped by digest and text, and a digest that turns out to stand for
 several texts is resolved by the texts themselves.
 
 Texts are equal when identical after deleting every blank and every character from tab to
@@ -32,6 +32,8 @@ STATE_STORE = {
 }
 #: Bytes of thin rows that one micro-batch takes; the state carries over.
 BATCH_BYTES = 64 << 30
+#: Bits of the table that tells rows whose digest hit another's from the rest; a smaller share of them is told apart as digests outnumber them, nothing else changes.
+HIT_BITS = 1 << 26
 
 
 def normalised(text: str = "text") -> Column:
@@ -81,10 +83,27 @@ def stream_state(thin: DataFrame, path: str) -> DataFrame:
     return updates.groupBy("digest").agg(F.max_by("keep", "group_size").alias("keep"), F.max("group_size").alias("group_size"))
 
 
-def conflicting(docs: DataFrame, digest=sha256_of) -> DataFrame:
-    """Digests that stand for more than one text: full bytes, combined before the shuffle."""
-    texts = docs.select(normalised().alias("norm")).select(digest(F.col("norm")).alias("digest"), "norm").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
-    return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
+def repeated_bits(state: DataFrame, bits: int = HIT_BITS) -> DataFrame:
+    """(bucket, bitmap): a bit for the hash of each digest that several rows share; a table of bits / 8 bytes at most, whatever the input."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    return state.where("group_size > 1").select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def conflicting(docs: DataFrame, state: DataFrame, digest=sha256_of, bits: int = HIT_BITS) -> DataFrame:
+    """Digests that stand for more than one text, by the full bytes of the rows that hit a digest of another row.
+
+    A text whose digest no other row has stays in its task: the bits (broadcast; their size is fixed) let through only digests that are repeated
+    and some that share a bit with one, which make groups of a single text. Texts are combined before the shuffle.
+    """
+    flags = F.broadcast(repeated_bits(state, bits))
+    texts = docs.select(normalised().alias("norm")).withColumn("digest", digest(F.col("norm")))
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    bit = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, CAST(bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hits = texts.withColumns({"bucket": F.bitmap_bucket_number(place), "bit": bit}).join(flags, "bucket")
+    hits = hits.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(bit % 8 AS INT))")) != 0).select("digest", "norm")
+    several = hits.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
+    return several
 
 
 def exact_groups(docs: DataFrame, digest=sha256_of) -> DataFrame:
@@ -98,7 +117,7 @@ def exact_groups(docs: DataFrame, digest=sha256_of) -> DataFrame:
     found = thin.join(state, "digest", "left").select(
         "doc_id", "n_chars", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept")
     )
-    clash = saved(conflicting(docs, digest), "dedup-clashes")
+    clash = saved(conflicting(docs, state, digest), "dedup-clashes")
     if clash.isEmpty():
         return found
     # one digest, several texts: these rows are grouped by the texts themselves
