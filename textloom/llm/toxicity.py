@@ -4,9 +4,10 @@ Features of a whole text: densities of a lexicon of insults (written plainly, ob
 look-alike characters, inner punctuation, repeated or masked letters, or spelt letter by
 letter) and of a lexicon learnt from the labels (words, and beginnings of words, that mark
 toxic documents), how near second-person words stand to the hits, and rates of capitals,
-punctuation and obfuscation. A half of the rows learnt from gives the lexicon, the other
-half grows the trees on histograms of the features; pool adjacent violators turn margins
-into probabilities, on margins of rows that the trees behind them have not seen.
+punctuation and obfuscation. Each half of the rows learnt from gives a lexicon by which the other half's
+features are made; on histograms of these grow the trees. Pool adjacent violators turn margins
+into probabilities, on margins of rows that the trees behind them have not seen. Documents are scored with the
+lexicon of all rows.
 
 Defined cases: null text counts as empty and has all features zero; repeated ids give a
 row each; extra columns are ignored; without labels of both classes every score is the
@@ -328,9 +329,9 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: fl
     return model
 
 
-def part_of(doc_id: np.ndarray) -> np.ndarray:
-    """0 and 1: rows that give the lexicon; 2 and 3: the two folds of those that grow and calibrate the trees."""
-    return ((doc_id.astype(np.uint64) * np.uint64(2654435761)) >> np.uint64(20)) % np.uint64(4)
+def half_of(doc_id: str = "doc_id"):
+    """0 or 1, by a hash of the id, of whatever type."""
+    return F.pmod(F.xxhash64(F.lit(7), F.col(doc_id)), F.lit(2)).cast("int")
 
 
 def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Boosted | float:
@@ -347,35 +348,45 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Boosted | float:
     return model
 
 
-def learn_lexicon(sample: DataFrame) -> np.ndarray:
-    """Hashes of the words and beginnings of words that mark toxic rows of parts 0 and 1: MAX_LEARNT at most."""
+def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words and beginnings of words that mark toxic rows: those of half 0, of half 1, and of both; MAX_LEARNT each at most."""
 
     def run(batches):
         for b in batches:
-            ids, y = b.column("doc_id").cast(pa.int64()).to_numpy(), b.column("__y").to_numpy()
+            halves, y = b.column("__half").to_numpy(), b.column("__y").to_numpy()
             for at, end, raw, off in text_blocks(b.column("text")):
-                use = part_of(ids[at:end]) < 2
-                doc, code = word_marks(raw, off)
-                doc, code = doc[use[doc]], code[use[doc]]
-                code, inv, n = np.unique(code, return_inverse=True, return_counts=True)
-                bad = np.bincount(inv, y[at:end][doc], minlength=len(code)) if len(code) else np.zeros(0)
-                # the rows themselves are counted under the code zero
-                code = np.append(code, np.uint64(0)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code), pa.array(np.append(bad, y[at:end][use].sum()).astype(np.int64)), pa.array(np.append(n, use.sum()).astype(np.int64))], ["code", "bad", "n"]
-                )
-
-    counts = sample.mapInArrow(run, "code long, bad long, n long").groupBy("code").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+                doc, marks = word_marks(raw, off)
+                for h in (0, 1):
+                    use = halves[at:end] == h
+                    d, code = doc[use[doc]], marks[use[doc]]
+                    code, inv, n = np.unique(code, return_inverse=True, return_counts=True)
+                    bad = np.bincount(inv, y[at:end][d], minlength=len(code)) if len(code) else np.zeros(0)
+                    # the rows themselves are counted under the code zero
+                    code = np.append(code, np.uint64(0)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(code), pa.array(np.full(len(code), h, np.int32)), pa.array(np.append(bad, y[at:end][use].sum()).astype(np.int64)), pa.array(np.append(n, use.sum()).astype(np.int64))],
+                        ["code", "half", "bad", "n"],
+                    )
+
+    of = lambda c, h: F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}")
+    counts = sample.mapInArrow(run, "code long, half int, bad long, n long").groupBy("code").agg(*(of(c, h) for c in ("bad", "n") for h in (0, 1)))
+    bad, n = F.col("bad0") + F.col("bad1"), F.col("n0") + F.col("n1")
     # the total goes along as one more row, so that one pass over the counts suffices
-    found = counts.where((F.col("code") == 0) | ((F.col("bad") >= LEAST_DOCS) & (F.col("bad") > 0.3 * F.col("n")))).orderBy(F.col("code") != 0, F.desc("bad"), "code").limit(4 * MAX_LEARNT).toPandas()
-    total = found[found["code"] == 0]
-    if not len(total) or not total["bad"].iloc[0] or total["bad"].iloc[0] == total["n"].iloc[0]:
-        return np.zeros(0, np.uint64)
-    bad_all, all_ = float(total["bad"].iloc[0]), float(total["n"].iloc[0])
-    rows = found[found["code"] != 0]
-    odds = np.log((rows["bad"] + 0.5) / (bad_all + 1)) - np.log((rows["n"] - rows["bad"] + 0.5) / (all_ - bad_all + 1))
-    rows = rows[odds >= LEAST_ODDS].head(MAX_LEARNT)
-    return np.unique(rows["code"].to_numpy().view(np.uint64))
+    found = counts.where((F.col("code") == 0) | ((bad >= LEAST_DOCS) & (bad > 0.3 * n))).orderBy(F.col("code") != 0, bad.desc(), "code").limit(4 * MAX_LEARNT).toPandas()
+    total, rows = found[found["code"] == 0], found[found["code"] != 0]
+
+    def marking(bad_name, n_name) -> np.ndarray:
+        if not len(total):
+            return np.zeros(0, np.uint64)
+        bad_all, all_ = float(total.eval(bad_name).iloc[0]), float(total.eval(n_name).iloc[0])
+        if not bad_all or bad_all == all_ or not len(rows):
+            return np.zeros(0, np.uint64)
+        b, m = rows.eval(bad_name), rows.eval(n_name)
+        odds = np.log((b + 0.5) / (bad_all + 1)) - np.log((m - b + 0.5) / (all_ - bad_all + 1))
+        kept = rows[(odds >= LEAST_ODDS) & (b >= LEAST_DOCS)].head(MAX_LEARNT)
+        return np.unique(kept["code"].to_numpy().view(np.uint64))
+
+    return marking("bad0", "n0"), marking("bad1", "n1"), marking("bad0 + bad1", "n0 + n1")
 
 
 @dataclass
@@ -393,22 +404,25 @@ class Toxicity:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Toxicity:
     """Fit on a bounded sample of labelled rows (see quality.labelled_sample); their features come to the driver."""
-    sample = labelled_sample(docs, labels, label, max_rows)
-    lexicon = learn_lexicon(sample)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    sample = labelled_sample(docs, labels, label, max_rows).withColumn("__half", half_of())
+    *other, lexicon = learn_lexicon(sample)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("half", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for b in batches:
-            x = np.vstack([toxic_features(raw, off, lexicon) for _, _, raw, off in text_blocks(b.column("text"))] or [np.zeros((0, len(NAMES)))])
+            # each row with the lexicon that the other half gave
+            half = b.column("__half").to_numpy()
+            x = np.zeros((b.num_rows, len(NAMES)))
+            for at, end, raw, off in text_blocks(b.column("text")):
+                both = [toxic_features(raw, off, other[1 - h]) for h in (0, 1)]
+                x[at:end] = np.where((half[at:end] == 0)[:, None], both[0], both[1])
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("__y").cast(pa.int32()), rows], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__half").cast(pa.int32()), b.column("__y").cast(pa.int32()), rows], ["doc_id", "half", "y", "x"])
 
-    rows = sample.mapInArrow(run, schema).limit(4 * max_rows).toPandas().sort_values(["id", "y"])
-    part = part_of(rows["id"].to_numpy())
-    rows, part = rows[part >= 2], part[part >= 2]
+    rows = sample.mapInArrow(run, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(max_rows).toPandas()
     if not len(rows):
         return Toxicity(lexicon, 0.5)
-    return Toxicity(lexicon, fit(np.array(rows["x"].tolist()), rows["y"].to_numpy().astype(float), part == 3))
+    return Toxicity(lexicon, fit(np.array(rows["x"].tolist()), rows["y"].to_numpy().astype(float), rows["half"].to_numpy() == 1))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", column: str = "score") -> DataFrame:
