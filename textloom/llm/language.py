@@ -21,13 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from textloom.llm.common import held_out, table
 
 #: Texts of a language that its dictionary is taken from, at most, and the bytes of the dictionary.
 MAX_FIT_DOCS, DICTIONARY_BYTES = 600, 256 << 10
-#: Bytes of one text that go into a dictionary at most, so that no long text fills it.
-MAX_SHARE = 1 << 10
+#: Languages that may be learnt at most; more are refused.
+MAX_LANGUAGES = 256
 #: Zstandard level; bytes of difference in size that change the odds by a factor e, for texts of any length.
 LEVEL, BYTES_PER_NAT = 5, 3.0
 
@@ -40,23 +41,30 @@ def plain_letters(text: str) -> bytes:
 
 
 def learn(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """language -> dictionary, from at most max_docs texts a language (those with the smallest hash of their id) and size bytes."""
-    thin = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    names = sorted(r["lang"] for r in thin.groupBy("lang").count().collect())
-    if not names:
-        return {}
-    picks = [thin.where(F.col("lang") == n).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for n in names]
-    chosen = picks[0]
-    for p in picks[1:]:
-        chosen = chosen.unionByName(p)
+    """language -> dictionary, from at most max_docs texts a language (those with the smallest hash of their id) and size bytes.
+
+    Each text gives a slice of its share of the dictionary, from a place in the whole text that the hash chooses; slices come in the order of
+    the hashes, so neither long texts nor small ids count for more.
+    """
+    may = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    names = sorted(r["lang"] for r in may.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    # ranked within a language; of each task only the first max_docs go on
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = may.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= max_docs)
     # languages times max_docs ids: a size bound that the number of documents cannot break
-    ids = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct())
-    short = F.substring(F.coalesce("text", F.lit("")), 1, MAX_SHARE)
-    rows = docs.join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("doc_id", "lang", short.alias("text")).toPandas()
+    ids = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "__rank"))
+    share = max(8, size // max_docs)
+    text = F.coalesce("text", F.lit(""))
+    place = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.greatest(F.length(text) - share + 1, F.lit(1))).cast("int")
+    rows = docs.join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("__lang", "__rank", F.substr(text, place + 1, F.lit(share)).alias("part"))
+    # one slice for each id, whatever its number of rows
+    found = rows.groupBy("__lang", "__rank").agg(F.min("part").alias("part")).toPandas().sort_values(["__lang", "__rank"])
     out = {}
     for n in names:
         # a set: copies of a text would only fill the dictionary
-        texts = dict.fromkeys(plain_letters(t) for t in rows[rows["lang"] == n].sort_values("doc_id")["text"])
+        texts = dict.fromkeys(plain_letters(t) for t in found[found["__lang"] == n]["part"])
         joined = b" ".join(t for t in texts if t)[:size]
         if len(joined) >= 8:
             out[n] = joined
