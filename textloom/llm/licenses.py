@@ -1,10 +1,12 @@
 """Licence scan: a trained paragraph classifier, in DataFrame operations only.
 
-A paragraph is a line. Its word bigrams and trigrams meet the sparse weights of a
-multinomial logistic regression over licence families and an unknown class; the weights
+A paragraph is a line, with the lines that go on in lower case behind it (a notice that is
+wrapped at a column is one paragraph). Its word bigrams and trigrams meet the sparse weights of a
+multinomial logistic regression over licence families and an unknown class. The weights
 are trained on the driver from the notices below, alone and inside longer sentences, against
-sentences that use the same words for other things. The temperature of the softmax is
-fitted on notices left out of the training, and a paragraph is of a family only if
+look-alikes made by a rule: the notices' own words in other orders, in pieces of one to three
+words, and their pieces inside sentences that use the same words for other things. The temperature of the softmax is
+fitted on notices (whole names and sentences) and sentences that weights trained without them have not seen, and a paragraph is of a family only if
 that family's probability reaches ``least_probability``. A second step compares such
 paragraphs with the notices of the family: the share of a notice's n-grams that the paragraph
 holds, or of the paragraph's that the notice holds, confirms the prediction from
@@ -14,7 +16,7 @@ Weights are whole thousandths, so sums are exact in any order. Weights and notic
 few thousand rows whatever the corpus, and go to every task.
 
 Defined cases: null text counts as empty; paragraphs without a known n-gram are of the
-unknown class and give no row; repeated rows give their paragraphs each; null ids are ids like others; extra columns
+unknown class and give no row; of families alike in weight the first by FAMILIES is told; repeated rows give their paragraphs each; null ids are ids like others; extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -102,6 +104,8 @@ OTHER = (
 FAMILIES = tuple(NAMES)
 CLASSES = (*FAMILIES, "unknown")
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.6, 0.5
+#: A line end within a paragraph: no sentence ends before it, and a small letter follows.
+WRAPPED = "([^.!?:;\\n])\\n(\\p{Ll})"
 #: Weights under this size are left out of the model.
 SPARSE = 0.05
 
@@ -121,51 +125,83 @@ def templates() -> list[tuple[str, str]]:
     return named + [(f, s) for f in FAMILIES for s in NOTICES[f]]
 
 
-def examples() -> list[tuple[int, str]]:
-    """(class, paragraph): notices alone, behind and before other words, and sentences of no licence."""
+def look_alikes(text: str, seed: int) -> list[str]:
+    """The words of a notice in other orders, cut into pieces of one, two and three words: what its single n-grams look like elsewhere."""
+    w = words(text)
+    out = []
+    for n in (1, 2, 3):
+        pieces = [w[i : i + n] for i in range(0, len(w), n)]
+        order = np.random.default_rng((seed, n)).permutation(len(pieces))
+        out.append(" ".join(x for i in order for x in pieces[i]))
+    return out
+
+
+def examples() -> list[tuple[int, str, bool]]:
+    """(class, paragraph, held out): notices alone, behind and before other words, and paragraphs of no licence.
+
+    A fifth of the names, sentences and other sentences is held out, in whatever form.
+    """
+    unknown = len(FAMILIES)
+    names = [n for f in FAMILIES for n in NAMES[f]]
+    # a family's only name or sentence stays in the training
+    held_name = {n for f in FAMILIES for k, n in enumerate(NAMES[f]) if k and names.index(n) % 5 == 3}
+    held_notice = {s for f in FAMILIES for k, s in enumerate(NOTICES[f]) if k and k % 5 == 2}
+    held_other = {s for k, s in enumerate(OTHER) if k % 5 == 3}
+    kept_other = [s for s in OTHER if s not in held_other]
     out = []
     for k, (family, text) in enumerate(templates()):
         y = FAMILIES.index(family)
-        out.append((y, text))
-        out.append((y, f"{OTHER[k % len(OTHER)]} {text}"))
+        hold = text in held_notice or any(n in text for n in held_name)
+        beside = sorted(held_other)[k % len(held_other)] if hold else kept_other[k % len(kept_other)]
+        out += [(y, text, hold), (y, f"{beside} {text}", hold), (y, f"{text} {beside}", hold)]
         w = text.split()
         if len(w) > 12:
-            out += [(y, " ".join(w[: len(w) // 2])), (y, " ".join(w[len(w) // 2 :]))]
-    unknown = len(FAMILIES)
-    out += [(unknown, s) for s in OTHER for _ in range(4)]
-    out += [(unknown, f"{a} {b}") for i, a in enumerate(OTHER) for b in (OTHER[(i + 1) % len(OTHER)], OTHER[(i + 7) % len(OTHER)])]
-    out += [(unknown, "")] * 20
-    return out
+            out += [(y, " ".join(w[: len(w) // 2]), hold), (y, " ".join(w[len(w) // 2 :]), hold)]
+        if text in NOTICES[family] or text in NAMES[family]:
+            # a name alone is told by its words, so only longer ones are put in other orders
+            out += [(unknown, t, hold) for t in (look_alikes(text, k) if len(w) > 6 else ())]
+            out += [(unknown, f"{beside} {' '.join(words(text)[:2])}.", hold)] * (len(w) > 6)
+    for k, s in enumerate(OTHER):
+        hold = s in held_other
+        own = sorted(held_other) if hold else kept_other
+        out += [(unknown, s, hold)] * 4 + [(unknown, f"{s} {own[(k + step) % len(own)]}", hold) for step in (1, 7)]
+        out += [(unknown, t, hold) for t in look_alikes(s, 1000 + k)]
+    return out + [(unknown, "", False)] * 20
 
 
 @cache
 def model() -> tuple[dict[str, tuple[int, ...]], tuple[int, ...], float]:
     """n-gram -> weight of each class in thousandths; the classes' offsets; the temperature."""
     data = examples()
-    hold = np.array([k % 5 == 2 for k in range(len(data))])
-    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t in data for g in grams(t)}))}
+    hold = np.array([h for _, _, h in data])
+    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t, _ in data for g in grams(t)}))}
     x = np.zeros((len(data), len(vocabulary) + 1))
     x[:, -1] = 1
-    for r, (_, t) in enumerate(data):
+    for r, (_, t, _) in enumerate(data):
         for g in grams(t):
             x[r, vocabulary[g]] += 1
-    y = np.eye(len(CLASSES))[[c for c, _ in data]]
+    y = np.eye(len(CLASSES))[[c for c, _, _ in data]]
 
     def soft(z):
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    w = np.zeros((x.shape[1], len(CLASSES)))
-    speed = np.zeros_like(w)
-    train_x, train_y = x[~hold], y[~hold]
-    for _ in range(250):  # accelerated gradient steps; the ridge keeps rare n-grams small
-        ahead = w + 0.9 * speed
-        grad = train_x.T @ (soft(train_x @ ahead) - train_y) / len(train_x) + 2e-4 * ahead
-        speed = 0.9 * speed - 0.25 * grad
-        w = w + speed
-    w[np.abs(w) < SPARSE] = 0
-    best = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum((soft(x[hold] @ w / t) * y[hold]).sum(1), 1e-12)).mean())
-    whole = np.rint(w * 1000).astype(int)
+    def trained(rows: np.ndarray) -> np.ndarray:
+        w = np.zeros((x.shape[1], len(CLASSES)))
+        speed = np.zeros_like(w)
+        train_x, train_y = x[rows], y[rows]
+        for _ in range(250):  # accelerated gradient steps; the ridge keeps rare n-grams small
+            ahead = w + 0.9 * speed
+            grad = train_x.T @ (soft(train_x @ ahead) - train_y) / len(train_x) + 2e-4 * ahead
+            speed = 0.9 * speed - 0.25 * grad
+            w = w + speed
+        w[np.abs(w) < SPARSE] = 0
+        return w
+
+    # the temperature from weights that have not seen the held-out rows, the weights from all rows
+    apart = trained(~hold)
+    best = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda t: -np.log(np.maximum((soft(x[hold] @ apart / t) * y[hold]).sum(1), 1e-12)).mean())
+    whole = np.rint(trained(np.ones(len(data), bool)) * 1000).astype(int)
     return {g: tuple(map(int, whole[i])) for g, i in vocabulary.items() if whole[i].any()}, tuple(map(int, whole[-1])), float(best)
 
 
@@ -186,8 +222,8 @@ def _templates_sql() -> str:
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """row_id, doc_id, paragraph (number from 0), words of every line of rows (row_id, doc_id, text)."""
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    """row_id, doc_id, paragraph (number from 0), words of every paragraph of rows (row_id, doc_id, text)."""
+    lines = F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WRAPPED, "$1 $2"), "\n")
     rows = rows.select("row_id", "doc_id", F.posexplode(lines).alias("paragraph", "line"))
     return rows.select("row_id", "doc_id", "paragraph", F.array_remove(F.split(F.lower("line"), "[^\\p{L}\\p{N}]+"), "").alias("words"))
 
@@ -249,7 +285,7 @@ def oracle_sql() -> str:
     total = " + ".join(f"exp(m_{c} / {t} - top / {t})" for c in CLASSES)
     return rf"""
 WITH weights AS ({_weights_sql()}), notices AS ({_templates_sql()}),
-lines AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(regexp_replace(coalesce(text, ''), '([^.!?:;\n])\n(\p{{Ll}})', '\1 \2', 'g'), chr(10)) AS ls FROM documents),
 parts AS (SELECT row_id, doc_id, p AS paragraph, list_filter(regexp_split_to_array(lower(ls[p + 1]), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM lines, unnest(range(0, len(ls))) AS u(p)),
 grams AS (
   SELECT row_id, doc_id, paragraph, concat_ws(' ', w[k + 1], w[k + 2]) AS gram FROM parts, unnest(range(0, len(w) - 1)) AS u(k)
