@@ -5,9 +5,15 @@ dictionary built from the archive's records, then every record is a frame of its
 needs that dictionary. A page whose payload equals that of another page is written as a
 revisit that refers to it.
 
-An archive is a row (name, content) of a DataFrame, so Spark's writers and commit protocol
-carry it: a lost executor's archives are written again, never twice. ``export_archives``
-makes files of such rows.
+Tasks write the files themselves, through the file system of the folder's URI (``pyarrow.fs``:
+local, hdfs, s3, gs, abfs), under a name that no other attempt has, and move each to its final name when it is whole. What
+makes an archive part of the result is its row in the list of archives, which Spark's commit
+protocol writes: a lost executor's archives are written again, and files that no row names, left by
+attempts that failed, are never read.
+
+The dictionary is trained on records spread evenly over the archive, ``sample_bytes`` of them in all, each up to an eighth of that;
+an archive of fewer than 16 records, on which training fails, takes the beginnings of its records as raw content. Records
+are compressed whole whatever the dictionary.
 
 Defined cases: null html is the empty payload; null urls have no target header; white space
 and control characters in urls are percent-encoded; payloads under ``least_bytes`` are
@@ -22,21 +28,24 @@ import base64
 import hashlib
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import saved, table
+from textloom.llm.common import new_path, table
 
 #: Of a skippable frame with a dictionary, in the .warc.zst format.
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Uncompressed bytes of records in an archive, of the dictionary, and of the records that it is built from.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 8 << 20, 32 << 10, 1 << 20
 LEAST_BYTES = 1000
+ARCHIVE_SCHEMA = "archive string, records int, bytes long"
 LEVEL = 6
 
 
@@ -125,23 +134,34 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     return joined.select("page_id", "url", "payload", "sha1", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Rows (archive, records, content): the archives of pages (page_id, url, html)."""
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path there."""
+    found, path = fs.FileSystem.from_uri(uri if ":" in uri else f"file://{os.path.abspath(uri)}")
+    return found, path.rstrip("/")
+
+
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z", least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """Write the archives of pages (page_id, url, html) into a folder; their list (archive, records, bytes), stored beside them in ``archives``."""
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
+        target, where = file_system(folder)
+        target.create_dir(where, recursive=True)
         held: list[bytes] = []
         size = 0
 
         def flush():
             nonlocal made, size
-            name = f"part-{part:06d}-{made:05d}.warc.zst"
+            name = f"part-{part:06d}-{made:05d}-{uuid.uuid4().hex}.warc.zst"
             info = record("warcinfo", f"urn:archive:{name}", b"software: textloom\r\nformat: WARC File Format 1.1\r\n", date=date, content_type="application/warc-fields")
             content = pack_archive([info, *held])
-            out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held) + 1], pa.int32()), pa.array([content], pa.binary())], ["archive", "records", "content"])
+            with target.open_output_stream(f"{where}/.{name}", compression=None) as out:
+                out.write(content)
+            target.move(f"{where}/.{name}", f"{where}/{name}")
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held) + 1], pa.int32()), pa.array([len(content)], pa.int64())], ["archive", "records", "bytes"])
             made, size = made + 1, 0
             held.clear()
-            return out
+            return row
 
         for b in batches:
             for page, url, payload, sha1, refers in zip(*(b.column(c) for c in ("page_id", "url", "payload", "sha1", "refers_to")), strict=True):
@@ -159,11 +179,13 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: s
         if held:
             yield flush()
 
-    return with_revisits(pages, least_bytes).mapInArrow(run, "archive string, records int, content binary")
+    written = with_revisits(pages, least_bytes).mapInArrow(run, ARCHIVE_SCHEMA)
+    written.write.parquet(f"{folder.rstrip('/')}/archives")
+    return pages.sparkSession.read.schema(written.schema).parquet(f"{folder.rstrip('/')}/archives")
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row for each page record: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, of responses, the payload."""
+def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+    """A row for each page record of the listed archives of a folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, of responses, the payload."""
 
     def number(urn: str | None) -> int | None:
         text = None if urn is None else urn.strip("<>").removeprefix("urn:page:")
@@ -176,10 +198,13 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
+        source, where = file_system(folder)
         for b in batches:
-            for content in b.column("content"):
+            for name in b.column("archive").to_pylist():
+                with source.open_input_file(f"{where}/{name}") as file:
+                    content = file.read()
                 rows, size = [], 0
-                for raw in unpack_archive(content.as_py()):
+                for raw in unpack_archive(content):
                     head, block = parse_record(raw)
                     if head["warc-type"] == "warcinfo":
                         continue
@@ -198,26 +223,13 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield batch(rows)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return archives.select("content").mapInArrow(run, schema)
-
-
-def export_archives(archives: DataFrame, folder: str) -> None:
-    """Write each archive as a file of a folder that all executors can open; a file appears whole or not at all."""
-
-    def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            part = os.path.join(folder, f".{r['archive']}.{os.getpid()}")
-            with open(part, "wb") as out:
-                out.write(r["content"])
-            os.replace(part, os.path.join(folder, r["archive"]))
-
-    archives.select("archive", "content").foreachPartition(write)
+    return archives.select("archive").mapInArrow(run, schema)
 
 
 def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = saved(write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "warc")
-    return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = new_path(spark, "warc")
+    archives = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return read_archives(archives, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
