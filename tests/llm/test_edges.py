@@ -83,13 +83,14 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     big = "x" * 2000
     rows = [(1, "http://a b/\n", big, "c"), (2, None, big, "c"), (None, "u", big, "c"), (3, "u", None, "c"), (4, "u", "é" * 999, "c"), (4, "u", "é" * 999, "c"), (5, "u", "short", "c"), (6, "u", "short", "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string")
-    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    folder = f"file://{tmp_path}/a"
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(warc.write_archives(pages, folder), folder).collect()}
     assert got == {(1, "revisit", 2, 2000), (2, "response", None, 2000), (None, "revisit", 2, 2000), (3, "response", None, 0), (4, "response", None, 1998), (5, "response", None, 5), (6, "response", None, 5)}
-    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    assert warc.read_archives(warc.write_archives(pages.limit(0), f"{folder}-empty"), f"{folder}-empty").count() == 0
 
 
 def test_licenses(docs, empty):

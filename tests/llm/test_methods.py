@@ -34,19 +34,83 @@ def test_against_sql(spark, name):
     assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == sorted(repr([r[c] for c in cols]) for r in rows)
 
 
-@pytest.mark.parametrize(("module", "name", "label"), [(quality, "op10_quality_discriminant", "quality"), (toxicity, "op4_toxicity_boosted_trees", "toxic")])
-def test_held_out_accuracy(spark, module, name, label):
+@pytest.mark.parametrize(("module", "name", "label", "cut"), [(quality, "op10_quality_discriminant", "quality", 0.5), (toxicity, "op4_toxicity_boosted_trees", "toxic", 0.7)])
+def test_held_out_accuracy(spark, module, name, label, cut):
+    """Recall and precision of either class, which no constant has."""
     got = getattr(module, name)(spark, SF_FIT).toPandas()
     lab = pq.read_table(f"{SF_FIT}/labels.parquet").to_pandas()
     assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
+    assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= cut)).all()
     held = got[got["held_out"]].merge(lab, on="doc_id")
-    assert (held["predicted"] == held[label]).mean() > 0.85
+    for k in (0, 1):
+        mine, said = held[held[label] == k], held[held["predicted"] == k]
+        assert (mine["predicted"] == k).mean() >= (0.65 if label == "toxic" and k else 0.95)
+        assert (said[label] == k).mean() >= 0.9
+    assert (held["predicted"] == held[label]).mean() > held[label].value_counts(normalize=True).max() + 0.05
+
+
+def test_discriminant_equals_plain_gaussians():
+    """Scores from the cached inverse factors against densities by inverse and determinant of the shrunk covariances."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(80, 5)), rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5)) + 1.5])
+    y = np.repeat([0, 1], [80, 60])
+    model = quality.fit(x, y, 0.2, 0.1)
+    mean, scale = x.mean(0), x.std(0)
+    z = (x - mean) / scale
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = (80 * own[0] + 60 * own[1]) / 140
+    dens = []
+    for k in (0, 1):
+        s = 0.8 * own[k] + 0.2 * pooled
+        s = 0.9 * s + 0.1 * (np.trace(s) / 5 + 1e-3) * np.eye(5)
+        d = z - z[y == k].mean(0)
+        dens.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.log(np.linalg.det(s)))
+    want = 1 / (1 + np.exp(-(model.slope * (dens[1] - dens[0]) + model.offset)))
+    assert np.allclose(model.score(x), want) and model.slope > 0
+
+
+def test_boosted_trees_equal_a_walk():
+    """Margins and scores against a walk down each tree, a row at a time, and the calibration against its own blocks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6))
+    y = (x[:, 0] + 0.5 * x[:, 3] > 0.8).astype(float)
+    model = toxicity.fit(x, y, rng.random(400) < 0.5)
+    score = model.score(x)
+    for row, s in zip(x[:60], score, strict=False):
+        margin = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            margin += v[node - len(f)]
+        assert s == pytest.approx(np.interp(margin, model.steps_x, model.steps_y))
+    assert (np.diff(model.steps_y) >= 0).all() and ((score >= 0.5) == (y > 0)).mean() > 0.95
+    m, v = np.arange(6.0), np.array([0, 1, 0, 1, 1, 1.0])
+    steps, level = toxicity.isotonic(m, v)
+    assert steps.tolist() == [0, 1.5, 4] and level[0] < level[1] < level[2]
 
 
 def test_language_accuracy(spark):
     got = language.op7_language_compression(spark, SF_FIT).toPandas().merge(pq.read_table(f"{SF_FIT}/documents.parquet").to_pandas(), on="doc_id")
     held = got[got["held_out"]]
-    assert (held["lang_pred"] == held["lang"]).mean() > 0.93
+    assert (held["lang_pred"] == held["lang"]).mean() > max(0.93, held["lang"].value_counts(normalize=True).max() + 0.05)
+    for n in held["lang"].dropna().unique():
+        assert (held[held["lang"] == n]["lang_pred"] == n).mean() > 0.85
+
+
+def test_language_is_the_smallest_compression():
+    """Predictions against plain sizes with each dictionary; ties go to the first language."""
+    import zstandard
+
+    parts = {"aa": b"one two three four five six " * 30, "bb": b"uno dos tres cuatro cinco seis " * 30, "zz": b"one two three four five six " * 30}
+    tools = language.Compressors(parts)
+    for text in ("Three, four; FIVE!", "tres cuatro", "x", "six seis six", "one two " * 500):
+        plain = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+        sizes = {n: len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(plain)) for n, d in parts.items()}
+        name, score = tools.predict(text)
+        assert sizes[name] == min(sizes.values()) and name != "zz"
+        odds = sum(np.exp((min(sizes.values()) - s) / language.BYTES_PER_NAT) for s in sizes.values())
+        assert score == pytest.approx(1 / odds, rel=0.3)
 
 
 @pytest.mark.parametrize(("memory", "least_range", "steps"), [(7, 4, 1), (7, 2048, 12), (1 << 20, 4, 12), (1 << 20, 2048, 0), (40, 16, 2)])
@@ -237,28 +301,50 @@ def test_packing_is_best_fit_decreasing():
 
 def test_archives_are_files_and_damage_is_noticed(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    archives = warc.write_archives(pages, archive_bytes=100_000)
-    warc.export_archives(archives, str(tmp_path))
-    found = [warc.parse_record(r) for f in sorted(os.listdir(tmp_path)) for r in warc.unpack_archive((tmp_path / f).read_bytes())]
-    assert len(found) == pages.count() + len(os.listdir(tmp_path)) > len(os.listdir(tmp_path)) > 1
-    content = bytearray((tmp_path / sorted(os.listdir(tmp_path))[0]).read_bytes())
+    folder = tmp_path / "archives"
+    listed = {r.archive: r.bytes for r in warc.write_archives(pages, f"file://{folder}", archive_bytes=100_000).collect()}
+    names = sorted(f for f in os.listdir(folder) if f.endswith(".warc.zst"))
+    assert names == sorted(listed) and all((folder / n).stat().st_size == listed[n] for n in names) and not [f for f in os.listdir(folder) if f.startswith(".part")]
+    found = [warc.parse_record(r) for n in names for r in warc.unpack_archive((folder / n).read_bytes())]
+    assert len(found) == pages.count() + len(names) > len(names) > 1
+    # what an attempt left behind that failed is no part of the result
+    (folder / "part-000000-00000-left.warc.zst").write_bytes(b"half")
+    archives = spark.read.parquet(f"file://{folder}/archives")
+    got = {(r.page_id, bytes(r.payload or b"")) for r in warc.read_archives(archives, f"file://{folder}").collect()}
+    assert {i for i, _ in got} == {r.page_id for r in pages.select("page_id").collect()}
+    content = bytearray((folder / names[0]).read_bytes())
     content[-20] ^= 255
     with pytest.raises(Exception):  # noqa: B017, PT011
         list(warc.unpack_archive(bytes(content)))
 
 
-def test_licence_model():
-    table, offsets, temperature = licenses.model()
-
-    def predict(text):
-        m = np.array(offsets, float)
-        for g in licenses.grams(text):
-            m += np.array(table.get(g, [0] * len(offsets)))
-        return licenses.CLASSES[int(m.argmax())]
-
-    assert predict("Our code is released under the Apache License, Version 2.0, see below.") == "apache"
-    assert predict("He went under the bridge with a driving licence.") == "unknown" and predict("") == "unknown"
-    assert np.mean([predict(t) == licenses.CLASSES[c] for c, t in licenses.examples()]) > 0.95
+def test_licence_model(spark):
+    """Precision and recall on notices in wordings, and on look-alikes, that the training has not seen; the query's own path."""
+    licence = [
+        ("mit", "Our code is released under the MIT License, see the repository for more."), ("apache", "Source files here are licensed under the Apache License, Version 2.0 unless a header says otherwise."),
+        ("gpl", "This package is distributed under the GNU General Public License, version 3, like its predecessor."), ("bsd", "The tools directory is available under the BSD 3-Clause License and nothing else."),
+        ("mpl", "All of it is licensed under the Mozilla Public License, version 2.0 as of today."), ("cc_by", "Photos in this post: this work is licensed under the CC BY 4.0."),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files, to deal\nin the Software without restriction"),
+        ("apache", "you may not use this file except in compliance\nwith the License. You may obtain a copy of the License at the usual place"),
+        ("gpl", "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of fitness"), ("proprietary", "Copyright the authors. All rights reserved."),
+        ("public_domain", "This is free and unencumbered software released into the public domain."), ("isc", "Released under the ISC License by its only author."),
+    ]
+    other = [
+        "The licence fee for fishing in the public lake was raised by the council.", "A copy of the notice was sent to each member of the public.", "He had no permission to use the software at work without a contract.",
+        "The apache warriors held the general in high regard, and he them.", "Under the new terms the club may sell tickets and distribute them to any person.", "The mozilla mascot was shown to the public at the fair.",
+        "Version 2.0 of the plan is distributed in the hope of an answer.", "She studied the creative commons of the old town, an open field.", "All seats reserved for guests are free of charge on Sunday.",
+        "The conditions of the warranty were met, and the merchant paid.", "Redistribution of land was the aim of the general public for a century.", "The school's bsd course was released in two versions.",
+        "You may obtain a permit from the office of the author.", "There is a substantial portion of rice in all copies of the dish.", "", "Provided that the weather holds, the following events are in the park.",
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(licence)] + [(100 + i, t) for i, t in enumerate(other)]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.confirmed:
+            got.setdefault(r.doc_id, set()).add(r.family)
+    right = sum(f in got.get(i, ()) for i, (f, _) in enumerate(licence))
+    wrong = [i for i in got if i >= 100]
+    assert right >= 0.9 * len(licence) and not wrong
+    assert licenses.model()[2] > 0 and sum(h for _, _, h in licenses.examples()) > 100
 
 
 def test_pipeline(spark):
