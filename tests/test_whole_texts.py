@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from test_align import slow_distance
 
 from textloom.operators import align as A
 from textloom.plans import registry
@@ -23,22 +24,6 @@ def norm(t):
     return "".join(c for c in t.lower() if c.isalnum())
 
 
-def slow_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-    return row[-1]
-
-
-def test_edit_distance_bits():
-    rng = random.Random(5)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abé한") for _ in range(rng.randrange(90))) for _ in "ab")
-        assert A.edit_distance_bits(a, b) == slow_distance(a, b)
-
-
 def test_error_rates(spark, sf):
     where, turns, _ = sf
     texts = [norm(t[3]) for t in turns]
