@@ -37,13 +37,28 @@ def test_differences_are_whole(spark):
     assert got == [[], ["insert_side", "other_lost"]]
 
 
-def test_passages_lose_nothing():
+def test_passages_lose_nothing(spark):
     parts = [{"tag": "equal", "original": "word " * 900, "other": "word " * 900}, {"tag": "replace", "original": "a" * 3000, "other": "b. " * 100}, {"tag": "delete", "original": "end.", "other": ""}]
     got = records.passages(parts)
     for side in ("original", "other"):
         assert "".join(p[side] for g in got for p in g["parts"]) == "".join(p[side] for p in parts)
         assert all(sum(len(p[side]) for p in g["parts"]) <= records.PASSAGE for g in got)
-    assert [g["index"] for g in got] == list(range(len(got))) and not got[0]["changed"] and got[-1]["changed"]
+    assert [g["index"] for g in got] == list(range(len(got))) and not got[0]["changed"] and got[-1]["changed"] and records.passages([]) == []
+    # a passage ends with a sentence once it is long enough, and equal sides are cut alike
+    text = "Short one. " * 200
+    ends = ["".join(p["original"] for p in g["parts"]) for g in records.passages([{"tag": "equal", "original": t, "other": t} for t in text.splitlines(True)])]
+    assert all(e.rstrip().endswith(".") for e in ends)
+    sized = records.passages([{"tag": "equal", "original": "x" * 800 + ".", "other": "x" * 800 + "."}, {"tag": "insert", "original": "", "other": "y"}])
+    assert len(sized) == 2 and [g["changed"] for g in sized] == [False, True]
+    df = spark.createDataFrame([([tuple(p.values()) for p in parts],), (None,)], "p array<struct<tag:string,original:string,other:string>>")
+    assert [len(r[0]) for r in df.select(records.passages_udf(F.col("p"))).collect()] == [len(got), 0]
+
+
+def test_natural_cuts():
+    text = "one two three. four five six\nseven eight nine ten " * 40
+    cuts = records.natural_cuts(text, 100)
+    pieces = [text[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+    assert "".join(pieces) == text and max(map(len, pieces)) <= 100 and all(p[-1] in " \n" for p in pieces) and records.natural_cuts("x" * 250, 100) == [100, 200, 250]
 
 
 def test_review_and_restore(spark):
