@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from textloom.plans import ordered, relational  # noqa: F401 (their oracles)
 from textloom.plans.ordered import _tumbling
-from textloom.plans.registry import query
-from textloom.streaming.run import coalesced_previews, drained, stream_of
-from textloom.streaming.segments import ingest_stream
+from textloom.plans.registry import ORACLES, query
+from textloom.sources.shared import shared_path
+from textloom.streaming.run import coalesced_previews, drained, saved_revisions, stream_of
+from textloom.streaming.segments import block_stream, endpoint_stream, ingest_stream, overlap_stream, segment_stream
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
@@ -42,15 +45,105 @@ def stream_ingest(spark, sf_dir):
     t = stream_of(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 3")
     copies = F.when(F.col("turn") % 4 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     t = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("sequence"), F.explode(copies).alias("copy"))
-    packets = t.select("session", (F.col("sequence") * 2 + F.col("copy")).alias("arrival"), "sequence", F.lit(False).alias("final"))
+    packets = t.select("session", (F.col("sequence") * 2 + F.col("copy")).alias("arrival"), "sequence", F.lit(False).alias("final"), F.lit(False).alias("fails"))
     return drained(ingest_stream(packets), "append", "ingest").drop("batch")
 
 
 @query("""WITH q AS (SELECT event_id AS arrival, user_id AS id, event_type = 'purchase' AS final FROM events)
 SELECT arrival, id, final FROM q WHERE final UNION ALL SELECT max(arrival), id, false FROM q WHERE NOT final AND id NOT IN (SELECT id FROM q WHERE final) GROUP BY id""")
 def preview_queue(spark, sf_dir):
-    """Queued previews give way to finals and to later previews of their id."""
-    q = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("arrival"), F.col("user_id").alias("id"), (F.col("event_type") == "purchase").alias("final"))
-    return coalesced_previews(q)
+    """Queued previews of a stream give way to finals and to later previews of their id, in each micro-batch."""
+    q = stream_of(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), F.col("user_id").alias("id"), (F.col("event_type") == "purchase").alias("final"))
+    return drained(q, "append", "previews", each=coalesced_previews).drop("batch")
 
 
+_PACKETS = """WITH RECURSIVE p AS (SELECT conv_id, turn, length(text) / 64.0 AS seconds, turn % 3 = 2 AS silent, turn = max(turn) OVER (PARTITION BY conv_id) AS final, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+n AS (SELECT conv_id, k, 0 AS number, 0.0::DOUBLE AS tt, seconds::DOUBLE AS now, CASE WHEN silent THEN seconds ELSE 0 END::DOUBLE AS quiet, NOT silent AS spoken, final, seconds FROM p WHERE k = 1),
+f AS (SELECT conv_id, k, number, tt, now, CASE WHEN final THEN 'final' WHEN spoken AND quiet >= 0.6 THEN 'pause' WHEN quiet >= 1.2 THEN 'silence' WHEN now - tt >= 20 THEN 'length' END AS reason, quiet, spoken FROM n
+UNION ALL SELECT conv_id, k, number, tt, now, CASE WHEN final THEN 'final' WHEN spoken AND quiet >= 0.6 THEN 'pause' WHEN quiet >= 1.2 THEN 'silence' WHEN now - tt >= 20 THEN 'length' END, quiet, spoken
+FROM (SELECT p.conv_id, p.k, p.final, f.number + (f.reason IS NOT NULL)::INT AS number, CASE WHEN f.reason IS NULL THEN f.tt ELSE f.now END AS tt, f.now + p.seconds AS now,
+CASE WHEN p.silent THEN p.seconds + CASE WHEN f.reason IS NULL THEN f.quiet ELSE 0 END ELSE 0 END::DOUBLE AS quiet, NOT p.silent OR (f.reason IS NULL AND f.spoken) AS spoken FROM f JOIN p ON p.conv_id = f.conv_id AND p.k = f.k + 1))
+SELECT conv_id AS session, CAST(number AS BIGINT) AS number, round(tt, 6) AS "start", round(now, 6) AS "end", reason FROM f WHERE reason IS NOT NULL"""
+
+
+def _last_turn(spark, sf_dir):
+    """The turns of a stream, with the number of their conversation's last (a batch lookup)."""
+    last = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    return stream_of(spark, sf_dir, "conversations").join(last, "conv_id")
+
+
+@query(_PACKETS)
+def stream_endpoints(spark, sf_dir):
+    """Turns as packets of speech and silence: the stretches that pauses, lengths and ends of sessions close."""
+    t = _last_turn(spark, sf_dir)
+    packets = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("sequence"), (F.length("text") / 64.0).cast("double").alias("seconds"), (F.col("turn") % 3 == 2).alias("silent"), (F.col("turn") == F.col("last")).alias("final"))
+    out = drained(endpoint_stream(packets), "append", "endpoints")
+    return out.select("session", "number", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "reason")
+
+
+@query()
+def stream_segments(spark, sf_dir):
+    """Turns as blocks of sound, a tenth of a second for every 16 characters: the speech-gated segments of each conversation, the last one ended by the session."""
+    t = _last_turn(spark, sf_dir)
+    blocks = t.select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("sequence"), F.when(F.col("turn") % 4 == 3, 0.0).otherwise(0.1).alias("level"), (F.length("text") * 100).cast("long").alias("size"), (F.col("turn") == F.col("last")).alias("final")
+    )
+    return drained(segment_stream(blocks), "append", "segments").drop("batch")
+
+
+@query(ORACLES["greedy_blocks"].replace("SELECT conv_id, turn, CAST(block AS INT) AS block FROM f", "SELECT conv_id AS session, CAST(turn AS BIGINT) AS place, CAST(block AS INT) AS block FROM f"))
+def stream_blocks(spark, sf_dir):
+    """The greedy blocks of turns, as a stream."""
+    t = stream_of(spark, sf_dir, "conversations")
+    items = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("place"), F.lit(0.0).alias("seconds"), F.length("text").alias("size"))
+    return drained(block_stream(items, most=1500), "append", "blocks").drop("batch")
+
+
+@query()
+def stream_overlaps(spark, sf_dir):
+    """Turns that begin with the end of the one before, as a stream: without what they repeat."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    path = shared_path(spark, "overlapping-turns")
+    t.withColumn("text", F.concat(F.coalesce(F.right(before, F.lit(40)), F.lit("")), "text")).write.parquet(path)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return drained(overlap_stream(rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("place"), "text", F.lit(True).alias("final"))), "append", "overlaps").drop("batch")
+
+
+@query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS events FROM events GROUP BY ALL")
+def stream_resumed(spark, sf_dir):
+    """Counts of a stream whose input comes in two parts, each drained by a run of its own that goes on from the checkpoint of the last."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    path, place = shared_path(spark, "parts"), shared_path(spark, "progress")
+    out = None
+    for half in (0, 1):
+        ev.where(F.col("event_id") % 2 == half).write.mode("append").parquet(path)
+        rows = spark.readStream.schema(ev.schema).parquet(path)
+        out = drained(rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("events")), "update", "resumed", place=place, fingerprint="counts of events")
+    return out.groupBy("user_id", "event_type").agg(F.max_by("events", "batch").alias("events"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 1 THEN 3 WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS revision, CASE WHEN doc_id % 3 = 1 THEN 'second' WHEN doc_id % 3 = 2 THEN 'first' ELSE lang END AS value FROM documents")
+def stream_revisions(spark, sf_dir):
+    """Compare-and-set saves that arrive as a stream, a micro-batch after the other: those that name the stored revision win."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stored = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("revision"), F.col("lang").alias("value"))
+    path = shared_path(spark, "saves")
+    docs.where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), F.lit(1).alias("revision"), F.lit("first").alias("value")).coalesce(1).write.parquet(f"{path}/a")
+    docs.where("doc_id % 3 = 1").select(F.col("doc_id").alias("id"), F.lit(2).alias("revision"), F.lit("second").alias("value")).coalesce(1).write.parquet(f"{path}/b")
+    docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(0).alias("revision"), F.lit("late").alias("value")).coalesce(1).write.parquet(f"{path}/c")
+    for part in "abc":
+        saves = spark.readStream.schema(stored.schema).parquet(f"{path}/{part}")
+        stored = saved_revisions(saves, stored)
+    return stored
+
+
+@query(ORACLES["point_in_interval"].replace("SELECT e.event_id, w.window_id", "SELECT e.event_id AS response_id, w.window_id AS request_id"))
+def stream_correlation(spark, sf_dir):
+    """Responses and the requests of the same key within the hour before them: a stream joined with itself, with watermarks that bound its state."""
+    ev = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    requests = ev.where("event_type = 'error'").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("request_user"), F.col("ts").alias("asked")).withWatermark("asked", "60 days")
+    ev = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    responses = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("response_id"), "user_id", F.col("ts").alias("answered")).withWatermark("answered", "60 days")
+    joined = responses.join(requests, F.expr("user_id = request_user AND answered >= asked AND answered < asked + INTERVAL 1 HOUR"))
+    return drained(joined.select("response_id", "request_id"), "append", "correlation").drop("batch")

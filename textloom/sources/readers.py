@@ -43,6 +43,18 @@ def split_settings(df: DataFrame, splits: str = "splits") -> DataFrame:
     return e.select(F.col("e.key").alias("title"), F.col("e.value").alias("split"), F.col("e.value").isin("train", "validation", "test").alias("valid"))
 
 
+def repeated_titles(df: DataFrame, title: str) -> DataFrame:
+    """Canonical titles that several settings name, and how many."""
+    return df.select(canonical_title(title).alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def fetched(pages: DataFrame, cached: DataFrame, key: str, body: str, most_bytes: int) -> DataFrame:
+    """What becomes of pages that are asked for: cached (kept as they are), failed (without a body), too_large or fetched."""
+    there = cached.select(key, F.lit(True).alias("__there")).distinct()
+    state = F.when(F.col("__there"), "cached").when(F.col(body).isNull(), "failed").when(F.octet_length(body) > most_bytes, "too_large").otherwise("fetched")
+    return pages.join(there, key, "left").withColumn("state", state).drop("__there")
+
+
 def _wav(contents: pd.Series) -> pd.DataFrame:
     rows = []
     for c in contents:

@@ -10,7 +10,11 @@ from pyspark.sql import SparkSession
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``, deleted when the application ends; a temporary folder only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
     path = f"{root.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

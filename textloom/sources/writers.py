@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import shared_path
+
 
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -26,10 +28,44 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.json(path)
 
 
-def publish(spark: SparkSession, target: str, outputs: dict[str, DataFrame], violations: DataFrame | None = None) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, there as a whole or not at all: written beside its place, then renamed over it."""
+    fs, final = _fs(spark, path)
+    part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")[1]
+    try:
+        out = fs.create(part, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if fs.exists(final):
+            fs.delete(final, False)
+        if not fs.rename(part, final):
+            raise OSError(f"{path} could not be written")
+    finally:
+        fs.delete(part, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, or None where there is none."""
+    fs, where = _fs(spark, path)
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(where) else None
+
+
+def require_fingerprint(spark: SparkSession, path: str, fingerprint: str) -> None:
+    """Keep a fingerprint of the settings that a state was made with; raise ValueError where another one is kept."""
+    kept = read_text(spark, path)
+    if kept is None:
+        write_text(spark, path, fingerprint)
+    elif kept != fingerprint:
+        raise ValueError(f"{path}: the state there was made with other settings")
+
+
+def publish(spark: SparkSession, target: str, outputs: dict[str, DataFrame], violations: DataFrame | None = None, inputs: str | None = None) -> None:
     """Write several outputs as one: to a staging folder that is renamed when all are there.
 
-    Refused with a ValueError, and nothing left behind, if violations has rows or the target exists.
+    Refused with a ValueError, and nothing left behind, if violations has rows, the target exists, or the files of the folder
+    inputs have changed meanwhile.
     """
     if violations is not None and (bad := violations.take(5)):
         raise ValueError(f"refused: {[r.asDict() for r in bad]}")
@@ -38,14 +74,29 @@ def publish(spark: SparkSession, target: str, outputs: dict[str, DataFrame], vio
         raise ValueError(f"{target} exists")
     staging = f"{target}.staging-{uuid.uuid4().hex}"
     try:
+        if inputs is not None:
+            snapshot(spark, inputs).write.parquet(f"{staging}/.inputs")
         for name, df in outputs.items():
             df.write.json(f"{staging}/{name}")
+        if inputs is not None:
+            if changed := changed_files(spark.read.parquet(f"{staging}/.inputs"), snapshot(spark, inputs)).take(5):
+                raise ValueError(f"refused: inputs changed: {[r.path for r in changed]}")
+            fs.delete(_fs(spark, f"{staging}/.inputs")[1], True)
         if not fs.rename(_fs(spark, staging)[1], final):
             raise OSError(f"{target} could not be published")
     finally:
         fs.delete(_fs(spark, staging)[1], True)
 
 
+def publish_quarantined(df: DataFrame, target: str, status: str = "status") -> None:
+    """Publish all rows as ``all`` and those that don't pass as ``quarantine``; df is computed once, to the shared folder, and both are read from there."""
+    spark = df.sparkSession
+    path = shared_path(spark, "quarantine")
+    df.write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    publish(spark, target, {"all": rows, "quarantine": rows.where(~F.col(status).eqNullSafe(F.lit("pass")))})
+
+
 def write_once(df: DataFrame, path: str) -> bool:
     """Write df, or, where path exists, require that it holds the same rows; whether it was written."""
     spark = df.sparkSession

@@ -1,11 +1,15 @@
-"""Running a streaming query to the end of its input, and reading what it emitted."""
+"""Running a streaming query to the end of its input, going on from where a run stopped, and reading what it emitted."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.sources.shared import shared_path
+from textloom.sources.writers import require_fingerprint, save_revisions
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
@@ -14,23 +18,61 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Everything that the query emits on the input there is, with the number of its micro-batch as ``batch``."""
+def json_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
+    """Requests as JSON lines, from the files that come into a folder; a malformed line fails the query."""
+    return spark.readStream.schema(schema).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_trigger).json(folder)
+
+
+def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] | None = None, place: str | None = None, fingerprint: str | None = None) -> DataFrame:
+    """Everything that the query emits on the input there is, with the number of its micro-batch as ``batch``.
+
+    each is applied to every micro-batch. With a place of its own (a folder) the query's progress and results stay there: the next
+    run goes on from them, and is refused where its settings' fingerprint is another.
+    """
     spark = stream.sparkSession
-    out = shared_path(spark, name)
+    root = place or shared_path(spark, name)
+    if fingerprint is not None:
+        require_fingerprint(spark, f"{root}/fingerprint", fingerprint)
+    out = f"{root}/out"
 
     def keep(df: DataFrame, batch: int) -> None:
+        df = df if each is None else each(df)
+        # a micro-batch that is run again replaces what its first run wrote
         df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/b{batch}")
 
-    spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0).cast("long")).write.parquet(f"{out}/none")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0).cast("long")).write.mode("ignore").parquet(f"{out}/none")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).schema(stream.schema.add("batch", "long")).parquet(out)
+    return spark.read.option("recursiveFileLookup", True).schema(schema).parquet(out)
+
 
+def coalesced_previews(batch: DataFrame, most: int | None = None) -> DataFrame:
+    """Of the queued items of a micro-batch (id, arrival, final): all finals, and the last preview of ids that have none.
 
-def coalesced_previews(batch: DataFrame) -> DataFrame:
-    """Of the queued items of a micro-batch (id, arrival, final): all finals, and the last preview of ids that have none."""
+    With most, of those previews only the latest that leave the queue no longer than that; finals always stay.
+    """
     finals = batch.where("final")
     previews = batch.where("NOT final").join(finals.select("id").distinct(), "id", "left_anti")
     last = previews.groupBy("id").agg(F.max("arrival").alias("arrival"))
-    return finals.unionByName(previews.join(last, ["id", "arrival"], "left_semi"))
+    kept = previews.join(last, ["id", "arrival"], "left_semi").select(*batch.columns)
+    if most is not None:
+        kept = kept.orderBy(F.desc("arrival")).limit(max(0, most - finals.count()))
+    return finals.unionByName(kept)
+
+
+def saved_revisions(saves: DataFrame, stored: DataFrame) -> DataFrame:
+    """The table after a stream of compare-and-set saves (id, revision, value), each micro-batch judged against the table that the last one left."""
+    spark = stored.sparkSession
+    root = shared_path(spark, "revisions")
+    stored.write.parquet(f"{root}/start")
+    current = [f"{root}/start"]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        new, _ = save_revisions(spark.read.parquet(current[0]), batch)
+        new.write.mode("overwrite").parquet(f"{root}/b{number}")
+        current[0] = f"{root}/b{number}"
+
+    query = saves.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    return spark.read.schema(stored.schema).parquet(current[0])
