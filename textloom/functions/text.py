@@ -64,14 +64,15 @@ def remove_overlap(previous: Column | str, current: Column | str, least: int = 6
 
     The longest repeat of least to most such characters goes, with the punctuation behind it.
     """
-    left = F.right(F.regexp_replace(_col(previous), "[^\\p{L}\\p{N}]", ""), F.lit(most))
+    plain = lambda c: F.regexp_replace(c, "[^\\p{L}\\p{N}]", "")
     current = _col(current)
-    right = F.regexp_replace(current, "[^\\p{L}\\p{N}]", "")
+    ends = F.struct(F.right(plain(_col(previous)), F.lit(most)).alias("left"), F.left(plain(current), F.lit(most)).alias("right"))
     sizes = F.sequence(F.lit(most), F.lit(least), F.lit(-1))
-    fits = F.filter(sizes, lambda n: (F.length(left) >= n) & (F.length(right) >= n) & (F.right(left, n) == F.left(right, n)))
-    size = F.get(fits, F.lit(0))
+    # the ends as the one element of an array, so that they are made once and not for every size
+    longest = F.transform(F.array(ends), lambda e: F.get(F.filter(sizes, lambda n: (F.length(e["left"]) >= n) & (F.length(e["right"]) >= n) & (F.right(e["left"], n) == F.left(e["right"], n))), F.lit(0)))
+    size = F.get(longest, F.lit(0))
     # cut after the size-th letter or digit: the shortest head of current that holds size of them
-    counted = F.call_function("regexp_extract", current, F.concat(F.lit("^(?:[^\\p{L}\\p{N}]*[\\p{L}\\p{N}]){"), size.cast("string"), F.lit("}")), F.lit(0))
+    counted = F.call_function("regexp_extract", current, F.concat(F.lit("^(?:[^\\p{L}\\p{N}]*+[\\p{L}\\p{N}]){"), F.coalesce(size, F.lit(1)).cast("string"), F.lit("}")), F.lit(0))
     rest = F.regexp_replace(F.substr(current, F.length(counted) + 1), "^[\\s,.!?。]+", "")
     return F.when(size.isNull(), current).otherwise(rest)
 

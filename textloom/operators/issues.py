@@ -49,17 +49,18 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 def crossing_groups(df: DataFrame, key: str, group: str) -> DataFrame:
     """Keys that stand in more than one group: (key, n_groups, first_group, last_group)."""
-    return df.groupBy(key).agg(F.count_distinct(group).alias("n_groups"), F.min(group).alias("first_group"), F.max(group).alias("last_group")).where("n_groups > 1")
+    return df.groupBy(key).agg(F.size(F.collect_set(group)).cast("long").alias("n_groups"), F.min(group).alias("first_group"), F.max(group).alias("last_group")).where("n_groups > 1")
 
 
 def flag_duplicates(df: DataFrame, key: str, order: str, group: str) -> DataFrame:
-    """df with n_alike, is_first (by order) and crosses (the group of a later one differs from the first's, on all of them).
+    """df with n_alike, is_first (by order) and crosses (on the first one: a later one is of another group).
 
     By two combined aggregates and a join that Spark can split, so no group of copies is gathered.
     """
-    first = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_alike"), F.min(F.struct(order, group)).alias("first"), F.count_distinct(group).alias("__groups"))
+    first = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_alike"), F.min(order).alias("__first"), F.min(group).alias("__low"), F.max(group).alias("__high"))
     joined = df.join(first.where("n_alike > 1"), key, "left")
-    return joined.select(*df.columns, F.coalesce("n_alike", F.lit(1)).cast("long").alias("n_alike"), (F.col(f"first.{order}").isNull() | (F.col(order) == F.col(f"first.{order}"))).alias("is_first"), (F.coalesce("__groups", F.lit(1)) > 1).alias("crosses"))
+    is_first = F.col("__first").isNull() | (F.col(order) == F.col("__first"))
+    return joined.select(*df.columns, F.coalesce("n_alike", F.lit(1)).cast("long").alias("n_alike"), is_first.alias("is_first"), (is_first & F.coalesce(F.col("__low") != F.col("__high"), F.lit(False))).alias("crosses"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 
@@ -47,33 +53,69 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], time: str,
     return both.withColumn("__last", last).where("__right IS NULL").select(*left.columns, *(F.col(f"__last.{v}").alias(f"previous_{v}") for v in values))
 
 
-def fold_blocks(items: Column, cost: int, most: int, span: float) -> Column:
-    """Number of its block for each item (seconds, size) of an ordered array.
+def folded(df: DataFrame, keys: list[str], order: list[str], step: Callable, start: object, emits: str) -> DataFrame:
+    """df with the columns emits, from a fold over the rows of each key in order: step(state, row) gives the next state and a tuple of those columns.
 
-    A block takes items while their sizes plus ``cost`` each stay within ``most`` and the
-    item starts less than ``span`` after the block's first.
+    For rules in which a row depends on what became of the rows before it. The rows of a key stream through one task in Arrow
+    batches; no key is gathered.
+    """
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(emits).fields])
+    new = schema.names[len(names) :]
+    kinds = to_arrow_schema(T.StructType(schema.fields[len(names) :]))
+
+    def run(batches):
+        key, state = None, start
+        for b in batches:
+            row = namedtuple("Row", names)
+            out = []
+            for values in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                r = row(*values)
+                own = tuple(getattr(r, k) for k in keys)
+                if own != key:
+                    key, state = own, start
+                state, found = step(state, r)
+                out.append(found)
+            columns = list(zip(*out, strict=True)) or [()] * len(new)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True))], schema.names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def block_of(cost: int, most: int, span: float) -> Callable:
+    """A step for ``folded`` over rows with seconds and size: the number of the row's block (start from None).
+
+    A block takes rows while their sizes plus ``cost`` each stay within ``most`` and the row starts less than ``span`` after the block's first.
     """
-    state = F.struct(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("used"), F.lit(0.0).alias("since"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, x):
-        fits = (acc["block"] >= 0) & (acc["used"] + x["size"] + cost <= most) & (x["seconds"] - acc["since"] < span)
-        block = F.when(fits, acc["block"]).otherwise(acc["block"] + 1).cast("int")
-        used = F.when(fits, acc["used"]).otherwise(F.lit(0)) + x["size"] + cost
-        since = F.when(fits, acc["since"]).otherwise(x["seconds"])
-        return F.struct(block.alias("block"), used.cast("long").alias("used"), since.cast("double").alias("since"), F.concat(acc["out"], F.array(block)).alias("out"))
+    def step(state, row):
+        need = row.size + cost
+        if state is not None and state[1] + need <= most and row.seconds - state[2] < span:
+            state = (state[0], state[1] + need, state[2])
+        else:
+            state = (0 if state is None else state[0] + 1, need, row.seconds)
+        return state, (state[0],)
 
-    return F.aggregate(items, state, step, lambda acc: acc["out"])
+    return step
 
 
-def keep_disjoint(items: Column) -> Column:
-    """For each item (start, end) of an ordered array whether it is kept: it may not start before the end of the last kept one."""
-    state = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<boolean>").alias("out"))
+def kept_disjoint(until, row):
+    """A step for ``folded`` over rows with start and end: whether the row is kept, as it starts no earlier than the last kept one ends (start from None)."""
+    ok = until is None or row.start >= until
+    return (row.end if ok else until), (ok,)
 
-    def step(acc, x):
-        ok = acc["until"].isNull() | (x["start"] >= acc["until"])
-        return F.struct(F.when(ok, x["end"]).otherwise(acc["until"]).cast("long").alias("until"), F.concat(acc["out"], F.array(ok)).alias("out"))
 
-    return F.aggregate(items, state, step, lambda acc: acc["out"])
+def equal_runs(words: str, shift: int, copies: int) -> Column:
+    """Array of (first, n): the stretches of n places at which a word equals the one shift further on, those long enough for so many copies.
+
+    Only ends of stretches are listed: places where equality begins or stops.
+    """
+    same = f"coalesce({words}[i] = {words}[i + {shift}], false)"
+    last = f"size({words}) - {shift}"
+    begins = f"filter(sequence(0, {last} - 1), i -> {same} AND NOT (i > 0 AND coalesce({words}[i - 1] = {words}[i - 1 + {shift}], false)))"
+    stops = f"filter(sequence(0, {last} - 1), i -> {same} AND NOT (i + 1 < {last} AND coalesce({words}[i + 1] = {words}[i + 1 + {shift}], false)))"
+    runs = f"filter(zip_with({begins}, {stops}, (a, b) -> named_struct('first', a, 'n', b - a + 1)), r -> r.n >= {(copies - 1) * shift})"
+    return F.expr(f"if(size({words}) >= {shift * copies}, {runs}, array())")
 
 
 def repeated_grams(tokens: DataFrame, key: str, copies: int = 10, most_words: int = 8) -> DataFrame:
@@ -84,13 +126,10 @@ def repeated_grams(tokens: DataFrame, key: str, copies: int = 10, most_words: in
     matches (gaps and islands) give all repeats without listing sequences. Of equal lengths the
     smaller size, then the earlier offset (the start modulo the size), then the earlier start wins.
     """
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(most_words)))
-    spread = tokens.select(key, "words", sizes.alias("size")).where(F.size("words") >= F.col("size") * copies)
-    equal = F.expr("filter(transform(sequence(0, size(words) - size - 1), i -> if(words[i] = words[i + size], i, null)), i -> i is not null)")
-    places = spread.select(key, "size", F.posexplode(equal).alias("__k", "__i"))
-    runs = places.groupBy(key, "size", (F.col("__i") - F.col("__k")).alias("island")).agg(F.min("__i").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = F.array(*(F.struct(F.lit(n).alias("size"), equal_runs("words", n, copies).alias("runs")) for n in range(1, most_words + 1)))
+    spread = tokens.select(key, F.explode(found).alias("f")).where(F.size("f.runs") > 0).select(key, F.col("f.size").alias("size"), F.explode("f.runs").alias("r"))
     # n matches from place f: at each of the first starts f .. f + rest there are floor(n / size) + 1 copies
-    full = runs.select(key, "size", "first", (F.floor(F.col("n") / F.col("size")) + 1).alias("copies"), (F.col("n") % F.col("size")).alias("rest")).where(F.col("copies") >= copies)
+    full = spread.select(key, "size", F.col("r.first").alias("first"), (F.floor(F.col("r.n") / F.col("size")) + 1).alias("copies"), (F.col("r.n") % F.col("size")).alias("rest")).where(F.col("copies") >= copies)
     starts = full.select(key, "size", "copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.least("rest", F.col("size") - 1))).alias("start"))
     best = F.min(F.struct((-F.col("copies") * F.col("size")).alias("less"), "size", (F.col("start") % F.col("size")).alias("offset"), "start", "copies"))
     found = starts.groupBy(key).agg(best.alias("b"))

@@ -104,10 +104,18 @@ UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN f.used + t.n + 20 <= 1500 THE
 SELECT conv_id, turn, CAST(block AS INT) AS block FROM f""")
 def greedy_blocks(spark, sf_dir):
     """Turns go into blocks of 1500 characters at most, 20 more for each; turns are a second apart, so time never splits."""
-    items = F.array_sort(F.collect_list(F.struct("turn", F.lit(0.0).alias("seconds"), F.length("text").cast("long").alias("size"))))
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(items.alias("items"))
-    blocks = O.fold_blocks(F.col("items"), 20, 1500, 20.0)
-    return g.select("conv_id", F.explode(F.arrays_zip(F.col("items.turn").alias("turn"), blocks.alias("block"))).alias("z")).select("conv_id", "z.turn", "z.block")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(0.0).alias("seconds"), F.length("text").cast("long").alias("size"))
+    return O.folded(rows, ["conv_id"], ["turn"], O.block_of(20, 1500, 20.0), None, "block int").select("conv_id", "turn", "block")
+
+
+@query("""WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, k, 0 AS block, s AS since FROM t WHERE k = 1
+UNION ALL SELECT t.user_id, t.event_id, t.k, CASE WHEN t.s - f.since < 86400000000 THEN f.block ELSE f.block + 1 END, CASE WHEN t.s - f.since < 86400000000 THEN f.since ELSE t.s END FROM f JOIN t ON t.user_id = f.user_id AND t.k = f.k + 1)
+SELECT event_id, CAST(block AS INT) AS block FROM f""")
+def timed_blocks(spark, sf_dir):
+    """Events of a user go into blocks that span less than a day each; here only time splits."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), F.lit(0).cast("long").alias("size"))
+    return O.folded(rows, ["user_id"], ["seconds", "event_id"], O.block_of(1, 1 << 60, 86400.0), None, "block int").select("event_id", "block")
 
 
 @query("""WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 3600000000) AS BIGINT) AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -118,9 +126,8 @@ def self_gated_nonoverlap(spark, sf_dir):
     """Greedy choice of disjoint intervals: each is kept if it starts after the last kept one ends."""
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     end = (start + F.floor(F.col("value") * 3_600_000_000)).cast("long")
-    items = F.array_sort(F.collect_list(F.struct(start.alias("start"), "event_id", end.alias("end"))))
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(items.alias("items"))
-    return g.select(F.explode(F.arrays_zip(F.col("items.event_id").alias("event_id"), O.keep_disjoint(F.col("items")).alias("kept"))).alias("z")).select("z.event_id", "z.kept")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", start.alias("start"), end.alias("end"))
+    return O.folded(rows, ["user_id"], ["start", "event_id"], O.kept_disjoint, None, "kept boolean").select("event_id", "kept")
 
 
 @query("""WITH k AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 5 <> 3), p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM k)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.operators import issues as I  # noqa: E741
+from textloom.operators import joins as J
+from textloom.operators import rules as U
 from textloom.plans.registry import query, table
 
 SPLIT = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
@@ -23,18 +26,38 @@ def split_documents(spark, sf_dir):
 _D = f"WITH d AS (SELECT *, {SPLIT} AS split, sha256(text) AS hash FROM documents) "
 
 
-@query(_D + """SELECT h.doc_id, 'hash' AS leaked_key FROM d h WHERE split = 'test' AND EXISTS (SELECT 1 FROM d o WHERE o.split <> 'test' AND o.hash = h.hash)
-UNION ALL SELECT h.doc_id, 'source' FROM d h WHERE split = 'test' AND EXISTS (SELECT 1 FROM d o WHERE o.split <> 'test' AND o.source = h.source)""")
+_KEYS = _D + ", k AS (SELECT doc_id, split, hash, source, 'l' || doc_id // 4 AS lecture, CASE WHEN length(text) > 80 THEN left(text, 80) END AS opening FROM d) "
+
+
+@query(_KEYS + " UNION ALL ".join(f"SELECT h.doc_id, '{s}' AS split, '{c}' AS leaked_key FROM k h WHERE h.split = 'test' AND EXISTS (SELECT 1 FROM k o WHERE o.split = '{s}' AND o.{c} = h.{c})" for s in ("train", "validation") for c in ("hash", "source", "lecture", "opening")))
 def leakage_exact(spark, sf_dir):
-    d = split_documents(spark, sf_dir).select("doc_id", "split", "hash", "source")
-    return I.held_out_leaks(d.where("split = 'test'"), d.where("split <> 'test'"), ["hash", "source"], "doc_id")
+    """Held-out documents of which one of four keys also stands in another split."""
+    d = split_documents(spark, sf_dir).select(
+        "doc_id", "split", "hash", "source", F.concat(F.lit("l"), F.floor(F.col("doc_id") / 4).cast("string")).alias("lecture"), F.when(F.length("text") > 80, F.left("text", F.lit(80))).alias("opening")
+    )
+    others = {s: d.where(F.col("split") == s) for s in ("train", "validation")}
+    return U.leaks(d.where("split = 'test'"), others, ["hash", "source", "lecture", "opening"], "doc_id")
+
+
+@query("SELECT p_brand, p_size, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def repeated_part_keys(spark, sf_dir):
+    """Keys that should be unique and aren't."""
+    return I.repeated_keys(table(spark, sf_dir, "part"), "p_brand", "p_size")
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(spark, sf_dir):
-    """Whole items as substrings: a theta join. Items are the small side; Spark broadcasts it by its own size check."""
+    """Whole items as substrings: an equi-join on one run of characters of each item, and contains as the check of its hits."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return d.join(b.select("item_id", F.col("text").alias("item")), F.contains("text", "item")).select("doc_id", "item_id")
+    return J.containing(d.select("doc_id", "text"), b.select("item_id", F.col("text").alias("item")), "text", "item").select("doc_id", "item_id")
+
+
+@query("""WITH d AS (SELECT doc_id, source, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents), g AS (SELECT doc_id, 'part' || doc_id // 4 AS lecture, split FROM d)
+SELECT lecture, CAST(count(DISTINCT split) AS BIGINT) AS n_groups, min(split) AS first_group, max(split) AS last_group FROM g GROUP BY lecture HAVING count(DISTINCT split) > 1""")
+def cross_split_lectures(spark, sf_dir):
+    """Groups (four documents each) that stand in more than one split."""
+    d = split_documents(spark, sf_dir).select(F.concat(F.lit("part"), F.floor(F.col("doc_id") / 4).cast("string")).alias("lecture"), "split")
+    return I.crossing_groups(d, "lecture", "split")
 
 
 @query(_D + """SELECT source, CAST(count(DISTINCT split) AS BIGINT) AS n_groups, min(split) AS first_group, max(split) AS last_group FROM d GROUP BY source HAVING count(DISTINCT split) > 1""")
@@ -49,7 +72,7 @@ def duplicates_drop_all(spark, sf_dir):
     return d.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").select("doc_id")
 
 
-@query(_D + """SELECT doc_id, CAST(count(*) OVER h AS BIGINT) AS n_alike, doc_id = min(doc_id) OVER h AS is_first, min(split) OVER h <> max(split) OVER h AS crosses FROM d WINDOW h AS (PARTITION BY hash)""")
+@query(_D + """SELECT doc_id, CAST(count(*) OVER h AS BIGINT) AS n_alike, doc_id = min(doc_id) OVER h AS is_first, doc_id = min(doc_id) OVER h AND min(split) OVER h <> max(split) OVER h AS crosses FROM d WINDOW h AS (PARTITION BY hash)""")
 def duplicates_keep_first(spark, sf_dir):
     d = split_documents(spark, sf_dir).select("doc_id", "split", "hash")
     return I.flag_duplicates(d, "hash", "doc_id", "split").select("doc_id", "n_alike", "is_first", "crosses")
@@ -65,14 +88,20 @@ def inventory_full_outer(spark, sf_dir):
     return j.select(F.coalesce("doc_id", "label_id").alias("doc_id"), F.when(F.col("label_id").isNull(), "no_label").otherwise("no_document").alias("missing"))
 
 
-@query(_D + """SELECT split, count(*) AS documents, count(quality) AS reviewed, count(*) FILTER (quality = 1) AS approved, count(*) FILTER (quality = 0) AS rejected, bool_or(coalesce(quality, 0) = 1) AS has_approved
-FROM d LEFT JOIN labels USING (doc_id) GROUP BY split""")
+@query(_D + """, r AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'old' ELSE sha256(text) END AS hash, sha256(source) AS source_hash, CASE quality WHEN 1 THEN 'approved' WHEN 0 THEN 'rejected' END AS status FROM documents JOIN labels USING (doc_id)),
+j AS (SELECT d.split, r.doc_id, CASE WHEN r.doc_id IS NULL THEN NULL WHEN r.hash <> d.hash OR r.source_hash <> sha256(d.source) THEN 'stale' ELSE r.status END AS outcome FROM d LEFT JOIN r USING (doc_id))
+SELECT split, count(*) AS documents, count(doc_id) AS reviewed, count(*) FILTER (outcome = 'approved') AS approved, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'stale') AS stale, bool_or(coalesce(outcome, '') = 'approved') AS has_approved FROM j GROUP BY split""")
 def review_join(spark, sf_dir):
-    """Review decisions by split, and whether each split has an approved document."""
-    d = split_documents(spark, sf_dir).select("doc_id", "split").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return d.groupBy("split").agg(
-        F.count(F.lit(1)).alias("documents"), F.count("quality").alias("reviewed"), F.count_if(F.col("quality") == 1).alias("approved"), F.count_if(F.col("quality") == 0).alias("rejected"),
-        F.bool_or(F.coalesce(F.col("quality"), F.lit(0)) == 1).alias("has_approved"),
+    """Reviews joined on id and two hashes, stale ones told apart, by split, and whether each split has an approved document."""
+    d = split_documents(spark, sf_dir).select("doc_id", "split", "hash", F.sha2("source", 256).alias("source_hash"))
+    status = F.when(F.col("quality") == 1, "approved").when(F.col("quality") == 0, "rejected")
+    reviews = table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", F.when(F.col("doc_id") % 6 == 5, "old").otherwise(F.col("hash")).alias("hash"), "source_hash", status.alias("status"))
+    judged = U.review_outcomes(reviews, d, ["doc_id", "hash", "source_hash"]).select("doc_id", "outcome", F.lit(1).alias("there"))
+    j = d.select("doc_id", "split").join(judged, "doc_id", "left")
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    return j.groupBy("split").agg(
+        F.count(F.lit(1)).alias("documents"), F.count("there").alias("reviewed"), n("approved").alias("approved"), n("rejected").alias("rejected"), n("stale").alias("stale"),
+        F.bool_or(F.coalesce(F.col("outcome") == "approved", F.lit(False))).alias("has_approved"),
     )
 
 
@@ -174,10 +203,17 @@ def rerun_difference(spark, sf_dir):
     return I.same_rows(a, a.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "xx").otherwise(F.col("lang"))))
 
 
-@query("SELECT item_id, md5(CAST(item_id AS VARCHAR) || ':7:1') AS position_key FROM benchmark")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7:1'), doc_id) - 1 AS position FROM documents")
 def seeded_shuffle(spark, sf_dir):
-    """A reproducible order for an epoch: sort by a hash of id, seed and epoch."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.concat(F.col("item_id").cast("string"), F.lit(":7:1"))).alias("position_key")).orderBy("position_key")
+    """A reproducible order for an epoch, by a hash of id, seed and epoch: the place of every document, numbered within ranges of the hash."""
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7:1"))).alias("key"))
+    # the hash is even, so its first three digits deal the rows out evenly; only their counts are added up in one place
+    keyed = keyed.withColumn("part", F.left("key", F.lit(3)))
+    sizes = keyed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id")) - 1
+    return keyed.join(sizes, "part").select("doc_id", (F.col("from") + own).alias("position"))
 
 
 @query("""SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, CAST(count(*) AS BIGINT) AS lines FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY l_orderkey HAVING count(*) >= 4""")
@@ -198,12 +234,29 @@ def point_in_interval(spark, sf_dir):
     return p.join(iv, ["user_id", "bucket"]).where("ts >= s AND ts < e").select("event_id", "window_id")
 
 
-@query("""SELECT a.doc_id, a.lang AS old_lang, CASE WHEN a.doc_id % 9 = 0 THEN 'zz' ELSE a.lang END AS new_lang FROM documents a WHERE a.doc_id % 9 = 0""")
+@query("""SELECT doc_id, list_filter(['lang', 'source', 'n_chars'], lambda x: (x = 'lang' AND doc_id % 9 = 0) OR (x = 'source' AND doc_id % 12 = 0) OR (x = 'n_chars' AND doc_id % 15 = 0)) AS differs FROM documents WHERE doc_id % 9 = 0 OR doc_id % 12 = 0 OR doc_id % 15 = 0
+UNION ALL SELECT doc_id + 1000000, ['missing'] FROM documents WHERE doc_id % 40 = 7""")
 def lock_mismatch(spark, sf_dir):
-    """A frozen lock against a manifest, equal on every column or reported."""
-    lock = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("old_lang"))
-    now = lock.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "zz").otherwise(F.col("old_lang")).alias("new_lang"))
-    return lock.join(now, "doc_id").where(~F.col("old_lang").eqNullSafe(F.col("new_lang")))
+    """A manifest against a frozen lock, equal on every column or reported, rows that the lock lacks included."""
+    columns = ["lang", "source", "n_chars"]
+    lock = table(spark, sf_dir, "documents").select("doc_id", *columns)
+    now = lock.select(
+        "doc_id", F.when(F.col("doc_id") % 9 == 0, "zz").otherwise(F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 12 == 0, F.lit(None)).otherwise(F.col("source")).alias("source"),
+        F.when(F.col("doc_id") % 15 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+    new = lock.where("doc_id % 40 = 7").withColumn("doc_id", F.col("doc_id") + 1000000)
+    return U.differing_children(now.unionByName(new), lock, "doc_id", columns).select("doc_id", "differs")
+
+
+@query("""SELECT conv_id, turn, list_filter([CASE WHEN conv_id % 7 = 3 THEN 'split' END, CASE WHEN turn % 5 = 4 THEN 'hash' END], lambda x: x IS NOT NULL) AS differs FROM conversations WHERE conv_id % 11 <> 6 AND (conv_id % 7 = 3 OR turn % 5 = 4)
+UNION ALL SELECT conv_id, turn, ['missing'] FROM conversations WHERE conv_id % 11 = 6""")
+def child_mismatch(spark, sf_dir):
+    """Turns whose split or hash isn't that of their conversation, or whose conversation is missing: many to one."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    hash_ = F.sha2(F.col("conv_id").cast("string"), 256)
+    parents = c.select("conv_id").distinct().where("conv_id % 11 <> 6").select("conv_id", split_of("conv_id").alias("split"), hash_.alias("hash"))
+    children = c.select("conv_id", "turn", F.when(F.col("conv_id") % 7 == 3, "other").otherwise(split_of("conv_id")).alias("split"), F.when(F.col("turn") % 5 == 4, F.lit(None)).otherwise(hash_).alias("hash"))
+    return U.differing_children(children, parents, "conv_id", ["split", "hash"]).select("conv_id", "turn", "differs")
 
 
 @query("SELECT doc_id, doc_id % 3 = 1 AS revision_ok, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS revision FROM documents")

@@ -3,12 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.operators import issues as I  # noqa: E741
 from textloom.plans.registry import query, table
 from textloom.plans.relational import SPLIT, split_documents
 
-_ISSUES = f"""WITH d AS (SELECT doc_id, {SPLIT} AS split, n_chars, text, count(*) OVER (PARTITION BY text) AS n, min({SPLIT}) OVER (PARTITION BY text) <> max({SPLIT}) OVER (PARTITION BY text) AS crosses FROM documents),
+def percentiles(df, group: str, value: str, shares: dict[str, float], longest: str):
+    """Percentiles of each group with linear interpolation, and the greatest value; nulls don't count.
+
+    Values go to ranges of a sketch of each group's quantiles; only the counts of ranges, a bounded number for each group, tell which ranges hold
+    the wanted ranks, and only those ranges' rows are ranked.
+    """
+    df = df.where(F.col(value).isNotNull()).select(group, value)
+    cuts = df.groupBy(group).agg(F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("__cuts"))
+    part = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    # a row for each group, so small that adaptive execution broadcasts it by its size
+    dealt = df.join(cuts, group).select(group, value, part.alias("__part"))
+    sizes = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"), F.max(value).alias("__max"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(group)
+    sizes = sizes.select(group, "__part", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"), F.sum("__n").over(whole).alias("__total"), F.max("__max").over(whole).alias("__longest"))
+    wanted = F.array(*(F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("__total") - 1)).alias("at")) for k, p in shares.items()))
+    places = sizes.withColumn("__w", F.explode(wanted)).select("*", F.col("__w.name").alias("__name"), F.col("__w.at").alias("__at"))
+    places = places.where((F.ceil("__at") >= F.col("__from")) & (F.floor("__at") < F.col("__from") + F.col("__n")))
+    needed = places.select(group, "__part", "__from").distinct()
+    ranked = dealt.join(needed, [group, "__part"]).select(group, value, (F.row_number().over(Window.partitionBy(group, "__part").orderBy(value)) - 1 + F.col("__from")).alias("__rank"))
+    ends = places.select(group, "__name", "__at", "__longest").distinct()
+    hit = ends.join(ranked, group).where((F.col("__rank") == F.floor("__at")) | (F.col("__rank") == F.ceil("__at")))
+    low, high = F.min(F.when(F.col("__rank") == F.floor("__at"), F.col(value))), F.max(F.when(F.col("__rank") == F.ceil("__at"), F.col(value)))
+    each = hit.groupBy(group, "__name").agg((low + (high - low) * (F.first("__at") - F.floor(F.first("__at")))).alias("__v"), F.first("__longest").alias(longest))
+    return each.groupBy(group).agg(*(F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(k) for k in shares), F.first(longest).alias(longest))
+
+
+_ISSUES = f"""WITH d AS (SELECT doc_id, {SPLIT} AS split, n_chars, text, count(*) OVER (PARTITION BY text) AS n, doc_id = min(doc_id) OVER (PARTITION BY text) AND min({SPLIT}) OVER (PARTITION BY text) <> max({SPLIT}) OVER (PARTITION BY text) AS crosses FROM documents),
 i AS (SELECT doc_id, split, n_chars, list_filter([CASE WHEN length(trim(text)) < 40 THEN 'short_text' END, CASE WHEN n > 1 THEN 'exact_duplicate' END, CASE WHEN crosses THEN 'duplicate_across_splits' END, CASE WHEN length(text) > 20000 THEN 'text_exceeds_max_length' END], lambda x: x IS NOT NULL) AS issues FROM d),
 s AS (SELECT *, CASE WHEN len(issues) = 0 THEN 'pass' WHEN issues = ['text_exceeds_max_length'] THEN 'review_required' ELSE 'quarantined' END AS status FROM i) """
 
@@ -47,18 +75,21 @@ def split_summary_rollup(spark, sf_dir):
     return d.rollup("split").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars")).select(F.coalesce("split", F.lit("all")).alias("split"), "documents", "chars")
 
 
-@query(f"""SELECT s.split, CAST(count(d.doc_id) AS BIGINT) AS documents FROM (VALUES ('train'), ('validation'), ('test'), ('holdout')) AS s(split) LEFT JOIN (SELECT doc_id, {SPLIT} AS split FROM documents) d USING (split) GROUP BY s.split""")
+@query(f"""SELECT s.split, CAST(count(d.doc_id) AS BIGINT) AS documents, CAST(coalesce(sum(d.n_chars), 0) AS BIGINT) AS chars, coalesce(list_sort(list(d.source) FILTER (d.source IS NOT NULL)), []) AS sources
+FROM (VALUES ('train'), ('validation'), ('test'), ('holdout')) AS s(split) LEFT JOIN (SELECT doc_id, n_chars, CASE WHEN doc_id % 50 = 0 THEN source END AS source, {SPLIT} AS split FROM documents) d USING (split) GROUP BY s.split""")
 def split_counts_with_absent(spark, sf_dir):
-    """Splits without documents appear with zero."""
+    """Counts, sums and the ids of a few; splits without documents appear with zero."""
     names = spark.sql("SELECT * FROM VALUES ('train'), ('validation'), ('test'), ('holdout') AS s(split)")
-    n = split_documents(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    return names.join(n, "split", "left").select("split", F.coalesce("n", F.lit(0)).cast("long").alias("documents"))
+    ids = F.sort_array(F.collect_list(F.when(F.col("doc_id") % 50 == 0, F.col("source"))))
+    n = split_documents(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("c"), ids.alias("ids"))
+    joined = names.join(n, "split", "left")
+    return joined.select("split", F.coalesce("n", F.lit(0)).cast("long").alias("documents"), F.coalesce("c", F.lit(0)).cast("long").alias("chars"), F.coalesce("ids", F.array().cast("array<string>")).alias("sources"))
 
 
-@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY event_type")
+@query("""SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY event_type""")
 def latency_percentiles(spark, sf_dir):
-    """Exact percentiles with linear interpolation."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.max("value").alias("longest"))
+    """Exact percentiles with linear interpolation, from ranks over ranges of values: no task holds a group."""
+    return percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, "longest")
 
 
 @query("""SELECT vec_id, round(sqrt(list_avg(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS rms, round(20 * log10(greatest(sqrt(list_avg(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12)), 4) AS dbfs,
@@ -89,7 +120,7 @@ def weighted_mean(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_discount") * q) / F.sum(q), 6).alias("weighted_discount"), F.sum(q).cast("long").alias("weight"))
 
 
-@query("""SELECT conv_id, string_agg('[' || role || '] ' || substr(text, 1, 40), chr(10) ORDER BY turn) AS transcript, list_sort(list_distinct(list(role))) AS roles FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS transcript, list_sort(list_distinct(list(role))) AS roles FROM conversations GROUP BY conv_id""")
 def ordered_concat(spark, sf_dir):
     line = F.concat(F.lit("["), F.col("role"), F.lit("] "), "text")
     g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"), F.sort_array(F.collect_set("role")).alias("roles"))

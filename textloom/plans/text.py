@@ -61,7 +61,7 @@ def chunk_text(spark, sf_dir):
     return rows.select(F.concat_ws(":", "doc_id", "c.offset").alias("chunk_id"), F.length("c.part").cast("long").alias("chars"), F.sha2("c.part", 256).alias("part_sha256"))
 
 
-_TURNS = f"""WITH t AS (SELECT conv_id, turn, {ONE_BYTE.format(NORM)} AS n FROM (SELECT conv_id, turn, role, substr(text, 1, 200) AS text FROM conversations)),
+_TURNS = f"""WITH t AS (SELECT conv_id, turn, {ONE_BYTE.format(NORM)} AS n FROM conversations),
 p AS (SELECT conv_id, turn, lag(n) OVER (PARTITION BY conv_id ORDER BY turn) AS ref, n AS hyp FROM t),
 r AS (SELECT *, levenshtein(ref, hyp) AS edits FROM p WHERE ref IS NOT NULL)"""
 
@@ -85,14 +85,16 @@ def micro_average_by_role(spark, sf_dir):
     return _turn_pairs(spark, sf_dir).groupBy("role").agg(F.sum("edits").alias("edits"), chars.cast("long").alias("reference_chars"), F.round(F.try_divide(F.sum("edits"), chars), 6).alias("micro_cer"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, substr(text, 1, 300) AS a, substr(text, 271, 300) AS b FROM documents),
-n AS (SELECT *, right(regexp_replace(a, '[^\p{L}\p{N}]', '', 'g'), 60) AS l, regexp_replace(b, '[^\p{L}\p{N}]', '', 'g') AS r FROM d),
+@query(r"""WITH d AS (SELECT doc_id, left(text, length(text) // 2 + 15) AS a, substr(text, greatest(length(text) // 2 - 14, 1)) AS b FROM documents),
+n AS (SELECT *, right(regexp_replace(a, '[^\p{L}\p{N}]', '', 'g'), 60) AS l, left(regexp_replace(b, '[^\p{L}\p{N}]', '', 'g'), 60) AS r FROM d),
 s AS (SELECT *, list_filter(range(60, 5, -1), lambda k: length(l) >= k AND length(r) >= k AND right(l, k) = left(r, k))[1] AS k FROM n),
-c AS (SELECT doc_id, b, k, list_filter(range(1, length(b) + 1), lambda i: regexp_matches(substr(b, i, 1), '[\p{L}\p{N}]'))[k] AS cut FROM s)
+c AS (SELECT doc_id, b, k, list_filter(range(1, 601), lambda i: regexp_matches(substr(b, i, 1), '[\p{L}\p{N}]'))[k] AS cut FROM s)
 SELECT doc_id, CASE WHEN k IS NULL THEN b ELSE regexp_replace(substr(b, cut + 1), '^[ \t\n\r\f\x0b,.!?。]+', '') END AS rest FROM c""")
 def overlap_prefix(spark, sf_dir):
-    """Two slices of a document that share 30 characters: the second without the repeat."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.remove_overlap(F.substring("text", 1, 300), F.substring("text", 271, 300)).alias("rest"))
+    """The halves of a document, which share about 30 characters: the second without the repeat."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.left("text", half + 15), F.substr("text", F.greatest(half - 14, F.lit(1)))
+    return table(spark, sf_dir, "documents").select("doc_id", X.remove_overlap(first, second).alias("rest"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -119,12 +121,12 @@ def clock_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.clock(F.col("value") * 60).alias("clock"))
 
 
-@query("""SELECT doc_id, replace(replace(replace('{"text":"' || left(regexp_replace(text, '[^a-zA-Z<>& ]', '', 'g'), 80) || '</script>"}', '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') AS payload FROM documents""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, replace(replace(replace('{"text":"' || regexp_replace(text, '[^a-zA-Z<>& ]', '', 'g') || '</script>"}', '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') AS payload FROM documents""".replace("\\\\", "\\"))
 def html_safe_payload(spark, sf_dir):
     letters = F.concat(F.regexp_replace("text", "[^a-zA-Z<>& ]", ""), F.lit("</script>"))
     return table(spark, sf_dir, "documents").select("doc_id", X.html_safe_json(F.to_json(F.struct(letters.alias("text")), {"escapeForwardSlash": "false"})).alias("payload"))
 
 
-@query("""SELECT doc_id, string_split(left(text, 500), 'the') AS parts FROM documents""")
+@query("""SELECT doc_id, string_split(text, 'the') AS parts FROM documents""")
 def highlight_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.highlight("text", "the").alias("parts"))
