@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import saved, text_blocks
+from textloom.llm.common import drop_saved, saved, text_blocks
 from textloom.llm.docstats import word_table
 from textloom.llm.graph import components
 from textloom.llm.simhash import majority, shingle_hashes, vantage_links
@@ -75,7 +75,7 @@ def block_prints(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _hashes(column: pa.Array):
     """Lists of shingle hashes, for the texts of one block after another."""
-    for _, _, raw, off in text_blocks(column, 1 << 20):
+    for _, _, raw, off in text_blocks(column):
         data = raw.tobytes()
         yield [shingle_hashes(data[i:j], WORDS) for i, j in zip(off[:-1], off[1:], strict=True)]
 
@@ -85,7 +85,7 @@ def with_prints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at, _, raw, off in text_blocks(b.column("text"), 1 << 20):
+            for at, _, raw, off in text_blocks(b.column("text")):
                 found, prints, check = block_prints(raw, off)
                 ids = b.column("doc_id").take(pa.array(np.repeat(at + found, SPACES)))
                 spaces = np.tile(np.arange(SPACES, dtype=np.int32), len(found))
@@ -192,13 +192,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids: a forest of all candidates, at least."""
     prints = saved(with_prints(docs), "near-prints")
     keys = ["space", "fp", "check"]
-    distinct = saved(prints.groupBy(*keys).agg(F.min("doc_id").alias("first")), "near-distinct")
-    alike = prints.join(distinct, keys).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = vantage_links(distinct.select(*keys), RADIUS, CHECK_BITS)
-    x, y = (distinct.select("space", F.col("fp").alias(k), F.col("check").alias(f"{k}_check"), F.col("first").alias(f"{k}_first")) for k in "ab")
-    across = links.join(x, ["space", "a", "a_check"]).join(y, ["space", "b", "b_check"]).where("a_first <> b_first")
-    pair = across.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
-    return saved(alike.unionByName(pair).distinct(), "near-candidates")
+    distinct = saved(prints.groupBy(*keys).agg(F.min("doc_id").alias("v")), "near-distinct")
+    alike = prints.join(distinct, keys).where("doc_id <> v").select(F.col("v").alias("a"), F.col("doc_id").alias("b"))
+    pairs = saved(alike.unionByName(vantage_links(distinct, RADIUS, CHECK_BITS)).distinct(), "near-candidates")
+    drop_saved(prints)
+    drop_saved(distinct)
+    return pairs
 
 
 def near_components(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

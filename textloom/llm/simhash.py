@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import saved, table, text_blocks
+from textloom.llm.common import drop_saved, saved, table, text_blocks
 from textloom.llm.graph import components
 
 SEED = 42
@@ -95,7 +95,7 @@ def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
     def run(batches):
         for b in batches:
             found = [np.zeros(0, np.uint64)]
-            for _, _, raw, off in text_blocks(b.column("text"), 1 << 20):
+            for _, _, raw, off in text_blocks(b.column("text")):
                 data = raw.tobytes()
                 found.append(fingerprints([shingle_hashes(data[i:j], words) for i, j in zip(off[:-1], off[1:], strict=True)]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "fp"])
@@ -147,7 +147,7 @@ def link_within(fp: np.ndarray, rows: np.ndarray, cols: np.ndarray, radius: int,
         return
     slack = radius if slack is None else slack
     if len(rows) * len(cols) <= LEAF or level == INNER_BLOCKS:
-        step = max(1, (1 << 20) // len(cols))
+        step = max(1, (1 << 18) // len(cols))
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
             i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[cols][None, :]) <= radius)
@@ -246,10 +246,9 @@ def reached_below(x: np.ndarray, shard: np.ndarray, blocks: int, radius: int) ->
     return np.concatenate(rows), np.concatenate(shards), np.concatenate(own)
 
 
-SHARD_SCHEMA = "space int, shard long, own boolean, fp long, check long"
-
-
 def _dealt(rows: DataFrame, vantage: int, blocks: int, radius: int, below: bool) -> DataFrame:
+    kind = dict(rows.dtypes)["v"]
+
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1 << 13):
@@ -257,9 +256,9 @@ def _dealt(rows: DataFrame, vantage: int, blocks: int, radius: int, below: bool)
                 x = part.column("fp").to_numpy().view(np.uint64) ^ np.uint64(vantage)
                 row, shard, own = reached_below(x, part.column("shard").to_numpy().view(np.uint64), blocks, radius) if below else reached(x, blocks, radius)
                 take = lambda c: part.column(c).take(pa.array(row))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([take("space"), pa.array(shard.view(np.int64)), pa.array(own), take("fp"), take("check")], ["space", "shard", "own", "fp", "check"])
+                yield pa.RecordBatch.from_arrays([take("space"), pa.array(shard.view(np.int64)), pa.array(own), take("fp"), take("check"), take("v")], ["space", "shard", "own", "fp", "check", "v"])
 
-    return rows.mapInArrow(run, SHARD_SCHEMA)
+    return rows.mapInArrow(run, f"space int, shard long, own boolean, fp long, check long, v {kind}")
 
 
 def first_depth(sample: np.ndarray, n: int, radius: int, leaf_rows: int) -> int:
@@ -273,32 +272,42 @@ def first_depth(sample: np.ndarray, n: int, radius: int, leaf_rows: int) -> int:
 
 
 def vantage_links(prints: DataFrame, radius: int, check_radius: int | None = None, leaf_rows: int = LEAF_ROWS, depth: int | None = None) -> DataFrame:
-    """Links (space, a, a_check, b, b_check) of distinct prints (space, fp, check): within each space a forest of all links within the radius, at least."""
-    # SAMPLE_ROWS rows of 16 bytes at most
+    """Links (a, b) of the vertices v of distinct prints (space, fp, check, v): those joined by links within the radius in some space, and no others.
+
+    Each shard joins what it links to the least vertex of them, so that shards and spaces tell the same links.
+    """
+    # SAMPLE_ROWS rows of 8 bytes at most
     sample = prints.orderBy(F.xxhash64("space", "fp", "check"), "space", "fp", "check").select("fp").limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     vantage = choose_vantage(sample)
     if depth is None:
-        depth = first_depth(sample ^ np.uint64(vantage), prints.count(), radius, leaf_rows)
-    rows, found = _dealt(prints, vantage, DEPTHS[depth], radius, False), []
+        most = prints.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        depth = first_depth(sample ^ np.uint64(vantage), most, radius, leaf_rows)
+    names = ["space", "fp", "check", "v"]
+    rows, found = saved(_dealt(prints.select(*names), vantage, DEPTHS[depth], radius, False), "shard-rows"), []
     while True:
-        rows = saved(rows, "shard-rows")
         last = depth == len(DEPTHS) - 1
         sizes = rows.groupBy("space", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).select("space", "shard")
         large = None if last else saved(sizes, "large-shards")
         if large is None or large.isEmpty():
-            found.append(shard_links(rows, radius, check_radius))
+            found.append(saved(shard_links(rows, radius, check_radius).distinct(), "shard-links"))
+            drop_saved(rows)
             break
-        found.append(shard_links(rows.join(large, ["space", "shard"], "left_anti"), radius, check_radius))
+        found.append(saved(shard_links(rows.join(large, ["space", "shard"], "left_anti"), radius, check_radius).distinct(), "shard-links"))
         depth += 1
-        rows = _dealt(rows.join(large, ["space", "shard"], "left_semi").select("space", "shard", "fp", "check"), vantage, DEPTHS[depth], radius, True)
-    return saved(reduce(DataFrame.unionByName, found), "fingerprint-links")
+        above, rows = rows, _dealt(rows.join(large, ["space", "shard"], "left_semi").select(*names[:1], "shard", *names[1:]), vantage, DEPTHS[depth], radius, True)
+        rows = saved(rows, "shard-rows")
+        drop_saved(above)
+    return saved(reduce(DataFrame.unionByName, found).distinct(), "fingerprint-links")
 
 
 def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -> DataFrame:
-    """Links (space, a, a_check, b, b_check) of fingerprints: a spanning forest of each shard's exact links."""
+    """Links (a, b) of vertices: for each shard, every vertex that its exact links join to others, with the least of them."""
+    kind = dict(rows.dtypes)["v"]
 
-    def solve(own: np.ndarray, fp: np.ndarray, check: np.ndarray):
-        fp, check, forest = fp.view(np.uint64), check.view(np.uint64), Forest(len(fp))
+    def solve(own: np.ndarray, fp: np.ndarray, check: np.ndarray, v: pa.Array):
+        order = np.argsort(v.to_numpy(zero_copy_only=False), kind="stable")  # labels are the least places, so the least vertices
+        own, fp, check = own[order], fp[order].view(np.uint64), check[order].view(np.uint64)
+        forest = Forest(len(fp))
         how = {} if check_radius is None else {"check": check, "check_radius": check_radius}
         home, visitors = np.flatnonzero(own), np.flatnonzero(~own)
         if not len(home) or len(fp) < 2:
@@ -306,19 +315,17 @@ def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -
         link_within(fp, home, home, radius, forest, **how)
         link_within(fp, home, visitors, radius, forest, **how)
         linked = np.flatnonzero(forest.label != np.arange(len(fp)))
-        to = forest.label[linked]
-        found = [fp[linked], check[linked], fp[to], check[to]]
-        apart = (found[0] != found[2]) | (found[1] != found[3])
-        return [x[apart].view(np.int64) for x in found]
+        return v.take(pa.array(order[linked])), v.take(pa.array(order[forest.label[linked]]))
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
         key = None
 
         def flush():
-            found = solve(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            own, fp, check = (np.concatenate([h[k] for h in held]) for k in range(3))
+            found = solve(own, fp, check, pa.concat_arrays([h[3] for h in held]))
             if found is not None and len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), key[0], np.int32)), *(pa.array(x) for x in found)], ["space", "a", "a_check", "b", "b_check"])
+                yield pa.RecordBatch.from_arrays([found[1], found[0]], ["a", "b"])
 
         for batch in batches:
             space, shard, fp, check = (batch.column(c).to_numpy() for c in ("space", "shard", "fp", "check"))
@@ -332,22 +339,22 @@ def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -
                     yield from flush()
                     held = []
                 key = this
-                held.append((own[i:j], fp[i:j], check[i:j]))
+                held.append((own[i:j], fp[i:j], check[i:j], batch.column("v").slice(i, j - i)))
         if held:
             yield from flush()
 
     keys = ["space", "shard"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "space int, a long, a_check long, b long, b_check long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}").where("a <> b")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, leaf_rows: int = LEAF_ROWS, depth: int | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links of fingerprints) of every row of docs."""
     prints = saved(with_fingerprint(docs, words), "fingerprints")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    links = vantage_links(distinct.select(F.lit(0).alias("space"), "fp", F.lit(0).cast("long").alias("check")), radius, None, leaf_rows, depth)
+    links = vantage_links(distinct.select(F.lit(0).alias("space"), "fp", F.lit(0).cast("long").alias("check"), F.col("fp").alias("v")), radius, None, leaf_rows, depth)
     if links.isEmpty():
         return prints.join(distinct.withColumnRenamed("first_id", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    roots = components(links.select("a", "b"))
+    roots = components(links)
     named = roots.join(distinct.withColumnRenamed("fp", "v"), "v")
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = named.join(least, "root").select(F.col("v").alias("fp"), "least_id")
