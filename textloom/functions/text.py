@@ -47,6 +47,12 @@ def clock(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
 
 
+def clock_fine(seconds: Column) -> Column:
+    """m:ss.cc; hundredths, rounded down."""
+    c = F.floor(seconds * 100).cast("long")
+    return F.format_string("%d:%02d.%02d", F.floor(c / 6000), F.floor(c / 100) % 60, c % 100)
+
+
 def text_chunks(c: Column | str, size: int) -> Column:
     """Array of (offset, part) with parts of size characters; an empty text has none."""
     c = _col(c)
@@ -82,6 +88,13 @@ def highlight(c: Column | str, query: str) -> Column:
     return F.split(_col(c), "\\Q" + query.replace("\\E", "") + "\\E") if query else F.array(_col(c))
 
 
+def strict_json(*names: str) -> Column:
+    """Columns as a JSON object with its keys in order; numbers that aren't finite are refused."""
+    bad = [F.coalesce(F.isnan(F.col(n).try_cast("double")) | (F.abs(F.col(n).try_cast("double")) == F.lit(float("inf"))), F.lit(False)) for n in names]
+    refused = F.raise_error(F.lit("a number that is not finite")).cast("string")
+    return F.when(F.exists(F.array(*bad), lambda b: b), refused).otherwise(F.to_json(F.struct(*(F.col(n) for n in sorted(names))), {"ignoreNullFields": "false"}))
+
+
 def html_safe_json(c: Column) -> Column:
     """JSON that can stand inside a script element."""
     out = c

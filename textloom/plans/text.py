@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as X
+from textloom.functions.unicode import composed, folded
 from textloom.operators import align as A
 from textloom.operators import ordered as O  # noqa: E741
 from textloom.plans.registry import query, table
@@ -24,7 +25,31 @@ def normalize_text(spark, sf_dir):
 
 @query(r"SELECT doc_id, sha256(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS norm_sha256 FROM documents")
 def normalize_lower(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalize_lower("text"), 256).alias("norm_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalize_lower(composed("text")), 256).alias("norm_sha256"))
+
+
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g'))) AS text_sha256 FROM documents""")
+def collapsed_text(spark, sf_dir):
+    """Texts in normal form C with single blanks."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.collapse_space(composed("text")), 256).alias("text_sha256"))
+
+
+@query(r"""SELECT doc_id, CAST(len(w) AS BIGINT) AS words, sha256(list_aggregate(w, 'string_agg', ' ')) AS words_sha256 FROM (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM documents) WHERE len(w) > 0""")
+def word_tokens(spark, sf_dir):
+    """Words of the folded compatibility form."""
+    w = F.regexp_extract_all(folded("text"), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
+    rows = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", F.size("w").cast("long").alias("words"), F.sha2(F.array_join("w", " "), 256).alias("words_sha256"))
+
+
+@query("SELECT o_orderkey, '{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}' AS payload FROM orders")
+def strict_payload(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.strict_json("o_orderkey", "o_custkey", "o_orderstatus").alias("payload"))
+
+
+@query("SELECT event_id, (c // 6000) || ':' || lpad(CAST(c // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS clock FROM (SELECT event_id, CAST(floor(value * 3 * 100) AS BIGINT) AS c FROM events)")
+def clock_hundredths(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.clock_fine(F.col("value") * 3).alias("clock"))
 
 
 @query("""SELECT doc_id, 'doc-' || substr(sha256(text), 1, 12) AS text_id, sha256(text) AS text_sha256,
