@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, exact_dedup, language, licenses, packing, quality, simhash, substring_dedup, toxicity, warc
+import corpus_pipeline
+from textloom.llm import decontaminate, exact_dedup, graph, language, licenses, packing, quality, simhash, substring_dedup, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, score string, sequence_id string, kept string, rank string, p string, words string, digest string, fp string, row string, doc string, family string, payload string, n string"
 LONG = "word and more " * 30_000
@@ -105,3 +106,41 @@ def test_substrings(docs, empty):
     first = next(r for r in got if r[0] == 4)
     assert n - 120 < first[2] < n  # all but the first period of its windows repeats
     assert substring_dedup.without_repeats(empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, labels, tmp_path_factory):
+    where = str(tmp_path_factory.mktemp("stages"))
+    labels.write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, "Released under the MIT License."), (2, None)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    return where
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages(spark, docs, empty, sf_dir, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, docs, sf_dir)
+    rows = got.collect()
+    if name == "packing":
+        assert len({(r.doc_id, r.length) for r in rows if r.doc_id is None}) == 2 and sum(r.piece == 0 for r in rows) == len(ROWS)
+    else:
+        assert got.columns == docs.columns
+        texts = [(r.doc_id, r.text) for r in rows]
+        assert set(texts) <= set(ROWS)
+        if name == "exact_dedup":
+            assert len(texts) == 6
+        if name == "near_dedup":
+            # the long texts share three of four shingles; rows of one id and those without one stay
+            assert sorted(map(repr, texts)) == sorted(map(repr, ROWS))
+        if name == "decontamination":
+            assert sorted(map(repr, texts)) == sorted(map(repr, [r for r in ROWS if r[0] != 7]))
+    assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_components(spark):
+    """Chains, stars, ties and loops."""
+    chain = [(i, i + 1) for i in range(100, 140)]
+    links = [*chain, *((200, i) for i in range(201, 230)), (5, 3), (3, 5), (5, 3), (7, 7), (9, 8), (8, 9)]
+    got = {r.v: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 141)}, **{i: 200 for i in range(200, 230)}, 5: 3, 3: 3, 8: 8, 9: 8}
+    assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
