@@ -2,6 +2,10 @@
 
 Each stage reads what its predecessor kept, stored as Parquet, and its decisions take
 effect: rejected documents are gone for all later stages.
+
+Defined cases, for every stage: null text counts as empty; extra columns, whatever their names, go along to the last
+stage, which returns the columns of pieces; an empty table gives an empty one; very long texts go through whole. What a stage does with
+null ids, repeated rows and ties is said at the stage.
 """
 
 from __future__ import annotations
@@ -17,29 +21,40 @@ LEAST_QUALITY = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject: scores of LEAST_QUALITY or more pass.
+
+    Rows are judged each by its text, so ids don't matter and repeated rows stay or go together. Without labels of both classes every score is
+    the share of label 1 (0.5 without labels), which passes or rejects all.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model, column="__quality").where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then that with the smallest id; a null id is smaller than any other.
+
+    Of rows alike in text and id one stays.
+    """
     return exact_dedup.keep_first(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of five-word shingles), that with the smallest id; rows without an id stay."""
+    """One document of each group of near copies (0.8 of five-word shingles), that with the smallest id.
+
+    The vantage-point search over fingerprints names the pairs, their shingles decide them, and groups are closed over pairs. Texts without words
+    are near nothing. Rows without an id stay; rows of one id stay or go together.
+    """
     gone = near_copies.near_components(docs).where("v <> root").select(F.col("v").alias("__id"))
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages. Rows without an id stay; rows of one id stay or go together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, packed into sequences."""
+    """The pieces of all documents left, packed into sequences; repeated rows and rows without an id are packed each."""
     return packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
