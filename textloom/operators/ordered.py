@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import namedtuple
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,17 +107,25 @@ def kept_disjoint(until, row):
     return (row.end if ok else until), (ok,)
 
 
-def equal_runs(words: str, shift: int, copies: int) -> Column:
-    """Array of (first, n): the stretches of n places at which a word equals the one shift further on, those long enough for so many copies.
+def equal_runs(codes: Column, copies: int, most: int) -> Column:
+    """Array of (size, first, n): for each size up to most the stretches of n places at which a code equals the one ``size`` further on,
+    those long enough for so many copies. In Arrow batches, a few vector steps for each size and array."""
 
-    Only ends of stretches are listed: places where equality begins or stops.
-    """
-    same = f"coalesce({words}[i] = {words}[i + {shift}], false)"
-    last = f"size({words}) - {shift}"
-    begins = f"filter(sequence(0, {last} - 1), i -> {same} AND NOT (i > 0 AND coalesce({words}[i - 1] = {words}[i - 1 + {shift}], false)))"
-    stops = f"filter(sequence(0, {last} - 1), i -> {same} AND NOT (i + 1 < {last} AND coalesce({words}[i + 1] = {words}[i + 1 + {shift}], false)))"
-    runs = f"filter(zip_with({begins}, {stops}, (a, b) -> named_struct('first', a, 'n', b - a + 1)), r -> r.n >= {(copies - 1) * shift})"
-    return F.expr(f"if(size({words}) >= {shift * copies}, {runs}, array())")
+    def runs(series: pd.Series) -> pd.Series:
+        out = []
+        for row in series:
+            c, found = np.asarray(row if row is not None else (), np.int64), []
+            for size in range(1, min(most, len(c) // copies) + 1):
+                same = np.zeros(len(c) - size + 2, np.int8)
+                same[1:-1] = c[:-size] == c[size:]
+                edge = np.diff(same)
+                first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                long = stop - first >= (copies - 1) * size
+                found += [{"size": size, "first": int(i), "n": int(j - i)} for i, j in zip(first[long], stop[long], strict=True)]
+            out.append(found)
+        return pd.Series(out)
+
+    return F.pandas_udf(runs, "array<struct<size:int,first:int,n:int>>")(codes)
 
 
 def repeated_grams(tokens: DataFrame, key: str, copies: int = 10, most_words: int = 8) -> DataFrame:
@@ -123,13 +133,13 @@ def repeated_grams(tokens: DataFrame, key: str, copies: int = 10, most_words: in
 
     tokens has key and words (an array). For each size, a sequence that stands k times in a
     row matches itself ``size`` words further on over (k - 1) * size places, so runs of such
-    matches (gaps and islands) give all repeats without listing sequences. Of equal lengths the
+    matches (gaps and islands) give all repeats without listing sequences. Words are compared by 64-bit hashes. Of equal lengths the
     smaller size, then the earlier offset (the start modulo the size), then the earlier start wins.
     """
-    found = F.array(*(F.struct(F.lit(n).alias("size"), equal_runs("words", n, copies).alias("runs")) for n in range(1, most_words + 1)))
-    spread = tokens.select(key, F.explode(found).alias("f")).where(F.size("f.runs") > 0).select(key, F.col("f.size").alias("size"), F.explode("f.runs").alias("r"))
+    codes = F.transform("words", lambda w: F.xxhash64(w))
+    spread = tokens.select(key, F.explode(equal_runs(codes, copies, most_words)).alias("r"))
     # n matches from place f: at each of the first starts f .. f + rest there are floor(n / size) + 1 copies
-    full = spread.select(key, "size", F.col("r.first").alias("first"), (F.floor(F.col("r.n") / F.col("size")) + 1).alias("copies"), (F.col("r.n") % F.col("size")).alias("rest")).where(F.col("copies") >= copies)
+    full = spread.select(key, F.col("r.size").alias("size"), F.col("r.first").alias("first"), (F.floor(F.col("r.n") / F.col("size")) + 1).alias("copies"), (F.col("r.n") % F.col("size")).alias("rest")).where(F.col("copies") >= copies)
     starts = full.select(key, "size", "copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.least("rest", F.col("size") - 1))).alias("start"))
     best = F.min(F.struct((-F.col("copies") * F.col("size")).alias("less"), "size", (F.col("start") % F.col("size")).alias("offset"), "start", "copies"))
     found = starts.groupBy(key).agg(best.alias("b"))
