@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at together.
 BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,12 @@ def drop_saved(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send BATCH_ROWS rows at a time to Python, unless it says otherwise: texts of thousands of rows would be held twice beside the heap."""
+    if spark.conf.get(_BATCH_KEY) == "10000":  # Spark's own default
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the rows that no model learns from; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

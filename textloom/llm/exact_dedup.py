@@ -27,6 +27,9 @@ from textloom.llm.common import new_path, saved, table
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # memory of a store outside the heap
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
     # a store that is done with its batch leaves the executor's disk; what it holds is in the shared checkpoint
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import drop_saved, saved, text_blocks
+from textloom.llm.common import drop_saved, saved, small_batches, text_blocks
 from textloom.llm.docstats import word_table
 from textloom.llm.graph import components
 from textloom.llm.simhash import majority, shingle_hashes, vantage_links
@@ -82,6 +82,7 @@ def _hashes(column: pa.Array):
 
 def with_prints(docs: DataFrame) -> DataFrame:
     """doc_id, space, fp and check, for each space of each text with words."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

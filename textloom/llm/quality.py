@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import held_out, table, text_blocks
+from textloom.llm.common import held_out, small_batches, table, text_blocks
 from textloom.llm.docstats import NAMES, document_stats
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
@@ -104,6 +104,7 @@ def fit(x: np.ndarray, y: np.ndarray, to_pooled: float = 0.1, to_identity: float
 
 def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep and ``stats`` (array of doubles, as in docstats.NAMES)."""
+    small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("stats", T.ArrayType(T.DoubleType()))
 
     def run(batches):
@@ -139,6 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score_quality(docs: DataFrame, model: Discriminant | float, text: str = "text", column: str = "score") -> DataFrame:
     """docs with the score as a last column; no shuffle, whole texts, block by block."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != column]
     schema = docs.select(*names).schema.add(column, "double")
 
