@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import new_path, table
+from textloom.llm.common import new_path, small_batches, table
 from textloom.llm.docstats import PLACES
 
 CAPACITY = 2048
 #: Characters that a worker looks at together, and words that it remembers at most.
 BLOCK_CHARS, MAX_WORDS = 1 << 19, 1 << 20
+#: Words that the tokenizer gets together.
+TOGETHER = 4096
 
 SPACE, OTHER, NUMBER, LETTER = range(4)
 
@@ -44,12 +46,8 @@ SPACE, OTHER, NUMBER, LETTER = range(4)
 @cache
 def char_classes() -> np.ndarray:
     """Class of each code point by its Unicode category: letters, numbers, white space, all else."""
-    cat = np.array([unicodedata.category(chr(c))[0] + (unicodedata.category(chr(c))[1]) for c in range(0x110000)])
-    out = np.full(0x110000, OTHER, np.uint8)
-    major = cat.astype("U1")
-    out[major == "L"] = LETTER
-    out[major == "N"] = NUMBER
-    out[major == "Z"] = SPACE
+    of = {"L": LETTER, "N": NUMBER, "Z": SPACE}
+    out = np.fromiter((of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     out[[9, 10, 11, 12, 13, 0x85]] = SPACE
     return out
 
@@ -68,14 +66,25 @@ class WordTokens:
         self.codes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def tokens_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, joined, and how many each has."""
+        # as one text, which the tokenizer takes apart at the blanks again; where it finds other words, one by one
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        of_word = np.array(whole.word_ids, np.float64)  # a token of no word is not a number
+        if len(of_word) and of_word[-1] == len(words) - 1:
+            return np.array(whole.ids, np.int32), np.bincount(of_word.astype(np.int64), minlength=len(words))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum())), sizes
+
     def learn(self, words: list[str], codes: np.ndarray) -> None:
         if len(self.codes) + len(words) > MAX_WORDS:
             self.clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        parts = [self.tokens_of(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        sizes = np.concatenate([n for _, n in parts])
         slots = len(self.begin) - 1 + np.arange(len(words))
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, *(i for i, _ in parts)])
         merged = np.concatenate([self.codes, codes])
         order = np.argsort(merged, kind="stable")
         self.codes, self.slots = merged[order], np.concatenate([self.slots, slots])[order]
@@ -166,6 +175,7 @@ def word_tokens(path: str) -> WordTokens:
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, and chunk and rank, which number the
     pieces of one length within the task that made them; with_ids adds the ids themselves."""
+    small_batches(docs.sparkSession)
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, chunk long, rank long" + ", ids array<int>" * with_ids
 
     def run(batches):
