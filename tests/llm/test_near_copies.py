@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import near_copies, simhash
+from textloom.llm import graph, near_copies, simhash
 
 
 def shingles(text):
@@ -116,3 +117,14 @@ def test_stage_against_all_pairs(spark, sf):
     assert joined >= 0.9 * len(pairs)
     got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).select("doc_id").collect()}
     assert got == {i for i in texts if roots.get(i, i) == i}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_contracted_links_join_the_same(spark, kind):
+    rng = random.Random(6)
+    links = [(rng.randrange(6) + 100 * g, rng.randrange(20, 99) + 100 * g) for g in range(5) for _ in range(300)]
+    df = spark.createDataFrame(links, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind))
+    got = near_copies.contracted(df)
+    assert got.count() < 0.8 * len(set(links)) and not got.where("a = b").count()
+    assert {tuple(r) for r in graph.components(got).collect()} == {tuple(r) for r in graph.components(df).collect()}
+    assert near_copies.contracted(df.limit(0)).count() == 0

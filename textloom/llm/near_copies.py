@@ -16,6 +16,7 @@ linked by any of their texts; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,13 +190,40 @@ def group_links(rows: DataFrame) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same ids: each b keeps its least a, to which its other a's are tied instead.
+
+    Many shards tell of one group, each with the least id that it holds; the ties between those few ids repeat and vanish.
+    """
+
+    def run(batches):
+        last, least = None, None
+        for batch in batches:
+            a, b = (batch.column(c).to_pandas().reset_index(drop=True) for c in "ab")
+            if not len(b):
+                continue
+            first = (b != b.shift()).to_numpy()
+            first[0] = last is None or b.iloc[0] != last
+            least_of = a.where(first)
+            if not first[0]:
+                least_of.iloc[0] = least
+            least_of = least_of.ffill().astype(a.dtype)
+            last, least = b.iloc[-1], least_of.iloc[-1]
+            out = pd.DataFrame({"a": least_of, "b": b.where(first, a)})
+            out = out[out["a"] != out["b"]].drop_duplicates()
+            yield pa.RecordBatch.from_pandas(out, pa.schema([("a", batch.schema.field("a").type), ("b", batch.schema.field("b").type)]), preserve_index=False)
+
+    kind = dict(links.dtypes)["a"]
+    return links.repartition("b").sortWithinPartitions("b", "a").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids: a forest of all candidates, at least."""
     prints = saved(with_prints(docs), "near-prints")
     keys = ["space", "fp", "check"]
     distinct = saved(prints.groupBy(*keys).agg(F.min("doc_id").alias("v")), "near-distinct")
     alike = prints.join(distinct, keys).where("doc_id <> v").select(F.col("v").alias("a"), F.col("doc_id").alias("b"))
-    pairs = saved(alike.unionByName(vantage_links(distinct, RADIUS, CHECK_BITS)).distinct(), "near-candidates")
+    pairs = saved(contracted(alike.unionByName(vantage_links(distinct, RADIUS, CHECK_BITS))), "near-candidates")
     drop_saved(prints)
     drop_saved(distinct)
     return pairs
