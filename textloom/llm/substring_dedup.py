@@ -264,7 +264,8 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataF
     A piece is its SEGMENT (size: its bytes) and those bytes.
     """
     lists = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "data")).alias("parts"))
-    joined = docs.join(lists, ["doc", "row"]).select("doc", "row", "text", "parts")
+    # all columns of docs go along, so that the last join takes the same shuffle of the texts again
+    joined = docs.join(lists, ["doc", "row"]).select(*docs.columns, "parts")
 
     def emit(seg: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
         place = (seg["key"] * _ODD >> np.uint64(33)).astype(np.int64) % shards
