@@ -24,7 +24,7 @@ SF_FIT = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(registry.oracles()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = __spark_entry__.queries()[name](spark, SF)
     want = con.sql(__spark_entry__.oracle_sql()[name])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, exact_dedup, language, licenses, packing, quality, simhash, substring_dedup, toxicity, warc
+from textloom.llm import conversations, decontaminate, exact_dedup, language, licenses, minhash, packing, quality, runs, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op7_language_compression": language.op7_language_compression,
     "op4_toxicity_boosted_trees": toxicity.op4_toxicity_boosted_trees,
     "op10_quality_discriminant": quality.op10_quality_discriminant,
+    "op11_minhash_hamming": minhash.op11_minhash_hamming,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 
@@ -25,4 +28,7 @@ def oracles() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
         "op6_license_paragraphs": licenses.oracle_sql(),
         "op9_warc_dictionary": warc.ORACLE_SQL,
+        "op11_minhash_hamming": minhash.ORACLE_SQL,
+        "op12_periodic_runs": runs.ORACLE_SQL,
+        "op13_conversation_repair": conversations.ORACLE_SQL,
     }
