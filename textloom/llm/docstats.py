@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from textloom.llm.words import codes, mix, spans
+
 _SPACE, _LOWER, _UPPER, _DIGIT, _STOP, _PUNCT, _SYMBOL, _WIDE, _TAIL = range(9)
 
 
@@ -23,8 +25,8 @@ def _classes() -> np.ndarray:
 
 
 KIND = _classes()
-#: Weights of the places in a word, for word hashes; places repeat after 64.
-PLACES = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEPARATES = KIND == _SPACE
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 NAMES = (
     "log_chars", "log_words", "log_lines", "mean_word", "log_longest_word", "upper", "digit", "stop", "punct", "symbol", "wide",
@@ -41,22 +43,8 @@ def starts_of(flag: np.ndarray) -> np.ndarray:
 
 def word_table(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, document, hash) of the words between ASCII white space; documents never share a word."""
-    kind = KIND[raw]
-    inside = kind != _SPACE
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[off] = True
-    before = np.concatenate(([False], inside[:-1])) if len(raw) else inside
-    first = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.concatenate((inside[1:], [False])) if len(raw) else inside
-    last = np.flatnonzero(inside & (~after | edge[1:]))
-    length = last - first + 1
-    doc = np.searchsorted(off, first, "right") - 1
-    if not len(first):
-        return first, length, doc, np.zeros(0, np.uint64)
-    word_of = np.cumsum(inside & (~before | edge[:-1])) - 1
-    place = np.arange(len(raw)) - first[np.maximum(word_of, 0)]
-    weighed = np.where(inside, (raw.astype(np.uint64) + np.uint64(1)) * PLACES[place & 63], np.uint64(0))
-    return first, length, doc, np.add.reduceat(weighed, first)
+    first, length, doc = spans(raw, off, _SEPARATES)
+    return first, length, doc, codes(raw, first, length)
 
 
 def document_stats(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -97,12 +85,12 @@ def document_stats(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         new = np.concatenate(([True], mixed[1:] != mixed[:-1]))
         distinct = count((mixed[new] >> np.uint64(40)).astype(np.int64))
         out[:, 17] = np.log1p(distinct) - np.log1p(words)
-        # lines: the sum of their words' hashes stands for them
+        # lines: a sum of hashes of their words, each mixed with its place
         line_break = np.cumsum(raw == 10)
         line = line_break[first] + doc  # never the same for two documents, as doc grows
         begin = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1]))))
         place = np.arange(len(first)) - np.repeat(begin, np.diff(np.append(begin, len(first))))
-        text_line = np.add.reduceat(code * PLACES[place & 63], begin)
+        text_line = np.add.reduceat(mix(code + place.astype(np.uint64) * _PLACE), begin)
         line_doc = doc[begin]
         mixed = np.sort((line_doc.astype(np.uint64) << np.uint64(40)) | (text_line >> np.uint64(24)))
         new = np.concatenate(([True], mixed[1:] != mixed[:-1]))

@@ -13,10 +13,9 @@ repeated ids give a row each; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +32,8 @@ MAX_LANGUAGES = 256
 LEVEL, BYTES_PER_NAT = 5, 3.0
 
 _ASCII = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+#: By category: signs such as a half or a Roman numeral are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def plain_letters(text: str) -> bytes:
@@ -44,7 +44,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, size: int = DICTIONARY_
     """language -> dictionary, from at most max_docs texts a language (those with the smallest hash of their id) and size bytes.
 
     Each text gives a slice of its share of the dictionary, from a place in the whole text that the hash chooses; slices come in the order of
-    the hashes, so neither long texts nor small ids count for more.
+    the hashes, so neither long texts nor small ids count for more, and languages of two or three bytes a letter get as many texts as others.
     """
     may = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     names = sorted(r["lang"] for r in may.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
@@ -55,7 +55,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, size: int = DICTIONARY_
     chosen = may.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= max_docs)
     # languages times max_docs ids: a size bound that the number of documents cannot break
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "__rank"))
-    share = max(8, size // max_docs)
+    share = max(8, size // max_docs - 1)
     text = F.coalesce("text", F.lit(""))
     place = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.greatest(F.length(text) - share + 1, F.lit(1))).cast("int")
     rows = docs.join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("__lang", "__rank", F.substr(text, place + 1, F.lit(share)).alias("part"))
@@ -64,8 +64,8 @@ def learn(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, size: int = DICTIONARY_
     out = {}
     for n in names:
         # a set: copies of a text would only fill the dictionary
-        texts = dict.fromkeys(plain_letters(t) for t in found[found["__lang"] == n]["part"])
-        joined = b" ".join(t for t in texts if t)[:size]
+        texts = dict.fromkeys(plain_letters(t)[:share].decode("utf-8", "ignore").encode() for t in found[found["__lang"] == n]["part"])
+        joined = b" ".join(t for t in texts if t)[:size]  # slices and the blanks between them fit, but for sizes of a few bytes a text
         if len(joined) >= 8:
             out[n] = joined
     return out

@@ -2,8 +2,8 @@
 
 Token ids come from a public tokenizer file (bytes of UTF-8, normal form C, lower case,
 a split into letter runs, single digits and punctuation runs, byte-pair merges). Words are
-found with numpy over code points; only words not yet seen by the worker go through the
-tokenizer, so the ids are the library's own.
+found with numpy over code points; only words not yet seen by the worker, which knows them by their
+bytes, go through the tokenizer, so the ids are the library's own.
 
 Documents longer than a sequence are cut; then best-fit decreasing runs over the counts of
 pieces of each length: a segment tree over remaining capacities gives the tightest open
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.common import new_path, small_batches, table
-from textloom.llm.docstats import PLACES
+from textloom.llm.words import distinct
 
 CAPACITY = 2048
 #: Characters that a worker looks at together, and words that it remembers at most.
-BLOCK_CHARS, MAX_WORDS = 1 << 19, 1 << 20
+BLOCK_CHARS, MAX_WORDS = 1 << 19, 1 << 18
 #: Words that the tokenizer gets together.
 TOGETHER = 4096
 
@@ -63,7 +63,7 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.slots: dict[bytes, int] = {}
         self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def tokens_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,23 +71,39 @@ class WordTokens:
         # as one text, which the tokenizer takes apart at the blanks again; where it finds other words, one by one
         whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         of_word = np.array(whole.word_ids, np.float64)  # a token of no word is not a number
+        begin = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
         if len(of_word) and of_word[-1] == len(words) - 1:
-            return np.array(whole.ids, np.int32), np.bincount(of_word.astype(np.int64), minlength=len(words))
+            heads = np.flatnonzero(np.concatenate(([True], of_word[1:] != of_word[:-1])))
+            if len(heads) == len(words) and (np.array(whole.offsets)[heads, 0] == begin).all():
+                return np.array(whole.ids, np.int32), np.diff(np.append(heads, len(of_word)))
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum())), sizes
 
-    def learn(self, words: list[str], codes: np.ndarray) -> None:
-        if len(self.codes) + len(words) > MAX_WORDS:
-            self.clear()
-        parts = [self.tokens_of(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+    def learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        parts = [self.tokens_of(texts[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
         sizes = np.concatenate([n for _, n in parts])
-        slots = len(self.begin) - 1 + np.arange(len(words))
+        self.slots.update(zip(words, range(len(self.begin) - 1, len(self.begin) - 1 + len(words)), strict=True))
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, *(i for i, _ in parts)])
-        merged = np.concatenate([self.codes, codes])
-        order = np.argsort(merged, kind="stable")
-        self.codes, self.slots = merged[order], np.concatenate([self.slots, slots])[order]
+
+    def slots_of(self, joined: str, chars: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Where the ids of each word are told; words not met before are learnt."""
+        at = np.concatenate(([0], np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000))))
+        data = joined.encode("utf-8", "surrogatepass")
+        begin, size = at[first], at[first + length] - at[first]
+        head, own = distinct(np.frombuffer(data, np.uint8), begin, size)
+        words = [data[i : i + n] for i, n in zip(begin[head].tolist(), size[head].tolist(), strict=True)]
+        slots = [self.slots.get(w, -1) for w in words]
+        if -1 in slots:
+            new = [w for w, k in zip(words, slots, strict=True) if k < 0]
+            if len(self.slots) + len(new) > MAX_WORDS:
+                self.clear()
+                new = words
+            self.learn(new)
+            slots = [self.slots[w] for w in words]
+        return np.array(slots, np.int64)[own]
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined, offsets of the texts in them); no text holds a special token's string."""
@@ -117,19 +133,7 @@ class WordTokens:
         if len(first):
             ends = np.append(np.flatnonzero(start), len(chars))
             length = ends[np.searchsorted(ends, first, "right")] - first
-            place = np.arange(len(chars)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-            weighed = (chars.astype(np.uint64) + np.uint64(1)) * (PLACES[place & 63] + (place >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            codes = np.add.reduceat(weighed, np.flatnonzero(start))[np.searchsorted(ends[:-1], first)]
-            new, at = np.unique(codes, return_index=True)
-            known = np.isin(new, self.codes, assume_unique=True)
-            if len(self.codes) + int((~known).sum()) > MAX_WORDS:
-                self.clear()
-                known = np.zeros(len(new), bool)
-            new, at = new[~known], at[~known]
-            if len(new):
-                begin, size = first[at].tolist(), length[at].tolist()
-                self.learn([joined[i : i + k] for i, k in zip(begin, size, strict=True)], new)
-            slot = self.slots[np.searchsorted(self.codes, codes)]
+            slot = self.slots_of(joined, chars, first, length)
             size = self.begin[slot + 1] - self.begin[slot]
             ends_at = np.cumsum(size)
             ids = self.ids[np.repeat(self.begin[slot] - (ends_at - size), size) + np.arange(int(ends_at[-1]))]

@@ -19,7 +19,9 @@ A key with more than ``hot_segments`` different segments is cut into its single
 windows, combined in each task and keyed by the window itself, so that no key grows with the corpus.
 The number of shards follows the number of the input's partitions.
 
-Segments are equal where their 128-bit hashes are.
+Segments of one key are equal where their sizes and the 128 bits of a cryptographic digest (BLAKE2b) of all their bytes are;
+windows of hot keys where their bytes are. A shard's pieces, its text and its order are on the task's disk, not in its
+memory; what is in memory is 48 bytes for each piece.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; rows
 alike in id and text are one document and get the same result each; rows of one id, or of none, with
@@ -29,6 +31,8 @@ comes before all others; ids that are no integers are refused; extra columns are
 
 from __future__ import annotations
 
+import hashlib
+import os
 import shutil
 import tempfile
 
@@ -51,7 +55,7 @@ MAX_SHARDS = 100_000
 COMBINE_ROWS = 1 << 20
 
 #: doc and row name a document: its id and, with the highest bit set, 63 bits of its text's hash; without an id two hashes of its text, that bit clear.
-SEGMENT = np.dtype([("key", "<u8"), ("code", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("row", "<u8")])
+SEGMENT = np.dtype([("key", "<u8"), ("code", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("row", "<u8")])
 HAS_ID = np.uint64(1 << 63)
 SPAN = np.dtype([("start", "<u4"), ("size", "<u4")])
 #: Kinds of rows that the steps hand on: spans to remove, segments, segments of hot keys.
@@ -61,14 +65,6 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
-_POWER = np.uint64(0xBF58476D1CE4E5B9)
-_POWER_INVERSE = np.uint64(_inverse(0xBF58476D1CE4E5B9))
-
-
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A mixed hash of the gram bytes from each place on (beyond the end: zeros)."""
     n = len(raw)
@@ -118,13 +114,11 @@ def segments(raw: np.ndarray, off: np.ndarray, docs: np.ndarray, rows: np.ndarra
         return np.zeros(0, SEGMENT), np.zeros(0, bool)
     border = np.append(np.flatnonzero(change | ~ok), windows)
     stop = border[np.searchsorted(border, first, "right")]
-    # a content hash that does not depend on the place: grams weighed by powers, the segment's first at power zero
-    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _POWER))))
-    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _POWER_INVERSE))))
-    total = np.concatenate(([np.uint64(0)], np.cumsum((h ^ (h >> np.uint64(31))) * powers[:-1])))
-    end = stop - 1 + length - gram + 1
     out = np.zeros(len(first), SEGMENT)
-    out["key"], out["code"] = key[first], (total[end] - total[first]) * back[first]
+    out["key"] = key[first]
+    data = memoryview(raw.tobytes())
+    digests = b"".join([hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(first.tolist(), (stop - 1 + length).tolist(), strict=True)])
+    out["code"], out["more"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
     out["doc"], out["row"] = docs[doc[first]], rows[doc[first]]
     out["start"], out["size"] = first - off[doc[first]], stop - 1 + length - first
     # a window whose own first gram is the least, with the key still the same after it, has that gram twice
@@ -141,14 +135,14 @@ def place_keys(seg: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def placed(seg: np.ndarray) -> np.ndarray:
     """The order of segments by key, content, then place in the corpus."""
-    return np.lexsort((*place_keys(seg, seg["start"]), seg["size"], seg["code"], seg["key"]))
+    return np.lexsort((*place_keys(seg, seg["start"]), seg["size"], seg["more"], seg["code"], seg["key"]))
 
 
 def firsts(seg: np.ndarray) -> np.ndarray:
     """Of segments in the order of placed(): whether each is the first of its content."""
     new = np.ones(len(seg), bool)
     if len(seg) > 1:
-        new[1:] = (seg["key"][1:] != seg["key"][:-1]) | (seg["code"][1:] != seg["code"][:-1]) | (seg["size"][1:] != seg["size"][:-1])
+        new[1:] = np.any([seg[c][1:] != seg[c][:-1] for c in ("key", "code", "more", "size")], axis=0)
     return new
 
 
@@ -281,7 +275,11 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataF
         order = placed(seg)
         seg, texts = seg[order], texts[order]
         new = firsts(seg)
-        return [by_document(REMOVED, seg[repeats_of_first(seg, new)], shards), emit(seg[new], [t.tobytes() for t in texts[new]])]
+        # windows are removed where their bytes are those of the first; others of its hash go on, too
+        head = np.maximum.accumulate(np.where(new, np.arange(len(seg)), 0))
+        other = (texts != texts[head]).any(axis=1)
+        on = new | other
+        return [by_document(REMOVED, seg[repeats_of_first(seg, new) & ~other], shards), emit(seg[on], [t.tobytes() for t in texts[on]])]
 
     def run(batches):
         hot, n_hot, cold, texts, n_cold = [], 0, [], [], 0
@@ -320,22 +318,43 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataF
     return joined.mapInArrow(run, ROW_SCHEMA)
 
 
-def repeats_in_shard(pieces: list[bytes], length: int, folder: str | None = None, memory_rows: int = MEMORY_ROWS) -> np.ndarray:
-    """The windows (SEGMENT of that size) that start earlier elsewhere among the pieces of a shard."""
-    segs, texts = [], []
-    for data in pieces:
-        n = int.from_bytes(data[:4], "little")
-        segs.append(np.frombuffer(data, SEGMENT, n, 4))
-        texts.append(np.frombuffer(data, np.uint8, offset=4 + n * SEGMENT.itemsize))
+def shard_text(pieces, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces' segments, where each begins, the text) of a shard; the text is on disk, a piece at a time is in memory.
+
+    Characters are shifted by two; each segment ends with 1, the text with 0.
+    """
+    segs, path = [], os.path.join(folder, "text")
+    with open(path, "wb") as out:
+        for data in pieces:
+            n = int.from_bytes(data[:4], "little")
+            seg = np.frombuffer(data, SEGMENT, n, 4)
+            body = np.frombuffer(data, np.uint8, offset=4 + n * SEGMENT.itemsize)
+            size = seg["size"].astype(np.int64)
+            ends = np.cumsum(size + 1) - 1
+            part = np.ones(len(body) + n, np.uint16)
+            inside = np.ones(len(part), bool)
+            inside[ends] = False
+            part[inside] = body
+            part[inside] += np.uint16(2)
+            part.tofile(out)
+            segs.append(seg)
+        np.zeros(1, np.uint16).tofile(out)
     seg = np.concatenate(segs)
-    body = np.concatenate(texts)
     size = seg["size"].astype(np.int64)
-    # characters are shifted by two; each segment ends with 1, the text with 0
-    text = np.ones(len(body) + len(seg) + 1, np.uint16)
-    begin = np.cumsum(size + 1) - size - 1
-    at = np.arange(len(body)) + np.repeat(np.arange(len(seg)), size)
-    text[at] = body.astype(np.uint16) + 2
-    text[-1] = 0
+    return seg, np.cumsum(size + 1) - size - 1, np.asarray(np.memmap(path, np.uint16, "r"))
+
+
+def repeats_in_shard(pieces, length: int, folder: str | None = None, memory_rows: int = MEMORY_ROWS) -> np.ndarray:
+    """The windows (SEGMENT of that size) that start earlier elsewhere among the pieces of a shard."""
+    folder = tempfile.mkdtemp(prefix="shard-", dir=folder)
+    try:
+        return _repeats(*shard_text(pieces, folder), length, folder, memory_rows)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def _repeats(seg: np.ndarray, begin: np.ndarray, text: np.ndarray, length: int, folder: str, memory_rows: int) -> np.ndarray:
+    size = seg["size"].astype(np.int64)
     out = []
 
     def settle(group: np.ndarray) -> None:
@@ -359,7 +378,7 @@ def repeats_in_shard(pieces: list[bytes], length: int, folder: str | None = None
         out.append(w)
 
     runs, held = 0, []
-    for suffix, prefix in sorted_suffixes(text, length, folder or tempfile.gettempdir(), memory_rows):
+    for suffix, prefix in sorted_suffixes(text, length, folder, memory_rows):
         joins = prefix >= length
         number = runs + np.cumsum(~joins)
         runs = int(number[-1])
@@ -383,25 +402,36 @@ def _settle_runs(number: np.ndarray, suffix: np.ndarray, settle) -> None:
         settle((number[~alone], suffix[~alone]))
 
 
+def _spooled(path: str):
+    """The pieces that a task has put aside for a shard."""
+    with open(path, "rb") as found:
+        while size := found.read(8):
+            yield found.read(int.from_bytes(size, "little"))
+
+
 def order_shards(pieces: DataFrame, length: int, shards: int) -> DataFrame:
     """Step 3: spans to remove, from the suffix order of each shard."""
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            kind = b.column("kind").to_numpy()
-            gone = np.flatnonzero(kind == REMOVED)
-            if len(gone):
-                yield b.take(pa.array(gone))
-            for i in np.flatnonzero(kind == PIECES):
-                held.setdefault(b.column("place")[int(i)].as_py(), []).append(b.column("data")[int(i)].as_py())
-        for place in sorted(held):
-            folder = tempfile.mkdtemp(prefix="shard-")
-            try:
-                found = repeats_in_shard(held.pop(place), length, folder)
-            finally:
-                shutil.rmtree(folder, ignore_errors=True)
-            yield by_document(REMOVED, found, shards)
+        folder, places = tempfile.mkdtemp(prefix="shards-"), set()
+        try:
+            for b in batches:
+                kind = b.column("kind").to_numpy()
+                gone = np.flatnonzero(kind == REMOVED)
+                if len(gone):
+                    yield b.take(pa.array(gone))
+                for i in np.flatnonzero(kind == PIECES):
+                    place, data = b.column("place")[int(i)].as_py(), b.column("data")[int(i)].as_py()
+                    places.add(place)
+                    with open(os.path.join(folder, str(place)), "ab") as out:
+                        out.write(len(data).to_bytes(8, "little") + data)
+            for place in sorted(places):
+                path = os.path.join(folder, str(place))
+                found = repeats_in_shard(_spooled(path), length, folder)
+                os.remove(path)
+                yield by_document(REMOVED, found, shards)
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
 
     return pieces.repartition(shards, "place").mapInArrow(run, ROW_SCHEMA)
 

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.common import held_out, table, text_blocks
-from textloom.llm.docstats import KIND, PLACES
+from textloom.llm.docstats import KIND
 from textloom.llm.quality import MAX_FIT_ROWS, labelled_sample
+from textloom.llm.words import codes, mix
 
 #: Words whose use against someone is abusive, in the languages that the corpus holds.
 LEXICON = """
@@ -45,7 +46,7 @@ LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 #: Bytes of the beginnings of words that the learnt lexicon may hold.
 STEMS = (4, 5, 6)
 #: Entries of the learnt lexicon at most, in how many toxic documents each stands at least, and its least log-odds.
-MAX_LEARNT, LEAST_DOCS, LEAST_ODDS = 8000, 3, 3.0
+LEAST_DOCS, LEAST_ODDS = 3, 3.0
 #: Words apart within which a second-person word counts as near.
 NEAR = 5
 
@@ -71,20 +72,21 @@ MASKS = np.isin(np.arange(256), list(b"*#%_"))
 
 
 def hash_runs(letters: np.ndarray, first: np.ndarray, length: np.ndarray, stems: bool = False):
-    """A hash of each run letters[first : first + length]; the runs come in order and cover all of letters.
+    """A hash of each run letters[first : first + length].
 
     With stems also those of the first STEMS bytes, a row for each size, zero where the run isn't longer.
     """
     if not len(first):
         return (np.zeros(0, np.uint64), np.zeros((len(STEMS), 0), np.uint64)) if stems else np.zeros(0, np.uint64)
-    place = np.arange(len(letters)) - np.repeat(first, length)
-    weighed = (letters.astype(np.uint64) + np.uint64(1)) * PLACES[place & 63]
-    whole = np.add.reduceat(weighed, first)
+    whole = codes(letters, first, length)
     if not stems:
         return whole
-    total = np.concatenate(([np.uint64(0)], np.cumsum(weighed)))
-    begun = [np.where(length > k, total[np.minimum(first + k, len(letters))] - total[first] + np.uint64(k), np.uint64(0)) for k in STEMS]
-    return whole, np.array(begun)
+    begun = np.zeros((len(STEMS), len(first)), np.uint64)
+    for row, k in zip(begun, STEMS, strict=True):
+        longer = np.flatnonzero(length > k)
+        # a beginning isn't the word that is spelt so
+        row[longer] = mix(codes(letters, first[longer], np.full(len(longer), k)))
+    return whole, begun
 
 
 def word_hash(word: str | bytes) -> int:
@@ -349,7 +351,7 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Boosted | float:
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words and beginnings of words that mark toxic rows: those of half 0, of half 1, and of both; MAX_LEARNT each at most."""
+    """Hashes of the words and beginnings of words that mark toxic rows: those of half 0, of half 1, and of both. The sample is bounded, and with it its words."""
 
     def run(batches):
         for b in batches:
@@ -372,7 +374,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     counts = sample.mapInArrow(run, "code long, half int, bad long, n long").groupBy("code").agg(*(of(c, h) for c in ("bad", "n") for h in (0, 1)))
     bad, n = F.col("bad0") + F.col("bad1"), F.col("n0") + F.col("n1")
     # the total goes along as one more row, so that one pass over the counts suffices
-    found = counts.where((F.col("code") == 0) | ((bad >= LEAST_DOCS) & (bad > 0.3 * n))).orderBy(F.col("code") != 0, bad.desc(), "code").limit(4 * MAX_LEARNT).toPandas()
+    found = counts.where((F.col("code") == 0) | ((bad >= LEAST_DOCS) & (bad > 0.3 * n))).toPandas()
     total, rows = found[found["code"] == 0], found[found["code"] != 0]
 
     def marking(bad_name, n_name) -> np.ndarray:
@@ -383,7 +385,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
             return np.zeros(0, np.uint64)
         b, m = rows.eval(bad_name), rows.eval(n_name)
         odds = np.log((b + 0.5) / (bad_all + 1)) - np.log((m - b + 0.5) / (all_ - bad_all + 1))
-        kept = rows[(odds >= LEAST_ODDS) & (b >= LEAST_DOCS)].head(MAX_LEARNT)
+        kept = rows[(odds >= LEAST_ODDS) & (b >= LEAST_DOCS)]
         return np.unique(kept["code"].to_numpy().view(np.uint64))
 
     return marking("bad0", "n0"), marking("bad1", "n1"), marking("bad0 + bad1", "n0 + n1")

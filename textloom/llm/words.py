@@ -57,10 +57,10 @@ def codes(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def numbers(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The same number for equal words, another one for others: codes sort the words, their bytes decide."""
+def distinct(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct word, which of them each word is): codes sort the words, their bytes decide."""
     if not len(first):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, at, own = np.unique(codes(raw, first, length), return_index=True, return_inverse=True)
     head, eight = at[own], _eights(raw)
     same = bool((length == length[head]).all())
@@ -70,6 +70,12 @@ def numbers(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarra
         same = bool((((eight[first[live] + 8 * k] ^ eight[first[head[live]] + 8 * k]) & _BELOW[np.minimum(rest, 8)]) == 0).all())
         live, k = live[rest > 8], k + 1
     if same:
-        return own
+        return at, own
     seen: dict[bytes, int] = {}
-    return np.array([seen.setdefault(raw[i : i + n].tobytes(), len(seen)) for i, n in zip(first, length, strict=True)], np.int64)
+    own = np.array([seen.setdefault(raw[i : i + n].tobytes(), len(seen)) for i, n in zip(first, length, strict=True)], np.int64)
+    return np.unique(own, return_index=True)[1], own
+
+
+def numbers(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The same number for equal words, another one for others."""
+    return distinct(raw, first, length)[1]
