@@ -9,7 +9,8 @@ from textloom.plans import ordered, relational  # noqa: F401 (their oracles)
 from textloom.plans.ordered import _tumbling
 from textloom.plans.registry import ORACLES, query
 from textloom.sources.shared import shared_path
-from textloom.streaming.run import coalesced_previews, drained, saved_revisions, stream_of
+from textloom.streaming import clocked as C
+from textloom.streaming.run import coalesced_previews, drained, in_parts, saved_revisions, stream_of
 from textloom.streaming.segments import block_stream, endpoint_stream, ingest_stream, overlap_stream, segment_stream
 
 
@@ -147,3 +148,66 @@ def stream_correlation(spark, sf_dir):
     responses = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("response_id"), "user_id", F.col("ts").alias("answered")).withWatermark("answered", "60 days")
     joined = responses.join(requests, F.expr("user_id = request_user AND answered >= asked AND answered < asked + INTERVAL 1 HOUR"))
     return drained(joined.select("response_id", "request_id"), "append", "correlation").drop("batch")
+
+
+# sessions that the clock ends: rows come in parts, a micro-batch each, and a last tick moves the clock on
+
+HOUR = 3_600_000_000
+
+
+def _clocked(rows, rule, order, columns, name):
+    found = C.clocked(in_parts(rows, "ts", 3, name, tick="400 days"), rule, "session", "ts", order, columns)
+    return drained(found, "append", name, settings=C.STATE_STORE).drop("batch")
+
+
+def _user_events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'purchase' AS final FROM events),
+f AS (SELECT *, lag(t) OVER w AS before, lag(final) OVER w AS ended FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+g AS (SELECT *, sum((before IS NULL OR ended OR t - before >= {6 * HOUR})::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM f)
+SELECT user_id AS session, min(t) AS "start", CASE WHEN bool_or(final) THEN max(t) ELSE max(t) + {6 * HOUR} END AS "end", count(*) AS rows, CASE WHEN bool_or(final) THEN 'final' ELSE 'silence' END AS reason FROM g GROUP BY user_id, n""")
+def stream_sessions_end(spark, sf_dir):
+    """Sessions of users that a purchase ends, or the clock after six hours of silence."""
+    rows = _user_events(spark, sf_dir).withColumn("final", F.col("event_type") == "purchase")
+    return _clocked(rows, C.silence_rule(6 * HOUR), ["event_id"], ["event_id", "final"], "sessions-end")
+
+
+def _chain(need: str, most: int, span: int) -> str:
+    """Each user's rows in blocks from their first one on, by time and size: begun, and why the block before ended."""
+    new, by_time = f"(t.t - f.begun >= {span} OR f.used + t.need > {most})", f"t.t - f.begun >= {span}"
+    return f"""WITH RECURSIVE t AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS t, {need} AS need, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, k, t AS begun, need AS used, 0 AS n, NULL::BIGINT AS full_at FROM t WHERE k = 1
+UNION ALL SELECT t.user_id, t.event_id, t.k, CASE WHEN {new} THEN t.t ELSE f.begun END, CASE WHEN {new} THEN t.need ELSE f.used + t.need END, CASE WHEN {new} THEN f.n + 1 ELSE f.n END,
+CASE WHEN {new} AND NOT {by_time} THEN t.t END FROM f JOIN t ON t.user_id = f.user_id AND t.k = f.k + 1),
+b AS (SELECT user_id, n, begun, count(*) AS items, max(used) AS used, arg_max(event_id, k) AS last, max(full_at) AS full_at FROM f GROUP BY user_id, n, begun),
+c AS (SELECT *, lead(full_at) OVER (PARTITION BY user_id ORDER BY n) AS until FROM b)"""
+
+
+@query(_chain("CAST(floor(value) AS BIGINT) + 20", 300, 24 * HOUR) + f"""
+SELECT user_id AS session, begun AS "start", coalesce(until, begun + {24 * HOUR}) AS "end", items, used, CASE WHEN until IS NULL THEN 'time' ELSE 'size' END AS reason FROM c""")
+def stream_blocks_close(spark, sf_dir):
+    """Events of a user in blocks that close a day after their first one, by the clock, or when the next one doesn't fit."""
+    rows = _user_events(spark, sf_dir).withColumn("size", F.floor("value").cast("long"))
+    return _clocked(rows, C.block_rule(24 * HOUR, 300), ["event_id"], ["event_id", "size"], "blocks-close")
+
+
+@query(_chain("CAST(0 AS BIGINT)", 1, 2 * HOUR) + f"""
+SELECT user_id AS session, begun + {2 * HOUR} AS saved_at, items AS changes, last AS version FROM c""")
+def stream_autosaves(spark, sf_dir):
+    """Events as changes of a user's record: saves are due two hours after the first change that isn't saved."""
+    rows = _user_events(spark, sf_dir).withColumn("version", F.col("event_id"))
+    return _clocked(rows, C.autosave_rule(2 * HOUR), ["event_id"], ["event_id", "version"], "autosaves")
+
+
+@query("""WITH r AS (SELECT o_custkey AS session, o_orderkey AS request, epoch_us(o_orderdate::TIMESTAMP) AS asked, (SELECT epoch_us(min(l_shipdate)::TIMESTAMP) FROM lineitem WHERE l_orderkey = o_orderkey) AS sent FROM orders)
+SELECT session, request, asked, CASE WHEN sent < asked + 5184000000000 THEN sent ELSE asked + 5184000000000 END AS ended, CASE WHEN sent < asked + 5184000000000 THEN 'answered' ELSE 'timed_out' END AS outcome FROM r
+UNION ALL SELECT session, request, NULL, sent, 'late' FROM r WHERE sent >= asked + 5184000000000""")
+def stream_timeouts(spark, sf_dir):
+    """Orders as requests of a customer and their first shipment as the answer: those without one in sixty days time out, and their answer comes late."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    sent = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_shipdate").cast("timestamp").alias("ts"))
+    answers = sent.join(orders.select("id", "session"), "id").select("session", "id", "ts", F.lit(True).alias("answer"))
+    rows = orders.withColumn("answer", F.lit(False)).unionByName(answers)
+    return _clocked(rows, C.request_rule(60 * 24 * HOUR), ["answer", "id"], ["id", "answer"], "timeouts")

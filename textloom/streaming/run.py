@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,41 @@ def json_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger
     return spark.readStream.schema(schema).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
-def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] | None = None, place: str | None = None, fingerprint: str | None = None) -> DataFrame:
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def in_parts(df: DataFrame, time: str, parts: int, name: str, tick: str | None = None) -> DataFrame:
+    """df as a stream that arrives in parts, a micro-batch each, in the order of a timestamp; rows of one time come together.
+
+    With tick (an interval), a last row that is null but for its time, that much after all others, moves the clock on.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    low, high = df.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
+    at, step = F.unix_micros(F.col(time)), 1 if low is None else (high - low) // parts + 1
+    for k in range(parts if low is not None else 0):
+        df.where((at >= low + k * step) & (at < low + (k + 1) * step)).coalesce(1).write.mode("append").parquet(path)
+    if tick is not None and low is not None:
+        late = F.timestamp_micros(F.lit(high)) + F.expr(f"INTERVAL {tick}")
+        spark.range(1).select(*((late if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema)).write.mode("append").parquet(path)
+    df.limit(0).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] | None = None, place: str | None = None, fingerprint: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """Everything that the query emits on the input there is, with the number of its micro-batch as ``batch``.
 
-    each is applied to every micro-batch. With a place of its own (a folder) the query's progress and results stay there: the next
+    settings are the session's while the query starts. each is applied to every micro-batch. With a place of its own (a folder) the query's progress and results stay there: the next
     run goes on from them, and is refused where its settings' fingerprint is another.
     """
     spark = stream.sparkSession
@@ -42,8 +74,9 @@ def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame],
 
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0).cast("long")).write.mode("ignore").parquet(f"{out}/none")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
+    with session_settings(spark, settings or {}):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
     return spark.read.option("recursiveFileLookup", True).schema(schema).parquet(out)
 
 
