@@ -98,8 +98,13 @@ def test_apart_vertices_of_a_bucket_are_compared(spark):
     members = spark.createDataFrame(pd.DataFrame({"slot": 0, "key": 5, "v": vs, "n": len(texts)}), "slot int, key long, v binary, n long")
     sets = minhash.with_sets(docs, members.select("v")).cache()
     none = spark.createDataFrame([], "v binary, label binary")
-    for nearest, rows in ((True, 4), (True, 2), (False, 3)):
-        pairs = minhash.linked(minhash.pairs_across(members, none, sets, nearest, rows), sets)
-        labels = minhash.joined_labels(none, pairs)
+    for rows in (2, 3, 256):
+        near = minhash.near_labels(members, none, sets, rows)
+        labels = minhash.joined_labels(none, minhash.links_in_clusters(near, none, sets, rows))
         got = {bytes(r.v): bytes(r.label) for r in labels.collect()}
         assert {frozenset(i for i in range(7) if got.get(vs[i]) == x) for x in set(got.values())} == {frozenset({0, 1, 2}), frozenset({3, 4, 5})}
+    # with one family as a component, its members aren't compared with each other, the others with all
+    known = spark.createDataFrame([(v, vs[0]) for v in vs[:3]], "v binary, label binary")
+    near = minhash.near_labels(members, known, sets, 2)
+    links = {frozenset((bytes(r.a), bytes(r.b))) for r in minhash.links_in_clusters(near, known, sets, 2).collect()}
+    assert links and all(not pair & set(vs[:3]) for pair in links)

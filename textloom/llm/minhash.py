@@ -11,9 +11,10 @@ shares no key only once in 40,000.
    buckets hold most others (a text that many copies derive from), and every other is compared with it: rows linear in the keys.
 2. A link is a pair whose whole sets are similar enough, in whole numbers. Links make components.
 3. Buckets of vertices in several components hold pairs not compared yet. Their rows get longer signatures
-   (CHECK positions of a byte) and all pairs across components are compared by those, in blocks; first the nearest of
-   each vertex in each other component goes on to the sets, then, where components are still apart, all pairs that the longer
-   signatures let through. They refuse a similar pair once in 30,000 times. Buckets within one component, such as those of a large group of copies, are never opened.
+   (CHECK positions of a byte); by those, each bucket names which of its components come near each other, a forest of them and no pairs. Components that
+   come near make clusters. In a cluster, all vertices outside its largest component are compared with all others, set by set, in
+   blocks of BLOCK_ROWS that meet two by two, and a block tells a forest of links. Longer signatures refuse a similar pair once in 30,000 times.
+   Buckets within one component, such as those of a large group of copies, are never opened, and the largest component isn't compared with itself.
 
 Shingles and sets are known by hashes: 64 bits of a shingle (``words``), 128 of a set.
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import drop_saved, saved, small_batches, table, text_blocks
 from textloom.llm.graph import components
+from textloom.llm.near_copies import part_links
 from textloom.llm.words import LOWER, codes, mix, spans
 
 #: The least similarity in hundredths.
@@ -43,8 +45,8 @@ POSITIONS, BITS, CHUNK = 40, 16, 5
 THRESHOLD = 2 * (POSITIONS // CHUNK) - 1
 #: Positions of the longer signature, and those in which a pair may differ: at a similarity of 0.8, 25.5 on average, with a deviation of 4.5.
 CHECK, CHECK_THRESHOLD = 128, 44
-#: Rows of a bucket that are compared as one block.
-BLOCK_ROWS = 512
+#: Rows of a bucket, or of a cluster, that are compared as one block.
+BLOCK_ROWS = 256
 #: Bits of the table that tells vertices with a partner from the rest; its size is fixed.
 WANTED_BITS = 1 << 26
 
@@ -184,59 +186,44 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.join(centre.select("slot", "key", F.col("best.v").alias("a")), ["slot", "key"]).where("a <> v").select("a", F.col("v").alias("b")).distinct()
 
 
-def block_pairs(label: np.ndarray, checked: np.ndarray, mine: np.ndarray, theirs: np.ndarray, nearest: bool) -> list[tuple[int, int]]:
-    """Places of pairs, one of mine and one of theirs, of different labels and near by checked; nearest: only each row's nearest of each label."""
+def near_forest(label: np.ndarray, checked: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs, one of mine and one of theirs, that are near by checked and join all labels that such pairs join; label is changed."""
     found = []
-    theirs = theirs[np.argsort(label[theirs], kind="stable")]
-    head = np.flatnonzero(np.concatenate(([True], label[theirs][1:] != label[theirs][:-1])))
     for i in mine:
-        far = (checked[theirs] != checked[i]).sum(axis=1)
-        far[label[theirs] == label[i]] = CHECK + 1
-        if nearest:
-            least = np.repeat(np.minimum.reduceat(far, head), np.diff(np.append(head, len(far))))
-            hit = np.flatnonzero((far == least) & (far <= CHECK_THRESHOLD))
-            hit = hit[np.unique(label[theirs[hit]], return_index=True)[1]]
-        else:
-            hit = np.flatnonzero(far <= CHECK_THRESHOLD)
-        found += [(int(i), int(j)) for j in theirs[hit]]
+        apart = theirs[label[theirs] != label[i]]
+        if not len(apart):
+            continue
+        near = apart[(checked[apart] != checked[i]).sum(axis=1) <= CHECK_THRESHOLD]
+        while len(near):
+            j = near[0]
+            found.append((int(i), int(j)))
+            label[label == label[j]] = label[i]
+            near = near[label[near] != label[i]]
     return found
 
 
-def _grid(rows: DataFrame, block_rows: int) -> DataFrame:
-    """rows (slot, key, n, v, ...) dealt out to the pairs of blocks of their buckets: part, other and side tell which; most buckets are one block."""
-    parts = F.ceil(F.col("n") / block_rows).cast("int")
-    mine = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    grid = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_row = F.transform(F.filter(grid, lambda j: j >= F.col("mine")), lambda j: F.struct(F.col("mine").alias("part"), j.alias("other"), F.lit(0).alias("side")))
-    as_col = F.transform(F.filter(grid, lambda i: i < F.col("mine")), lambda i: F.struct(i.alias("part"), F.col("mine").alias("other"), F.lit(1).alias("side")))
-    dealt = rows.withColumn("parts", parts).withColumn("mine", mine)
-    return dealt.withColumn("g", F.explode(F.concat(as_row, as_col))).select("slot", "key", "g.part", "g.other", "g.side", "v", "label", "checked")
+def _blocks(own: Column, parts: Column) -> Column:
+    """The pairs of blocks (part, other) that a row of block own takes part in, on the side 0 or 1, where all blocks meet."""
+    grid = F.sequence(F.lit(0), parts - 1)
+    as_row = F.transform(F.filter(grid, lambda j: j >= own), lambda j: F.struct(own.alias("part"), j.alias("other"), F.lit(0).alias("side")))
+    as_col = F.transform(F.filter(grid, lambda i: i < own), lambda i: F.struct(i.alias("part"), own.alias("other"), F.lit(1).alias("side")))
+    return F.concat(as_row, as_col)
 
 
-def pairs_across(members: DataFrame, labels: DataFrame, sets: DataFrame, nearest: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs (a, b) of a bucket and different labels whose longer signatures are near; labels: v and label of those that have one besides themselves."""
-    named = members.join(labels, "v", "left").select("slot", "key", "n", "v", F.coalesce("label", "v").alias("label"))
-    # two in a bucket have been compared
-    mixed = named.where("n > 2").groupBy("slot", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("slot", "key")
-    rows = named.join(mixed, ["slot", "key"]).join(sets.select("v", "checked"), "v")
-    names = ["slot", "key", "part", "other"]
+def _met(rows: DataFrame, keys: list[str], column: str, solve) -> DataFrame:
+    """Pairs (a, b) of v that solve(label, values of column, mine, theirs) finds in each pair of blocks of rows (keys, part, other, side, v, label)."""
+    names = [*keys, "part", "other"]
 
     def run(batches):
         held, current = [], None
 
         def flush():
-            side = np.concatenate([h[0] for h in held])
-            v, label, checked = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+            side, v, label, values = (np.concatenate([h[k] for h in held]) for k in range(4))
             label = np.unique(label, return_inverse=True)[1]
             mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            theirs = mine if current[2] == current[3] else theirs
-            if not len(mine) or not len(theirs):
-                return None
-            found = block_pairs(label, checked, mine, theirs, nearest)
-            if current[2] != current[3] and nearest:
-                found += block_pairs(label, checked, theirs, mine, nearest)
-            pairs = {(min(v[i], v[j]), max(v[i], v[j])) for i, j in found}
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+            theirs = mine if current[-1] == current[-2] else theirs
+            found = solve(label, values, mine, theirs) if len(mine) and len(theirs) else []
+            return pa.RecordBatch.from_arrays([pa.array([v[p[k]] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for b in batches:
             n = len(b)
@@ -245,21 +232,57 @@ def pairs_across(members: DataFrame, labels: DataFrame, sets: DataFrame, nearest
             at = [b.column(c).to_numpy() for c in names]
             new = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in at], axis=0))))
             side = b.column("side").to_numpy()
-            v = np.array(b.column("v").to_pylist(), object)
-            label = np.array(b.column("label").to_pylist(), object)
-            checked = np.frombuffer(b"".join(b.column("checked").to_pylist()), np.uint8).reshape(n, CHECK)
+            v, label, values = (np.array([*b.column(c).to_pylist(), None], object)[:-1] for c in ("v", "label", column))
             for i, j in zip(new, np.append(new[1:], n), strict=True):
                 this = tuple(int(x[i]) for x in at)
-                if held and this != current and (out := flush()) is not None:
-                    yield out
                 if this != current:
+                    if held:
+                        yield flush()
                     held, current = [], this
-                held.append((side[i:j], v[i:j], label[i:j], checked[i:j]))
-        if held and (out := flush()) is not None:
-            yield out
+                held.append((side[i:j], v[i:j], label[i:j], values[i:j]))
+        if held:
+            yield flush()
+
+    rows = rows.select(*names, "side", "v", "label", column)
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def near_labels(members: DataFrame, labels: DataFrame, sets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs (a, b) of vertices of a bucket and different labels whose longer signatures are near: a forest for each bucket."""
+    named = members.join(labels, "v", "left").select("slot", "key", "n", "v", F.coalesce("label", "v").alias("label"))
+    # two in a bucket have been compared
+    mixed = named.where("n > 2").groupBy("slot", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("slot", "key")
+    rows = named.join(mixed, ["slot", "key"]).join(sets.select("v", "checked"), "v")
+    parts = F.ceil(F.col("n") / block_rows).cast("int")
+    rows = rows.withColumn("g", F.explode(_blocks(F.pmod(F.xxhash64("v"), parts).cast("int"), parts))).select("slot", "key", "g.part", "g.other", "g.side", "v", "label", "checked")
+
+    def solve(label, values, mine, theirs):
+        return near_forest(label, np.frombuffer(b"".join(values), np.uint8).reshape(len(values), CHECK), mine, theirs)
+
+    return _met(rows, ["slot", "key"], "checked", solve)
+
+
+def links_in_clusters(near: DataFrame, labels: DataFrame, sets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) that join the labels that near pairs bring together, where sets of theirs are similar: all vertices of such
+    labels are compared, but for those of a cluster's largest label among themselves."""
+    x, y = (labels.select(F.col("v").alias(k), F.col("label").alias(f"{k}_label")) for k in "ab")
+    ends = near.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    clusters = components(ends).select(F.col("v").alias("label"), F.col("root").alias("cluster"))
+    alone = clusters.join(labels.select(F.col("v").alias("label")), "label", "left_anti").select("cluster", "label", F.col("label").alias("v"))
+    named = saved(clusters.join(labels, "label").select("cluster", "label", "v").unionByName(alone), "minhash-clusters")
+    sizes = named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster")
+    sizes = sizes.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).select("cluster", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / block_rows).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).cast("int").alias("parts"))
+    dealt = named.join(sizes, "cluster")
+    at = lambda parts: F.pmod(F.xxhash64("v"), F.col(parts)).cast("int")
+    with_top = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda k: F.struct(at("parts").alias("part"), (F.col("parts") + k).alias("other"), F.lit(0).alias("side")))
+    as_top = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), (F.col("parts") + at("tops")).alias("other"), F.lit(1).alias("side")))
+    pairs = F.when(F.col("label") == F.col("top"), as_top).otherwise(F.concat(_blocks(at("parts"), F.col("parts")), with_top))
+    rows = dealt.select(F.xxhash64("cluster").alias("key"), "v", "label", F.explode(pairs).alias("g")).select("key", "g.part", "g.other", "g.side", "v", "label")
+
+    def solve(label, values, mine, theirs):
+        return part_links([np.frombuffer(x, np.uint64) for x in values], label, mine, theirs)
 
-    dealt = _grid(rows, block_rows).repartition(*names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return _met(rows.join(sets.select("v", "values"), "v"), ["key"], "values", solve)
 
 
 def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,10 +305,10 @@ def near_groups(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     sets = saved(with_sets(docs, members.select("v").distinct()), "minhash-sets")
     links = saved(linked(star_pairs(members), sets), "minhash-links")
     labels = components(links).withColumnRenamed("root", "label")
-    for nearest in (True, False):
-        more = saved(linked(pairs_across(members, labels, sets, nearest, block_rows), sets), "minhash-links")
-        if not more.isEmpty():
-            labels = joined_labels(labels, more)
+    near = saved(near_labels(members, labels, sets, block_rows), "minhash-near")
+    if not near.isEmpty():
+        more = saved(links_in_clusters(near, labels, sets, block_rows), "minhash-links")
+        labels = labels if more.isEmpty() else joined_labels(labels, more)
     drop_saved(members)
     drop_saved(sets)
     named = vertices.select("v", "first_id").join(labels, "v", "left").select("v", "first_id", F.coalesce("label", "v").alias("label"))
