@@ -1,6 +1,8 @@
 import base64
 
 import numpy as np
+import random
+
 from pyspark.sql import functions as F
 
 from textloom.functions import signal
@@ -54,11 +56,56 @@ def test_passages_lose_nothing(spark):
     assert [len(r[0]) for r in df.select(records.passages_udf(F.col("p"))).collect()] == [len(got), 0]
 
 
-def test_natural_cuts():
-    text = "one two three. four five six\nseven eight nine ten " * 40
-    cuts = records.natural_cuts(text, 100)
-    pieces = [text[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
-    assert "".join(pieces) == text and max(map(len, pieces)) <= 100 and all(p[-1] in " \n" for p in pieces) and records.natural_cuts("x" * 250, 100) == [100, 200, 250]
+def walked(parts):
+    """The rule of passages told character by character: places where passages and parts end, with both sides of a part side by side."""
+    out, used, here = [], 0, []
+    for part in parts:
+        a, b = part["original"], part["other"]
+        while a or b:
+            if 1400 - used < 150:
+                out, used, here = [*out, here], 0, []
+            takes = []
+            for side in (a, b):
+                take = 0
+                while take < len(side) and take < 1400 - used:
+                    take += 1
+                if take < len(side):
+                    back = take
+                    while back > 0 and side[back - 1] not in " \n":
+                        back -= 1
+                    take = back if back - 1 > 0.55 * take else take
+                takes.append(take)
+            if part["tag"] == "equal":
+                takes[1] = takes[0]
+            here = [*here, (part["tag"], a[: takes[0]], b[: takes[1]])]
+            used += max(takes)
+            said = (a[: takes[0]] + b[: takes[1]]).rstrip(" \t")
+            a, b = a[takes[0] :], b[takes[1] :]
+            if a or b or used >= 1300 or (used >= 750 and said.rstrip()[-1:] in [*".!?。？！"]) or (used >= 750 and said.endswith("\n")):
+                out, used, here = [*out, here], 0, []
+    return [p for p in [*out, here] if p]
+
+
+def test_passages_against_a_walk():
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice(["word ", "longer words ", "end. ", "x" * 40, "\n", "No? ", "y" * 300]) for _ in range(n))
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(0, 9)):
+            t = text(rng.randrange(0, 60))
+            tag = rng.choice(["equal", "equal", "replace", "insert", "delete"])
+            parts.append({"tag": tag, "original": "" if tag == "insert" else t, "other": "" if tag == "delete" else t if tag == "equal" else text(rng.randrange(0, 50))})
+        got = records.passages(parts)
+        assert [[(p["tag"], p["original"], p["other"]) for p in g["parts"]] for g in got] == walked(parts)
+        for side in ("original", "other"):
+            assert "".join(p[side] for g in got for p in g["parts"]) == "".join(p[side] for p in parts)
+            assert all(sum(len(p[side]) for p in g["parts"]) <= 1400 for g in got)
+
+
+def test_head_size():
+    assert records.head_size("a b c", 9) == 5 and records.head_size("x" * 250, 100) == 100
+    assert records.head_size("a " + "x" * 250, 100) == 100  # the blank stands too early
+    assert records.head_size("x" * 80 + " " + "y" * 90, 100) == 81 and records.head_size("x" * 80 + "\n" + "y" * 90, 100) == 81
 
 
 def test_review_and_restore(spark):
