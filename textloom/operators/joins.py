@@ -28,3 +28,64 @@ def containing(texts: DataFrame, items: DataFrame, text: str, item: str, run: in
     found = texts.join(hits, "__row").where(F.contains(text, item)).drop("__row", "__run")
     rest = items.where("__run IS NULL").drop("__run")
     return found if rest.isEmpty() else found.unionByName(texts.drop("__row").join(rest, F.contains(text, item)))
+
+
+#: Steps of the least level that a middling interval spans: fewer give fewer rows, more give fewer hits to discard.
+STEPS = 4
+
+
+def _shift(c: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", c, bits)
+
+
+def dyadic_cover(start: Column, end: Column, grain: Column) -> Column:
+    """The nodes (level, node) of the least set of aligned intervals of 2 ** level that cover [start, end), no shorter than 2 ** grain and disjoint.
+
+    At each level a node stands at an end of the interval where its neighbour of twice the size would reach beyond it: two at most, so
+    their number is logarithmic in the interval's length.
+    """
+    low, high = _shift(start, grain), _shift(end - 1, grain) + 1
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(high - low, F.lit(1)))).cast("int"))
+
+    def nodes(level: Column) -> Column:
+        # the aligned part at this level; ceiling of low, floor of high
+        a = -_shift(-low, level)
+        b = _shift(high, level)
+        left = F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), F.struct((level + grain).alias("level"), a.alias("node")))
+        right = F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), F.struct((level + grain).alias("level"), (b - 1).alias("node")))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(levels, nodes)), lambda x: x.isNotNull())
+
+
+def grain_of(intervals: DataFrame, start: str, end: str) -> int:
+    """The level at which a middling interval spans STEPS nodes."""
+    middle = intervals.select(F.percentile_approx(F.col(end) - F.col(start), 0.5, 100)).first()[0]
+    return max(0, int(middle or 1).bit_length() - STEPS.bit_length())
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, grain: int | None = None) -> DataFrame:
+    """Pairs of points and half-open intervals of the same keys that hold them, all columns of both; times are whole numbers.
+
+    Intervals of any length: each goes to the nodes of its dyadic cover, each point to its one node at every level that covers have (62 numbers
+    at most, collected), and they meet in an equi-join. The nodes of a cover are disjoint, so each pair meets once. A key's rows are spread
+    over its nodes, which adaptive execution splits where one is hot. Nulls and intervals without length hold nothing.
+    """
+    intervals = intervals.where(F.col(start) < F.col(end))
+    grain = grain_of(intervals, start, end) if grain is None else grain
+    covered = intervals.withColumn("__d", F.explode(dyadic_cover(F.col(start), F.col(end), F.lit(grain)))).select(*intervals.columns, F.col("__d.level").alias("__level"), F.col("__d.node").alias("__node"))
+    levels = sorted(r[0] for r in covered.select("__level").distinct().collect())
+    places = F.transform(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: F.struct(x.alias("level"), _shift(F.col(at), x).alias("node")))
+    spread = points.withColumn("__d", F.explode(places)).select(*points.columns, F.col("__d.level").alias("__level"), F.col("__d.node").alias("__node"))
+    found = spread.join(covered, [*keys, "__level", "__node"])
+    return found.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__level", "__node")
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tuple[str, str], right_bounds: tuple[str, str]) -> DataFrame:
+    """Pairs of intervals of the same keys that share a point: of two, one holds the other's start; those that start together meet on the right one's side."""
+    (a, b), (c, d) = left_bounds, right_bounds
+    proper = lambda df, s, e: df.where(F.col(s) < F.col(e))
+    left, right = proper(left, a, b), proper(right, c, d)
+    within = points_in_intervals(left, right, keys, a, c, d)
+    around = points_in_intervals(right, left, keys, c, a, b).where(F.col(c) > F.col(a))
+    return within.unionByName(around)

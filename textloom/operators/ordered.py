@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from textloom.operators import scans
+
+#: Rows of a key that ``folded`` streams through one task; larger keys are chained (``scans``), whose tasks share a key.
+KEY_ROWS = 1 << 20
+
 
 def neighbours_flagged(df: DataFrame, keys: list[str], order: list[str], against_previous, name: str) -> DataFrame:
     """Flag a row and its predecessor where ``against_previous(previous: name -> Column)`` holds for the row."""
@@ -107,6 +112,22 @@ def kept_disjoint(until, row):
     return (row.end if ok else until), (ok,)
 
 
+def greedy_blocks(df: DataFrame, keys: list[str], order: list[str], cost: int, most: int, span: int, key_rows: int = KEY_ROWS) -> DataFrame:
+    """df (at and size: whole numbers) with block: see ``block_of``; at doesn't fall in order."""
+    step = block_of(cost, most, span)
+
+    def small(rows: DataFrame) -> DataFrame:
+        return folded(rows.withColumn("seconds", F.col("at")), keys, order, step, None, "block int").drop("seconds")
+
+    return scans.by_size_of_key(df, keys, key_rows, small, lambda rows: scans.chained_blocks(rows, keys, order, cost, most, span))
+
+
+def disjoint(df: DataFrame, keys: list[str], order: list[str], key_rows: int = KEY_ROWS) -> DataFrame:
+    """df (start, by which order begins, and end) with kept: see ``kept_disjoint``."""
+    small = lambda rows: folded(rows, keys, order, kept_disjoint, None, "kept boolean")
+    return scans.by_size_of_key(df, keys, key_rows, small, lambda rows: scans.chained_disjoint(rows, keys, order))
+
+
 def equal_runs(codes: Column, copies: int, most: int) -> Column:
     """Array of (size, first, n): for each size up to most the stretches of n places at which a code equals the one ``size`` further on,
     those long enough for so many copies. In Arrow batches, a few vector steps for each size and array."""

@@ -104,8 +104,8 @@ UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN f.used + t.n + 20 <= 1500 THE
 SELECT conv_id, turn, CAST(block AS INT) AS block FROM f""")
 def greedy_blocks(spark, sf_dir):
     """Turns go into blocks of 1500 characters at most, 20 more for each; turns are a second apart, so time never splits."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(0.0).alias("seconds"), F.length("text").cast("long").alias("size"))
-    return O.folded(rows, ["conv_id"], ["turn"], O.block_of(20, 1500, 20.0), None, "block int").select("conv_id", "turn", "block")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(0).cast("long").alias("at"), F.length("text").cast("long").alias("size"))
+    return O.greedy_blocks(rows, ["conv_id"], ["turn"], 20, 1500, 20).select("conv_id", "turn", "block")
 
 
 @query("""WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -114,8 +114,8 @@ UNION ALL SELECT t.user_id, t.event_id, t.k, CASE WHEN t.s - f.since < 864000000
 SELECT event_id, CAST(block AS INT) AS block FROM f""")
 def timed_blocks(spark, sf_dir):
     """Events of a user go into blocks that span less than a day each; here only time splits."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), F.lit(0).cast("long").alias("size"))
-    return O.folded(rows, ["user_id"], ["seconds", "event_id"], O.block_of(1, 1 << 60, 86400.0), None, "block int").select("event_id", "block")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(0).cast("long").alias("size"))
+    return O.greedy_blocks(rows, ["user_id"], ["at", "event_id"], 1, 1 << 60, 86_400_000_000).select("event_id", "block")
 
 
 @query("""WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 3600000000) AS BIGINT) AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -127,7 +127,27 @@ def self_gated_nonoverlap(spark, sf_dir):
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     end = (start + F.floor(F.col("value") * 3_600_000_000)).cast("long")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", start.alias("start"), end.alias("end"))
-    return O.folded(rows, ["user_id"], ["start", "event_id"], O.kept_disjoint, None, "kept boolean").select("event_id", "kept")
+    return O.disjoint(rows, ["user_id"], ["start", "event_id"]).select("event_id", "kept")
+
+
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT event_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS e, row_number() OVER (ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT event_id, k, true AS kept, e AS until FROM t WHERE k = 1
+UNION ALL SELECT t.event_id, t.k, t.s >= f.until, CASE WHEN t.s >= f.until THEN t.e ELSE f.until END FROM f JOIN t ON t.k = f.k + 1)
+SELECT event_id, kept FROM f""")
+def one_chain(spark, sf_dir):
+    """The same over all events as one key: a chain whose rows no single task holds, by searches and pointer doubling."""
+    return O.disjoint(event_intervals(spark, sf_dir).withColumn("all", F.lit(0)), ["all"], ["start", "event_id"], key_rows=0).select("event_id", "kept")
+
+
+@query("""WITH RECURSIVE t AS MATERIALIZED (SELECT event_id, epoch_us(ts) AS s, CAST(floor(value) AS BIGINT) + 20 AS need, row_number() OVER (ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT event_id, k, 0 AS block, s AS since, need AS used FROM t WHERE k = 1
+UNION ALL SELECT t.event_id, t.k, CASE WHEN f.used + t.need <= 6400 AND t.s - f.since < 86400000000 THEN f.block ELSE f.block + 1 END, CASE WHEN f.used + t.need <= 6400 AND t.s - f.since < 86400000000 THEN f.since ELSE t.s END,
+CASE WHEN f.used + t.need <= 6400 AND t.s - f.since < 86400000000 THEN f.used + t.need ELSE t.need END FROM f JOIN t ON t.k = f.k + 1)
+SELECT event_id, CAST(block AS INT) AS block FROM f""")
+def one_chain_blocks(spark, sf_dir):
+    """Blocks of all events as one key, by size and time."""
+    rows = table(spark, sf_dir, "events").select(F.lit(0).alias("all"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.floor("value").cast("long").alias("size"))
+    return O.greedy_blocks(rows, ["all"], ["at", "event_id"], 20, 6400, 86_400_000_000, key_rows=0).select("event_id", "block")
 
 
 @query("""WITH k AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 5 <> 3), p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM k)

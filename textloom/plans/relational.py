@@ -135,6 +135,155 @@ def coalesce_priority(spark, sf_dir):
 _SEARCH = "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND (contains(lower(text), 'license') OR contains(lower(source), 'license') OR contains(lower(lang), 'license'))"
 
 
+@query(_SEARCH)
+def faceted_search(spark, sf_dir):
+    """A facet and a case-insensitive substring over several columns."""
+    wanted = F.lit("license")
+    hit = F.contains(F.lower("text"), wanted) | F.contains(F.lower("source"), wanted) | F.contains(F.lower("lang"), wanted)
+    return table(spark, sf_dir, "documents").where((F.col("lang") == "en") & hit).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, n_chars, (SELECT CAST(ceil(count(*) / 24.0) AS BIGINT) FROM documents) AS pages FROM documents ORDER BY n_chars DESC, source, doc_id LIMIT 24 OFFSET 24")
+def page_second(spark, sf_dir):
+    """The second page of 24 rows in a total order of three keys, and how many pages there are."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    pages = d.agg(F.ceil(F.count(F.lit(1)) / 24.0).cast("long").alias("pages"))
+    return d.orderBy(F.desc("n_chars"), "source", "doc_id").offset(24).limit(24).select("doc_id", "n_chars").crossJoin(F.broadcast(pages))  # one row
+
+
+@query("""SELECT page_id, regexp_matches(url, '^https?://([a-z0-9-]+\\.)*example\\.(com|net|org)(/|$|\\?|#|:)') AS allowed, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page_param FROM pages""")
+def url_allowlist(spark, sf_dir):
+    host = F.try_parse_url("url", F.lit("HOST"))
+    ok = F.col("url").rlike("^https?://([a-z0-9-]+\\.)*example\\.(com|net|org)(/|$|\\?|#|:)")
+    return table(spark, sf_dir, "pages").select("page_id", ok.alias("allowed"), F.coalesce(host, F.lit("")).alias("host"), F.nullif(F.regexp_extract("url", "[?&]page=([^&#]*)", 1), F.lit("")).alias("page_param"))
+
+
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k long")["k"].alias("k")).where("k IS NOT NULL")
+
+
+@query("""SELECT o_orderkey, list_filter([CASE WHEN NOT coalesce(o_totalprice >= 1000, false) THEN 'price_range' END, CASE WHEN NOT coalesce(o_orderstatus IN ('O', 'F'), false) THEN 'status' END, CASE WHEN NOT coalesce(regexp_full_match(o_orderpriority, '[1-3]-[A-Z]+'), false) THEN 'priority' END], lambda x: x IS NOT NULL) AS violations
+FROM orders WHERE NOT (o_totalprice >= 1000 AND o_orderstatus IN ('O', 'F') AND regexp_full_match(o_orderpriority, '[1-3]-[A-Z]+'))""")
+def record_validation(spark, sf_dir):
+    rules = [("price_range", I.finite("o_totalprice") & (F.col("o_totalprice") >= 1000)), ("status", F.col("o_orderstatus").isin("O", "F")), ("priority", F.col("o_orderpriority").rlike("^[1-3]-[A-Z]+$"))]
+    return I.violations(table(spark, sf_dir, "orders"), rules).select("o_orderkey", "violations")
+
+
+@query("""SELECT c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_acctbal >= 0
+UNION ALL SELECT c_custkey * 10 + k, c_acctbal / 2 FROM customer, unnest([1, 2]) AS u(k) WHERE c_acctbal < 0""")
+def substitution_join(spark, sf_dir):
+    """Rows that fail a test are replaced by their children."""
+    c = table(spark, sf_dir, "customer")
+    children = c.select(F.col("c_custkey").alias("parent"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), (F.col("c_acctbal") / 2).alias("balance"))
+    failing = c.where("c_acctbal < 0")
+    kept = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    return kept.unionByName(failing.join(children, failing.c_custkey == children.parent).select((F.col("c_custkey") * 10 + F.col("k")).alias("id"), "balance"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT p_partkey, 'new ' || p_brand FROM part WHERE p_partkey % 10 = 0")
+def config_upsert(spark, sf_dir):
+    """New settings replace those of their key, others stay."""
+    old = table(spark, sf_dir, "part")
+    new = old.where("p_partkey % 10 = 0").select("p_partkey", F.concat(F.lit("new "), "p_brand").alias("p_name"))
+    return old.select("p_partkey", "p_name").join(new, "p_partkey", "left_anti").unionByName(new)
+
+
+@query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)")
+def referential_anti(spark, sf_dir):
+    """Keys that are referred to but not there."""
+    there = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().join(there, "l_suppkey", "left_anti")
+
+
+@query("""(SELECT doc_id, lang, 'left' AS side FROM documents WHERE doc_id % 50 = 0) UNION ALL (SELECT doc_id, 'xx' AS lang, 'right' AS side FROM documents WHERE doc_id % 50 = 0)""")
+def rerun_difference(spark, sf_dir):
+    """Rows in which a second run differs from the first, as bags."""
+    a = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return I.same_rows(a, a.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "xx").otherwise(F.col("lang"))))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7:1'), doc_id) - 1 AS position FROM documents")
+def seeded_shuffle(spark, sf_dir):
+    """A reproducible order for an epoch, by a hash of id, seed and epoch: the place of every document, numbered within ranges of the hash."""
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7:1"))).alias("key"))
+    # the hash is even, so its first three digits deal the rows out evenly; only their counts are added up in one place
+    keyed = keyed.withColumn("part", F.left("key", F.lit(3)))
+    sizes = keyed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id")) - 1
+    return keyed.join(sizes, "part").select("doc_id", (F.col("from") + own).alias("position"))
+
+
+@query("""SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, CAST(count(*) AS BIGINT) AS lines FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY l_orderkey HAVING count(*) >= 4""")
+def pushed_filter_aggregate(spark, sf_dir):
+    """A plain scan, filter and aggregate: the date reaches the Parquet reader and only three columns are read."""
+    li = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1995-01-01'")
+    return li.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count(F.lit(1)).alias("lines")).where("lines >= 4")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), w AS (SELECT user_id, ts AS s, ts + INTERVAL 1 HOUR AS e, event_id AS window_id FROM events WHERE event_type = 'error')
+SELECT e.event_id, w.window_id FROM e JOIN w ON e.user_id = w.user_id AND e.ts >= w.s AND e.ts < w.e""")
+def point_in_interval(spark, sf_dir):
+    """Points within half-open intervals of their key."""
+    ev = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    p = ev.where("event_type = 'purchase'").select("event_id", "user_id", "at")
+    iv = ev.where("event_type = 'error'").select(F.col("event_id").alias("window_id"), "user_id", F.col("at").alias("s"), (F.col("at") + 3_600_000_000).alias("e"))
+    return J.points_in_intervals(p, iv, ["user_id"], "at", "s", "e").select("event_id", "window_id")
+
+
+_SPANS = "WITH i AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(pow(value, 3) * 60000) AS BIGINT) AS e FROM events) "
+
+
+def _spans(spark, sf_dir):
+    """Events as intervals from fractions of a second to weeks."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", at.alias("s"), (at + F.floor(F.pow("value", F.lit(3)) * 60_000)).cast("long").alias("e"))
+
+
+@query(_SPANS + "SELECT p.event_id, w.event_id AS window_id FROM i p JOIN i w ON p.user_id = w.user_id AND p.event_type = 'purchase' AND w.event_type = 'click' AND p.s >= w.s AND p.s < w.e")
+def point_in_any_interval(spark, sf_dir):
+    """Points within intervals of very different lengths."""
+    rows = _spans(spark, sf_dir)
+    p = rows.where("event_type = 'purchase'").select("event_id", "user_id", F.col("s").alias("at"))
+    return J.points_in_intervals(p, rows.where("event_type = 'click'").select(F.col("event_id").alias("window_id"), "user_id", "s", "e"), ["user_id"], "at", "s", "e").select("event_id", "window_id")
+
+
+@query(_SPANS + "SELECT a.event_id, b.event_id AS other_id FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'error' AND a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e")
+def overlap_pairs(spark, sf_dir):
+    """Pairs of overlapping intervals of a user, of two kinds."""
+    rows = _spans(spark, sf_dir)
+    a = rows.where("event_type = 'purchase'").select("event_id", "user_id", "s", "e")
+    b = rows.where("event_type = 'error'").select(F.col("event_id").alias("other_id"), "user_id", F.col("s").alias("t"), F.col("e").alias("f"))
+    return J.overlapping_pairs(a, b, ["user_id"], ("s", "e"), ("t", "f")).select("event_id", "other_id")
+
+
+@query("""SELECT doc_id, list_filter(['lang', 'source', 'n_chars'], lambda x: (x = 'lang' AND doc_id % 7 = 0) OR (x = 'source' AND doc_id % 11 = 0) OR (x = 'n_chars' AND doc_id % 13 = 0)) AS changed
+FROM documents WHERE doc_id % 17 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0) UNION ALL SELECT doc_id, ['missing'] FROM documents WHERE doc_id % 17 = 0""")
+def null_safe_staleness(spark, sf_dir):
+    """Stored rows (a perturbed copy) that are missing or differ, null-safely, from the current ones."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    kept = d.where("doc_id % 17 <> 0").select(
+        "doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 11 == 0, "other").otherwise(F.col("source")).alias("source"),
+        F.when(F.col("doc_id") % 13 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+    return I.stale_columns(d, kept, "doc_id", ["lang", "source", "n_chars"])
+
+
+@query("""WITH p AS (SELECT conv_id, max(text) FILTER (role = 'system') AS s, max(text) FILTER (role = 'assistant') AS a, max(text) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)
+SELECT conv_id, sha256(coalesce(nullif(s, ''), nullif(a, ''), nullif(u, ''))) AS chosen_sha256, CASE WHEN nullif(s, '') IS NOT NULL THEN 'system' WHEN nullif(a, '') IS NOT NULL THEN 'assistant' WHEN nullif(u, '') IS NOT NULL THEN 'user' END AS chosen_field FROM p""")
+def coalesce_priority(spark, sf_dir):
+    """The first alternative that isn't null or empty, and which one it was."""
+    fields = ("system", "assistant", "user")
+    p = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*(F.max(F.when(F.col("role") == f, F.col("text"))).alias(f) for f in fields))
+    some = [F.nullif(F.col(f), F.lit("")) for f in fields]
+    return p.select("conv_id", F.sha2(F.coalesce(*some), 256).alias("chosen_sha256"), F.coalesce(*(F.when(c.isNotNull(), f) for f, c in zip(fields, some, strict=True))).alias("chosen_field"))
+
+
+_SEARCH = "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND (contains(lower(text), 'license') OR contains(lower(source), 'license') OR contains(lower(lang), 'license'))"
+
+
 @query(_SEARCH)
 def faceted_search(spark, sf_dir):
     """A facet and a case-insensitive substring over several columns."""
