@@ -129,14 +129,11 @@ def stream_revisions(spark, sf_dir):
     """Compare-and-set saves that arrive as a stream, a micro-batch after the other: those that name the stored revision win."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("revision"), F.col("lang").alias("value"))
+    rounds = [("doc_id % 3 > 0", 1, "first"), ("doc_id % 3 = 1", 2, "second"), ("doc_id % 3 = 0", 0, "late")]
     path = shared_path(spark, "saves")
-    docs.where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), F.lit(1).alias("revision"), F.lit("first").alias("value")).coalesce(1).write.parquet(f"{path}/a")
-    docs.where("doc_id % 3 = 1").select(F.col("doc_id").alias("id"), F.lit(2).alias("revision"), F.lit("second").alias("value")).coalesce(1).write.parquet(f"{path}/b")
-    docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(0).alias("revision"), F.lit("late").alias("value")).coalesce(1).write.parquet(f"{path}/c")
-    for part in "abc":
-        saves = spark.readStream.schema(stored.schema).parquet(f"{path}/{part}")
-        stored = saved_revisions(saves, stored)
-    return stored
+    for rule, revision, value in rounds:  # a file, and a micro-batch, each
+        docs.where(rule).select(F.col("doc_id").alias("id"), F.lit(revision).alias("revision"), F.lit(value).alias("value")).coalesce(1).write.mode("append").parquet(path)
+    return saved_revisions(spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(path), stored)
 
 
 @query(ORACLES["point_in_interval"].replace("SELECT e.event_id, w.window_id", "SELECT e.event_id AS response_id, w.window_id AS request_id"))

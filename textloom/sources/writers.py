@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.sources.shared import shared_path
+from textloom.sources.versions import put_file
 
 
 def _fs(spark: SparkSession, path: str):
@@ -29,21 +30,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, there as a whole or not at all: written beside its place, then renamed over it."""
-    fs, final = _fs(spark, path)
-    part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")[1]
-    try:
-        out = fs.create(part, True)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        if not fs.rename(part, final):
-            raise OSError(f"{path} could not be written")
-    finally:
-        fs.delete(part, False)
+    """One small file, there as a whole or not at all: written beside its place, then renamed over it in one step."""
+    put_file(spark, path, text, overwrite=True)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.sources import versions
 from textloom.sources.shared import shared_path
 from textloom.sources.writers import require_fingerprint, save_revisions
 
@@ -94,18 +95,20 @@ def coalesced_previews(batch: DataFrame, most: int | None = None) -> DataFrame:
     return finals.unionByName(kept)
 
 
-def saved_revisions(saves: DataFrame, stored: DataFrame) -> DataFrame:
-    """The table after a stream of compare-and-set saves (id, revision, value), each micro-batch judged against the table that the last one left."""
+def saved_revisions(saves: DataFrame, stored: DataFrame, place: str | None = None) -> DataFrame:
+    """The table after a stream of compare-and-set saves (id, revision, value), each micro-batch judged against the table that the last one left.
+
+    The table is one of numbered versions, which say what micro-batch made them: a run that starts again goes on from the last
+    version, and a batch that is run again changes nothing. stored begins it; with a place where a table is, that one goes on.
+    """
     spark = stored.sparkSession
-    root = shared_path(spark, "revisions")
-    stored.write.parquet(f"{root}/start")
-    current = [f"{root}/start"]
+    root = place or shared_path(spark, "revisions")
+    if versions.version(spark, f"{root}/table") is None:
+        versions.commit(stored, f"{root}/table", 0)
 
     def keep(batch: DataFrame, number: int) -> None:
-        new, _ = save_revisions(spark.read.parquet(current[0]), batch)
-        new.write.mode("overwrite").parquet(f"{root}/b{number}")
-        current[0] = f"{root}/b{number}"
+        versions.update(spark, f"{root}/table", lambda now: save_revisions(now, batch)[0], mark=("saves", number))
 
     query = saves.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stored.schema).parquet(current[0])
+    return versions.read(spark, f"{root}/table")
