@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import signal as S
 from textloom.functions import text as X
 from textloom.operators import ordered as O  # noqa: E741
 from textloom.plans.registry import query, table
@@ -192,3 +193,21 @@ def sample_packets(spark, sf_dir):
     starts = F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(16))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.posexplode(starts).alias("packet", "s"))
     return rows.select("vec_id", F.col("packet").cast("long").alias("packet"), F.least(F.lit(16), F.col("n") - F.col("s")).cast("long").alias("samples"), (F.col("s") + 16 >= F.col("n")).alias("final"))
+
+
+_REACH = -(-S.HALF * 3 // 2)
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding AS x, len(embedding) AS n, unnest(range((len(embedding) * 2 + 2) // 3)) AS i FROM embeddings),
+w AS (SELECT vec_id, i, x[1 + least(greatest(j, 0), n - 1)]::DOUBLE AS x, j - i * 1.5::DOUBLE AS p FROM (SELECT *, unnest(range(i * 3 // 2 - {_REACH} + 1, i * 3 // 2 + {_REACH} + 1)) AS j FROM v)),
+h AS (SELECT vec_id, i, x, CASE WHEN abs(p) >= {_REACH} THEN 0 ELSE CASE WHEN p = 0 THEN 1 ELSE sin(pi() * {S.EDGE} / 1.5 * p) / (pi() * {S.EDGE} / 1.5 * p) END
+* ({S.WINDOW[0]} - {S.WINDOW[1]} * cos(pi() * (p / {_REACH} + 1)) + {S.WINDOW[2]} * cos(2 * pi() * (p / {_REACH} + 1)) - {S.WINDOW[3]} * cos(3 * pi() * (p / {_REACH} + 1))) END AS h FROM w)
+SELECT vec_id, CAST(i AS BIGINT) AS place, round(sum(x * h) / sum(h), 6) + 0.0 AS sample FROM h GROUP BY vec_id, i""")
+def resampled_packets(spark, sf_dir):
+    """Vectors as signals in packets of 16 samples, at two thirds of their rate: the filter's taps are carried from packet to packet."""
+    starts = F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(16))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.posexplode(starts).alias("packet", "s"))
+    rows = rows.select("vec_id", "packet", F.transform(F.slice("embedding", F.col("s") + 1, F.lit(16)), lambda x: x.cast("double")).alias("samples"))
+    found = S.resampled_frames(rows, ["vec_id"], ["packet"], "samples", 3, 2)
+    whole = found.groupBy("vec_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("packet", "resampled"))), lambda x: x["resampled"])).alias("x"))
+    return whole.select("vec_id", F.posexplode("x").alias("place", "sample")).select("vec_id", F.col("place").cast("long").alias("place"), (F.round("sample", 6) + 0.0).alias("sample"))
