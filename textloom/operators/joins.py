@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.scans import stored
+
 #: Characters of a run that items and texts meet by.
 RUN = 12
+#: Bytes of items, about, that an automaton is made of.
+PART_BYTES = 16 << 20
 
 
 def word_runs(c: str, run: int) -> Column:
@@ -14,20 +19,69 @@ def word_runs(c: str, run: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)\\s(?=(\\S.{{{run - 1}}}))"), F.lit(1))
 
 
-def containing(texts: DataFrame, items: DataFrame, text: str, item: str, run: int = RUN) -> DataFrame:
+def containing(texts: DataFrame, items: DataFrame, text: str, item: str, run: int = RUN, part_bytes: int = PART_BYTES) -> DataFrame:
     """Pairs of texts and items, all columns of both, where the text holds the whole item as a substring. Nulls hold nothing; empty items are in every text.
 
-    An item is looked for by one run of characters in it that follows a blank: a text that holds the item has that run behind a blank too. The texts'
-    runs and the items' runs meet in an equi-join, and ``contains`` decides its hits. Items without such a run are compared with every
-    text, which only their number bounds.
+    An item is looked for by one run of characters in it that follows a blank, the rarest of its runs among the texts: a text that holds the item has that run behind a blank too. The texts'
+    runs and the items' runs meet in an equi-join, and ``contains`` decides its hits. An item one of whose runs is nowhere is nowhere. Items without a run go through
+    automata (``with_automata``).
     """
-    texts = texts.where(F.col(text).isNotNull()).withColumn("__row", F.monotonically_increasing_id())
-    items = items.where(F.col(item).isNotNull()).withColumn("__run", F.get(word_runs(item, run), F.lit(0)))
+    # rows are numbered once: what a second reading of the texts would number may be other rows
+    texts = stored(texts.where(F.col(text).isNotNull()).withColumn("__row", F.monotonically_increasing_id()), "texts")
+    items = stored(items.where(F.col(item).isNotNull()).withColumn("__item", F.monotonically_increasing_id()), "items")
+    runs = items.select("__item", F.explode(F.array_distinct(word_runs(item, run))).alias("__run"))
     offers = texts.select("__row", F.explode(F.array_distinct(word_runs(text, run))).alias("__run"))
-    hits = offers.join(items.where("__run IS NOT NULL"), "__run")
-    found = texts.join(hits, "__row").where(F.contains(text, item)).drop("__row", "__run")
-    rest = items.where("__run IS NULL").drop("__run")
-    return found if rest.isEmpty() else found.unionByName(texts.drop("__row").join(rest, F.contains(text, item)))
+    wanted = offers.join(runs.select("__run").distinct(), "__run")
+    counts = runs.join(wanted.groupBy("__run").agg(F.count(F.lit(1)).alias("__n")), "__run", "left")
+    rarest = counts.groupBy("__item").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__run")).alias("r")).where("r.n > 0").select("__item", F.col("r.__run").alias("__run"))
+    hits = wanted.join(rarest, "__run").select("__row", "__item")
+    found = texts.join(hits, "__row").join(items, "__item").where(F.contains(text, item)).drop("__row", "__item")
+    rest = items.join(runs, "__item", "left_anti")
+    return found if rest.isEmpty() else found.unionByName(with_automata(texts, rest, text, item, part_bytes).select(*found.columns))
+
+
+def with_automata(texts: DataFrame, items: DataFrame, text: str, item: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Pairs of texts (numbered by __row) and items (numbered by __item) where the text holds the item, by Aho-Corasick automata.
+
+    The items are dealt out to parts of about part_bytes bytes, an automaton each; every text goes through each automaton once, and hits are as many as there are
+    pairs. Only a part's items are ever in the driver, or in a task, together.
+    """
+    spark = texts.sparkSession
+    size = items.agg(F.sum(F.octet_length(item) + F.lit(8))).first()[0] or 0
+    parts = max(1, -(-int(size) // part_bytes))
+    dealt = items.select("__item", F.col(item).alias("__text"), F.pmod(F.xxhash64("__item"), F.lit(parts)).alias("__part"))
+    found = None
+    for k in range(parts):
+        words: dict[str, list[int]] = {}
+        for number, word in dealt.where(F.col("__part") == k).select("__item", "__text").toLocalIterator():
+            words.setdefault(word, []).append(number)
+        hits = _through(texts.select("__row", F.col(text).alias("__text")), spark.sparkContext.broadcast(words))
+        found = hits if found is None else found.unionByName(hits)
+    return texts.join(found, "__row").join(items, "__item").drop("__row", "__item")
+
+
+def _through(texts: DataFrame, words) -> DataFrame:
+    """(__row, __item) of the words (a broadcast map of words to items) that each text holds."""
+
+    def run(batches):
+        import ahocorasick
+
+        machine, everywhere = ahocorasick.Automaton(), words.value.get("", [])
+        for word, numbers in words.value.items():
+            if word:
+                machine.add_word(word, numbers)
+        machine.make_automaton()
+        for b in batches:
+            rows, items = [], []
+            for row, text in zip(b.column("__row").to_pylist(), b.column("__text").to_pylist(), strict=True):
+                # a list stands for a word, however often the word is met
+                met = {id(numbers): numbers for _, numbers in machine.iter(text)} if len(machine) else {}
+                for numbers in (everywhere, *met.values()):
+                    rows += [row] * len(numbers)
+                    items += numbers
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(items, pa.int64())], ["__row", "__item"])
+
+    return texts.mapInArrow(run, "__row long, __item long")
 
 
 #: Steps of the least level that a middling interval spans: fewer give fewer rows, more give fewer hits to discard.

@@ -168,9 +168,15 @@ def refuse_held_out(df: DataFrame, split: str = "split", path: str | None = None
 
 
 def leaks(held: DataFrame, others: dict[str, DataFrame], keys: list[str], row_id: str) -> DataFrame:
-    """(row_id, split, leaked_key) for each key whose value also stands in another split; one semi join for each key and split."""
-    parts = [held.join(other.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_semi").select(row_id, F.lit(name).alias("split"), F.lit(k).alias("leaked_key")) for name, other in others.items() for k in keys]
-    return reduce(DataFrame.unionByName, parts)
+    """(row_id, split, leaked_key) for each key whose value also stands in another split.
+
+    Each table is read once: its keys become rows (key, value), the other splits' are combined to the set of splits that have them, and the held-out rows meet those once.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("leaked_key"), F.col(k).cast("string").alias("value")) for k in keys))).alias("p")
+    known = [other.select(pairs).select("p.*", F.lit(name).alias("split")) for name, other in others.items()]
+    known = reduce(DataFrame.unionByName, known).where("value IS NOT NULL").groupBy("leaked_key", "value").agg(F.collect_set("split").alias("splits"))
+    mine = held.select(row_id, pairs).select(row_id, "p.*").where("value IS NOT NULL")
+    return mine.join(known, ["leaked_key", "value"]).select(row_id, F.explode("splits").alias("split"), "leaked_key")
 
 
 # payloads

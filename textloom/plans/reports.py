@@ -12,15 +12,15 @@ from textloom.plans.relational import SPLIT, split_documents
 def percentiles(df, group: str, value: str, shares: dict[str, float], longest: str):
     """Percentiles of each group with linear interpolation, and the greatest value; nulls don't count.
 
-    Values go to ranges of a sketch of each group's quantiles; only the counts of ranges, a bounded number for each group, tell which ranges hold
-    the wanted ranks, and only those ranges' rows are ranked.
+    Equal values are counted, never ranked one by one. Values go to ranges of a sketch of each group's quantiles; only the counts of ranges, a bounded number for each group, tell which ranges hold
+    the wanted ranks, and only those ranges' values are put in order.
     """
-    df = df.where(F.col(value).isNotNull()).select(group, value)
+    df = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
     cuts = df.groupBy(group).agg(F.percentile_approx(value, [k / 64 for k in range(1, 64)], 1000).alias("__cuts"))
     part = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     # a row for each group, so small that adaptive execution broadcasts it by its size
-    dealt = df.join(cuts, group).select(group, value, part.alias("__part"))
-    sizes = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"), F.max(value).alias("__max"))
+    dealt = df.join(cuts, group).select(group, value, "__c", part.alias("__part"))
+    sizes = dealt.groupBy(group, "__part").agg(F.sum("__c").alias("__n"), F.max(value).alias("__max"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(group)
     sizes = sizes.select(group, "__part", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"), F.sum("__n").over(whole).alias("__total"), F.max("__max").over(whole).alias("__longest"))
@@ -28,10 +28,14 @@ def percentiles(df, group: str, value: str, shares: dict[str, float], longest: s
     places = sizes.withColumn("__w", F.explode(wanted)).select("*", F.col("__w.name").alias("__name"), F.col("__w.at").alias("__at"))
     places = places.where((F.ceil("__at") >= F.col("__from")) & (F.floor("__at") < F.col("__from") + F.col("__n")))
     needed = places.select(group, "__part", "__from").distinct()
-    ranked = dealt.join(needed, [group, "__part"]).select(group, value, (F.row_number().over(Window.partitionBy(group, "__part").orderBy(value)) - 1 + F.col("__from")).alias("__rank"))
+    # a value has all ranks from the number of smaller ones on, up to its own count
+    up_to = F.sum("__c").over(Window.partitionBy(group, "__part").orderBy(value))
+    ranked = dealt.join(needed, [group, "__part"]).select(group, value, (up_to - F.col("__c") + F.col("__from")).alias("__first"), (up_to + F.col("__from")).alias("__stop"))
     ends = places.select(group, "__name", "__at", "__longest").distinct()
-    hit = ends.join(ranked, group).where((F.col("__rank") == F.floor("__at")) | (F.col("__rank") == F.ceil("__at")))
-    low, high = F.min(F.when(F.col("__rank") == F.floor("__at"), F.col(value))), F.max(F.when(F.col("__rank") == F.ceil("__at"), F.col(value)))
+    holds = lambda at: (F.col("__first") <= at) & (at < F.col("__stop"))
+    down, up = F.floor("__at"), F.ceil("__at")
+    hit = ends.join(ranked, group).where(holds(down) | holds(up))
+    low, high = F.min(F.when(holds(down), F.col(value))), F.max(F.when(holds(up), F.col(value)))
     each = hit.groupBy(group, "__name").agg((low + (high - low) * (F.first("__at") - F.floor(F.first("__at")))).alias("__v"), F.first("__longest").alias(longest))
     return each.groupBy(group).agg(*(F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(k) for k in shares), F.first(longest).alias(longest))
 

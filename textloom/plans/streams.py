@@ -9,6 +9,7 @@ from textloom.plans import ordered, relational  # noqa: F401 (their oracles)
 from textloom.plans.ordered import _tumbling
 from textloom.plans.registry import ORACLES, query
 from textloom.sources.shared import shared_path
+from textloom.operators import sketches as K
 from textloom.streaming import clocked as C
 from textloom.streaming.run import coalesced_previews, drained, in_parts, saved_revisions, stream_of
 from textloom.streaming.segments import block_stream, endpoint_stream, ingest_stream, overlap_stream, segment_stream
@@ -208,3 +209,19 @@ def stream_timeouts(spark, sf_dir):
     answers = orders.join(sent, "id").where("sent >= ts").groupBy("session", "id").agg(F.min("sent").alias("ts")).withColumn("answer", F.lit(True))
     rows = orders.withColumn("answer", F.lit(False)).unionByName(answers)
     return _clocked(rows, C.request_rule(60 * 24 * HOUR), ["answer", "id"], ["id", "answer"], "timeouts")
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES ('p05', 0.05), ('p50', 0.5), ('p95', 0.95)) v(name, share))
+SELECT event_type, name, count(*) AS n, true AS near FROM events, s WHERE value IS NOT NULL GROUP BY event_type, name""")
+def stream_quantiles(spark, sf_dir):
+    """Quantiles from sketches of each micro-batch, stored and merged: whether each one's rank among all values is as near as sketches promise."""
+    shares = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    ev = _user_events(spark, sf_dir)
+    rows = in_parts(ev.select("event_type", "value", "ts"), "ts", 4, "quantiles")
+    stored = drained(rows, "append", "quantiles", each=lambda batch: K.sketched(batch, ["event_type"], "value"), emits="event_type string, sketch binary")
+    found = K.quantiles(K.merged(stored, ["event_type"]), ["event_type"], shares)
+    asked = found.select("event_type", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(p).alias("share"), F.col(k).alias("at")) for k, p in shares.items()))).alias("a")).select("event_type", "n", "a.*")
+    # a quantile has all ranks between the values below it and those up to it
+    ranks = ev.join(asked, "event_type").where("value IS NOT NULL").groupBy("event_type", "name", "share", "n").agg(F.count_if(F.col("value") < F.col("at")).alias("below"), F.count_if(F.col("value") <= F.col("at")).alias("up_to"))
+    off = F.greatest(F.col("below") - F.col("share") * F.col("n"), F.col("share") * F.col("n") - F.col("up_to"), F.lit(0.0)) / F.col("n")
+    return ranks.select("event_type", "name", "n", (off <= K.RANK_ERROR).alias("near"))

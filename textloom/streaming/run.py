@@ -56,10 +56,10 @@ def in_parts(df: DataFrame, time: str, parts: int, name: str, tick: str | None =
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] | None = None, place: str | None = None, fingerprint: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] | None = None, place: str | None = None, fingerprint: str | None = None, settings: dict[str, str] | None = None, emits: str | None = None) -> DataFrame:
     """Everything that the query emits on the input there is, with the number of its micro-batch as ``batch``.
 
-    settings are the session's while the query starts. each is applied to every micro-batch. With a place of its own (a folder) the query's progress and results stay there: the next
+    settings are the session's while the query starts; emits is the schema of what each gives, if another than the query's. each is applied to every micro-batch. With a place of its own (a folder) the query's progress and results stay there: the next
     run goes on from them, and is refused where its settings' fingerprint is another.
     """
     spark = stream.sparkSession
@@ -73,8 +73,9 @@ def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame],
         # a micro-batch that is run again replaces what its first run wrote
         df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/b{batch}")
 
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0).cast("long")).write.mode("ignore").parquet(f"{out}/none")
+    own = stream.schema if emits is None else T._parse_datatype_string(emits)
+    schema = T.StructType([*own.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], own).withColumn("batch", F.lit(0).cast("long")).write.mode("ignore").parquet(f"{out}/none")
     with session_settings(spark, settings or {}):
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
