@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import decontaminate, exact_dedup, graph, language, licenses, packing, quality, simhash, substring_dedup, toxicity, warc
+from textloom.llm import common, decontaminate, exact_dedup, graph, language, licenses, packing, quality, simhash, substring_dedup, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, score string, sequence_id string, kept string, rank string, p string, words string, digest string, fp string, row string, doc string, family string, payload string, n string"
 LONG = "word and more " * 30_000
@@ -144,3 +144,19 @@ def test_components(spark):
     got = {r.v: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 200 for i in range(200, 230)}, 5: 3, 3: 3, 8: 8, 9: 8}
     assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_wrapped_lines_of_one_letter_and_rows_out_of_a_shuffle(spark):
+    """Lines join around a line of one letter; rows that a shuffle deals out anew have the same numbers both times they are read."""
+    text = "Licensed under\na\nvariant of the MIT license.\nNext"
+    df = spark.createDataFrame([(1, 5, text)], "row_id long, doc_id long, text string")
+    assert [r.words for r in licenses.paragraphs(df).orderBy("paragraph").collect()] == [["licensed", "under", "a", "variant", "of", "the", "mit", "license"], ["next"]]
+    rows = [(k, "Released under the MIT License." if k % 7 == 0 else f"Nothing here {k}.") for k in range(200)]
+    shuffled = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted((r.doc_id, r.family) for r in licenses.scan(shuffled).collect()) == [(k, "mit") for k in range(0, 200, 7)]
+
+
+def test_scans_are_told_from_other_plans(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert common.is_scan(df) and common.is_scan(df.where("id > 1").select("id")) and not common.is_scan(df.repartition(2)) and not common.is_scan(df.join(df.limit(1), "id"))

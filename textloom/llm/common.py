@@ -57,6 +57,18 @@ def drop_saved(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is files' rows, projected and filtered at most, so that every reading gives them in the same tasks and order."""
+    plans = [df._jdf.queryExecution().analyzed()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") and not plan.nodeName().startswith("Relation"):
+            return False
+        children = plan.children()
+        plans += [children.apply(k) for k in range(children.size())]
+    return True
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let the session send BATCH_ROWS rows at a time to Python, unless it says otherwise: texts of thousands of rows would be held twice beside the heap."""
     if spark.conf.get(_BATCH_KEY) == "10000":  # Spark's own default

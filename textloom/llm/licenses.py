@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import saved, table
+from textloom.llm.common import is_scan, saved, table
 
 #: Names of licences, and sentences of their usual notices.
 NAMES = {
@@ -223,7 +223,10 @@ def _templates_sql() -> str:
 
 def paragraphs(rows: DataFrame) -> DataFrame:
     """row_id, doc_id, paragraph (number from 0), words of every paragraph of rows (row_id, doc_id, text)."""
-    lines = F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), WRAPPED, "$1 $2"), "\n")
+    joined = F.coalesce(F.col("text"), F.lit(""))
+    for _ in range(2):  # a line of one letter ends a match and begins the next
+        joined = F.regexp_replace(joined, WRAPPED, "$1 $2")
+    lines = F.split(joined, "\n")
     rows = rows.select("row_id", "doc_id", F.posexplode(lines).alias("paragraph", "line"))
     return rows.select("row_id", "doc_id", "paragraph", F.array_remove(F.split(F.lower("line"), "[^\\p{L}\\p{N}]+"), "").alias("words"))
 
@@ -248,6 +251,8 @@ def scan(docs: DataFrame, least_probability: float = LEAST_PROBABILITY, least_ov
     weights = spark.sql(_weights_sql())
     keys = ["row_id", "doc_id", "paragraph"]
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    # rows are read twice, and have to have the same numbers again
+    rows = rows if is_scan(docs) else saved(rows, "license-rows")
     known = _gram_rows(paragraphs(rows), keys).join(F.broadcast(weights), "gram")
     sums = known.groupBy(*keys).agg(*((F.sum(f"w_{c}") + o).alias(f"m_{c}") for c, o in zip(CLASSES, offsets, strict=True)))
     rest = F.greatest(*(F.col(f"m_{f}") for f in FAMILIES))
@@ -285,7 +290,7 @@ def oracle_sql() -> str:
     total = " + ".join(f"exp(m_{c} / {t} - top / {t})" for c in CLASSES)
     return rf"""
 WITH weights AS ({_weights_sql()}), notices AS ({_templates_sql()}),
-lines AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(regexp_replace(coalesce(text, ''), '([^.!?:;\n])\n(\p{{Ll}})', '\1 \2', 'g'), chr(10)) AS ls FROM documents),
+lines AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?:;\n])\n(\p{{Ll}})', '\1 \2', 'g'), '([^.!?:;\n])\n(\p{{Ll}})', '\1 \2', 'g'), chr(10)) AS ls FROM documents),
 parts AS (SELECT row_id, doc_id, p AS paragraph, list_filter(regexp_split_to_array(lower(ls[p + 1]), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM lines, unnest(range(0, len(ls))) AS u(p)),
 grams AS (
   SELECT row_id, doc_id, paragraph, concat_ws(' ', w[k + 1], w[k + 2]) AS gram FROM parts, unnest(range(0, len(w) - 1)) AS u(k)
