@@ -106,3 +106,8 @@ def html_safe_json(c: Column) -> Column:
 def even_bounds(n: Column, parts: int) -> Column:
     """The parts + 1 bounds that divide n things evenly: i * n div parts."""
     return F.transform(F.sequence(F.lit(0), F.lit(parts)), lambda i: F.floor(i.cast("long") * n / parts).cast("long"))
+
+
+def stamp(at: Column) -> Column:
+    """A time as text, to the millisecond in UTC, whose order as text is that of time; the session's zone has to be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

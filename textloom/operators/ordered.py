@@ -154,7 +154,8 @@ def repeated_grams(tokens: DataFrame, key: str, copies: int = 10, most_words: in
 
     tokens has key and words (an array). For each size, a sequence that stands k times in a
     row matches itself ``size`` words further on over (k - 1) * size places, so runs of such
-    matches (gaps and islands) give all repeats without listing sequences. Words are compared by 64-bit hashes. Of equal lengths the
+    matches (gaps and islands) give all repeats without listing sequences. Words are compared by 64-bit hashes, those of the run that is told by themselves
+    (an error, should a hash ever stand for two words). Of equal lengths the
     smaller size, then the earlier offset (the start modulo the size), then the earlier start wins.
     """
     codes = F.transform("words", lambda w: F.xxhash64(w))
@@ -164,8 +165,11 @@ def repeated_grams(tokens: DataFrame, key: str, copies: int = 10, most_words: in
     starts = full.select(key, "size", "copies", F.explode(F.sequence(F.col("first"), F.col("first") + F.least("rest", F.col("size") - 1))).alias("start"))
     best = F.min(F.struct((-F.col("copies") * F.col("size")).alias("less"), "size", (F.col("start") % F.col("size")).alias("offset"), "start", "copies"))
     found = starts.groupBy(key).agg(best.alias("b"))
+    places = F.sequence(F.lit(0), F.col("b.copies").cast("int") * F.col("b.size") - 1)
+    same = F.forall(places, lambda i: F.get("words", F.col("b.start") + i) == F.get("words", F.col("b.start") + i % F.col("b.size")))
+    ngram = F.when(same, F.slice("words", F.col("b.start") + 1, F.col("b.size"))).otherwise(F.raise_error(F.lit("two words have one hash")))
     return found.join(tokens, key).select(
-        key, F.slice("words", F.col("b.start") + 1, F.col("b.size")).alias("ngram"), F.col("b.copies").cast("long").alias("copies"), F.col("b.size").cast("int").alias("ngram_words"),
+        key, ngram.alias("ngram"), F.col("b.copies").cast("long").alias("copies"), F.col("b.size").cast("int").alias("ngram_words"),
         F.col("b.start").cast("int").alias("start_word"), (-F.col("b.less")).cast("long").alias("repeated_words"),
     )
 

@@ -179,6 +179,34 @@ def leaks(held: DataFrame, others: dict[str, DataFrame], keys: list[str], row_id
     return mine.join(known, ["leaked_key", "value"]).select(row_id, F.explode("splits").alias("split"), "leaked_key")
 
 
+def quoted(examples: DataFrame, recordings: DataFrame, parts: DataFrame) -> DataFrame:
+    """examples (recording_id, start, original, other) with outcome: whether recordings (recording_id, text) still have the original and the recording's
+    part that begins at start (parts: recording_id, start, text) the other quote; of parts that begin together the first by text counts.
+
+    no_recording, no_part, stale_original and stale_other say what is wrong, in that order; otherwise quoted. Null quotes are in nothing.
+    """
+    whole = recordings.select("recording_id", F.col("text").alias("__text"), F.lit(True).alias("__known"))
+    first = parts.groupBy("recording_id", "start").agg(F.min("text").alias("__part"), F.lit(True).alias("__there"))
+    has = lambda text, quote: F.coalesce(F.contains(text, quote), F.lit(False))
+    outcome = (
+        F.when(F.col("__known").isNull(), "no_recording").when(F.col("__there").isNull(), "no_part")
+        .when(~has(F.col("__text"), F.col("original")), "stale_original").when(~has(F.col("__part"), F.col("other")), "stale_other").otherwise("quoted")
+    )
+    return examples.join(whole, "recording_id", "left").join(first, ["recording_id", "start"], "left").withColumn("outcome", outcome).select(*examples.columns, "outcome")
+
+
+def mismatched_inputs(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and differs: rows of two runs over the same inputs that only one run has ("missing"), or whose columns aren't equal, null-safely."""
+    both = left.select(key, F.struct(*columns).alias("__l")).join(right.select(key, F.struct(*columns).alias("__r")), key, "full_outer")
+    differs = F.when(F.col("__l").isNull() | F.col("__r").isNull(), F.array(F.lit("missing"))).otherwise(issue_codes([(c, ~F.col(f"__l.{c}").eqNullSafe(F.col(f"__r.{c}"))) for c in columns]))
+    return both.select(key, differs.alias("differs")).where(F.size("differs") > 0)
+
+
+def decode_issues(tokens: Column, budget: int, repeated: Column) -> Column:
+    """Codes of a decoded text: as many tokens as it might have, a sequence repeated over and over."""
+    return issue_codes([("generation_token_limit", tokens >= budget), ("consecutive_repetition", F.coalesce(repeated, F.lit(False)))])
+
+
 # payloads
 
 

@@ -60,9 +60,11 @@ def cross_split_lectures(spark, sf_dir):
     return I.crossing_groups(d, "lecture", "split")
 
 
-@query(_D + """SELECT source, CAST(count(DISTINCT split) AS BIGINT) AS n_groups, min(split) AS first_group, max(split) AS last_group FROM d GROUP BY source HAVING count(DISTINCT split) > 1""")
+@query(_D + """, g AS (SELECT split, regexp_extract(text, '^[^ \n]+') AS opening FROM d)
+SELECT opening, CAST(count(DISTINCT split) AS BIGINT) AS n_groups, min(split) AS first_group, max(split) AS last_group FROM g GROUP BY opening HAVING count(DISTINCT split) > 1""")
 def cross_split_groups(spark, sf_dir):
-    return I.crossing_groups(split_documents(spark, sf_dir), "source", "split")
+    """Documents that begin with the same word, where they stand in more than one split."""
+    return I.crossing_groups(split_documents(spark, sf_dir).withColumn("opening", F.regexp_extract("text", "^[^ \\n]+", 0)), "opening", "split")
 
 
 @query("SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")

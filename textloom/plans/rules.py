@@ -129,13 +129,33 @@ def closed_columns(spark, sf_dir):
     return table(spark, sf_dir, "events").where("props IS NOT NULL").select("event_id", U.extra_columns(payload, ["clip", "status"]).alias("extra"))
 
 
-@query("""SELECT o_orderkey, c_name, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(o_orderpriority, left(o_orderpriority, 2)) AND contains(c_name, 'Customer') AND contains(n_name, '_1')""")
+@query("""WITH r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS whole FROM conversations WHERE conv_id % 9 <> 4 GROUP BY conv_id),
+e AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN turn * 30.0 + 15 ELSE turn * 30.0 END AS start, CASE WHEN conv_id % 5 = 2 THEN reverse(left(text, 25)) ELSE left(text, 25) END AS original,
+CASE WHEN turn % 3 = 2 THEN 'x' || right(text, 20) ELSE right(text, 20) END AS other FROM conversations)
+SELECT e.conv_id AS recording_id, e.turn, CASE WHEN r.conv_id IS NULL THEN 'no_recording' WHEN p.conv_id IS NULL THEN 'no_part' WHEN NOT contains(whole, original) THEN 'stale_original' WHEN NOT contains(p.text, other) THEN 'stale_other' ELSE 'quoted' END AS outcome
+FROM e LEFT JOIN r ON r.conv_id = e.conv_id LEFT JOIN conversations p ON p.conv_id = e.conv_id AND p.turn * 30.0 = e.start""")
 def quoted_examples(spark, sf_dir):
-    """Examples looked up in their recording and its part, where both still quote them."""
-    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    stale = F.contains("o_orderpriority", F.left("o_orderpriority", F.lit(2))) & F.contains("c_name", F.lit("Customer")) & F.contains("n_name", F.lit("_1"))
-    return j.where(stale).select("o_orderkey", "c_name", "o_orderpriority")
+    """Examples looked up in their recording by its id, and in its part by the part's start: whether both still quote them."""
+    t = table(spark, sf_dir, "conversations").withColumn("recording_id", F.col("conv_id"))
+    parts = t.select("recording_id", (F.col("turn") * 30.0).alias("start"), "text")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    recordings = t.where("conv_id % 9 <> 4").groupBy("recording_id").agg(whole.alias("text"))
+    opening, ending = F.left("text", F.lit(25)), F.right("text", F.lit(20))
+    examples = t.select(
+        "recording_id", "turn", F.when(F.col("turn") % 4 == 3, F.col("turn") * 30.0 + 15).otherwise(F.col("turn") * 30.0).alias("start"),
+        F.when(F.col("conv_id") % 5 == 2, F.reverse(opening)).otherwise(opening).alias("original"), F.when(F.col("turn") % 3 == 2, F.concat(F.lit("x"), ending)).otherwise(ending).alias("other"),
+    )
+    return U.quoted(examples, recordings, parts).select("recording_id", "turn", "outcome")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, min(l_shipdate)::DATE AS day, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), o AS (SELECT l_orderkey AS k, min(l_shipdate)::DATE AS day, count(*) AS n FROM lineitem WHERE l_quantity > 5 GROUP BY 1)
+SELECT k, CASE WHEN l.n IS NULL OR o.n IS NULL THEN ['missing'] ELSE list_filter([CASE WHEN l.day IS DISTINCT FROM o.day THEN 'day' END, CASE WHEN l.n <> o.n THEN 'n' END], lambda x: x IS NOT NULL) END AS differs
+FROM l FULL JOIN o USING (k) WHERE l.n IS NULL OR o.n IS NULL OR l.day IS DISTINCT FROM o.day OR l.n <> o.n""")
+def run_inputs(spark, sf_dir):
+    """Two runs' inputs for each order, chosen by two rules: where they aren't the same."""
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey"))
+    one = lambda rule: li.where(rule).groupBy("k").agg(F.min("l_shipdate").cast("date").alias("day"), F.count(F.lit(1)).alias("n"))
+    return U.mismatched_inputs(one("l_linenumber <= 4"), one("l_quantity > 5"), "k", ["day", "n"])
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 10 <> 0")

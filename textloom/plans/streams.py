@@ -12,6 +12,7 @@ from textloom.sources.shared import shared_path
 from textloom.operators import sketches as K
 from textloom.streaming import clocked as C
 from textloom.streaming.run import coalesced_previews, drained, in_parts, saved_revisions, stream_of
+from textloom.streaming.table_functions import register_all
 from textloom.streaming.segments import block_stream, endpoint_stream, ingest_stream, overlap_stream, segment_stream
 
 
@@ -26,28 +27,36 @@ def stream_upsert(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
-    return drained(stream_of(spark, sf_dir, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "append", "dedupe").drop("batch")
+    ev = in_parts(_user_events(spark, sf_dir), "ts", 3, "dedupe-events").withColumnRenamed("session", "user_id")
+    return drained(ev.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "append", "dedupe").drop("batch")
 
 
 @query(_tumbling(86400))
 def stream_windows(spark, sf_dir):
     """Event-time windows with a watermark, in update mode: the last update of each window."""
-    ev = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "60 days")
+    ev = in_parts(_user_events(spark, sf_dir), "ts", 3, "window-events").withWatermark("ts", "60 days")
     w = ev.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
     s = w.select(F.unix_seconds("window.start").alias("window_start"), "event_type", "events", "total")
     last = F.max_by(F.struct("events", "total"), "batch")
     return drained(s, "update", "windows").groupBy("window_start", "event_type").agg(last.alias("l")).select("window_start", "event_type", "l.events", F.round("l.total", 6).alias("total"))
 
 
+def _turns(spark, sf_dir, name):
+    """Conversations as a stream of several micro-batches, the earlier turns first."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return in_parts(t.withColumn("ts", F.timestamp_seconds("turn")), "ts", 3, name)
+
+
 @query("""WITH k AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 5 <> 3), c AS (SELECT k.conv_id, turn, copy FROM k, unnest([0, 1]) AS u(copy) WHERE copy = 0 OR turn % 4 = 1),
-r AS (SELECT *, (SELECT count(*) FROM k o WHERE o.conv_id = c.conv_id AND o.turn < c.turn) = turn AS reached FROM c)
-SELECT conv_id AS session, turn * 2 + copy AS arrival, turn AS sequence, CASE WHEN NOT reached THEN 'refused' WHEN copy = 1 THEN 'replayed' ELSE 'accepted' END AS outcome FROM r""")
+r AS (SELECT *, (SELECT count(*) FROM k o WHERE o.conv_id = c.conv_id AND o.turn < c.turn) = turn AS reached, (conv_id * 7 + turn) % 13 = 4 AS fails,
+coalesce((SELECT min(o.turn) FROM k o WHERE o.conv_id = c.conv_id AND ((o.conv_id * 7 + o.turn) % 13 = 4 OR o.turn = 5)), 99) AS stop FROM c)
+SELECT conv_id AS session, turn * 2 + copy AS arrival, turn AS sequence, CASE WHEN NOT reached OR turn > stop OR (fails AND copy = 1) THEN 'refused' WHEN fails THEN 'failed' WHEN copy = 1 THEN 'replayed' ELSE 'accepted' END AS outcome FROM r""")
 def stream_ingest(spark, sf_dir):
-    """Turns as packets, with some lost and some sent twice."""
-    t = stream_of(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 3")
+    """Turns as packets, with some lost, some sent twice, some that fail; the sixth ends a session."""
+    t = _turns(spark, sf_dir, "ingest-turns").where("(conv_id + turn) % 5 <> 3")
     copies = F.when(F.col("turn") % 4 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     t = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("sequence"), F.explode(copies).alias("copy"))
-    packets = t.select("session", (F.col("sequence") * 2 + F.col("copy")).alias("arrival"), "sequence", F.lit(False).alias("final"), F.lit(False).alias("fails"))
+    packets = t.select("session", (F.col("sequence") * 2 + F.col("copy")).alias("arrival"), "sequence", (F.col("sequence") == 5).alias("final"), ((F.col("session") * 7 + F.col("sequence")) % 13 == 4).alias("fails"))
     return drained(ingest_stream(packets), "append", "ingest").drop("batch")
 
 
@@ -71,7 +80,7 @@ SELECT conv_id AS session, CAST(number AS BIGINT) AS number, round(tt, 6) AS "st
 def _last_turn(spark, sf_dir):
     """The turns of a stream, with the number of their conversation's last (a batch lookup)."""
     last = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.max("turn").alias("last"))
-    return stream_of(spark, sf_dir, "conversations").join(last, "conv_id")
+    return _turns(spark, sf_dir, "last-turns").join(last, "conv_id")
 
 
 @query(_PACKETS)
@@ -96,7 +105,7 @@ def stream_segments(spark, sf_dir):
 @query(ORACLES["greedy_blocks"].replace("SELECT conv_id, turn, CAST(block AS INT) AS block FROM f", "SELECT conv_id AS session, CAST(turn AS BIGINT) AS place, CAST(block AS INT) AS block FROM f"))
 def stream_blocks(spark, sf_dir):
     """The greedy blocks of turns, as a stream."""
-    t = stream_of(spark, sf_dir, "conversations")
+    t = _turns(spark, sf_dir, "block-turns")
     items = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("place"), F.lit(0.0).alias("seconds"), F.length("text").alias("size"))
     return drained(block_stream(items, most=1500), "append", "blocks").drop("batch")
 
@@ -225,3 +234,11 @@ def stream_quantiles(spark, sf_dir):
     ranks = ev.join(asked, "event_type").where("value IS NOT NULL").groupBy("event_type", "name", "share", "n").agg(F.count_if(F.col("value") < F.col("at")).alias("below"), F.count_if(F.col("value") <= F.col("at")).alias("up_to"))
     off = F.greatest(F.col("below") - F.col("share") * F.col("n"), F.col("share") * F.col("n") - F.col("up_to"), F.lit(0.0)) / F.col("n")
     return ranks.select("event_type", "name", "n", (off <= K.RANK_ERROR).alias("near"))
+
+
+@query(ORACLES["stream_sessions_end"])
+def sessions_by_sql(spark, sf_dir):
+    """The same sessions by a table function of SQL."""
+    register_all(spark)
+    _user_events(spark, sf_dir).select("session", F.unix_micros("ts").alias("at"), "event_id", (F.col("event_type") == "purchase").alias("final")).createOrReplaceTempView("session_rows")
+    return spark.sql(f"SELECT * FROM sessions_ended(rows => TABLE(session_rows) PARTITION BY session ORDER BY (at, event_id), session => 'session', gap => {6 * HOUR})")

@@ -9,7 +9,8 @@ from textloom.functions import text as X
 from textloom.functions.unicode import composed, folded
 from textloom.operators import align as A
 from textloom.operators import ordered as O  # noqa: E741
-from textloom.plans.registry import query, table
+from textloom.operators import rules as U
+from textloom.plans.registry import ORACLES, query, table
 
 SPLIT = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
 NORM = r"regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')"
@@ -134,6 +135,16 @@ def repeated_ngrams(spark, sf_dir):
     return O.repeated_grams(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", copies=3)
 
 
+@query(r"""SELECT d.doc_id, list_filter([CASE WHEN len(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')) >= 400 THEN 'generation_token_limit' END, CASE WHEN n.doc_id IS NOT NULL THEN 'consecutive_repetition' END], lambda x: x IS NOT NULL) AS issues
+FROM documents d LEFT JOIN (""" + ORACLES["repeated_ngrams"] + ") n ON d.doc_id = n.doc_id")
+def decode_issues(spark, sf_dir):
+    """Documents as decoded texts of at most 400 words: those that may have been cut, and those that repeat themselves."""
+    words = F.regexp_extract_all(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    repeated = O.repeated_grams(rows, "doc_id", copies=3).select("doc_id", F.lit(True).alias("repeated"))
+    return rows.join(repeated, "doc_id", "left").select("doc_id", U.decode_issues(F.size("words"), 400, F.col("repeated")).alias("issues"))
+
+
 @query("""SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || ', ' || p_type || ',,' || p_brand, '[,\n]'), lambda x: trim(x)), lambda x: x <> '')[1:50] AS terms FROM part""")
 def glossary_split(spark, sf_dir):
     line = F.concat("p_name", F.lit(", "), "p_type", F.lit(",,"), "p_brand")
@@ -155,3 +166,11 @@ def html_safe_payload(spark, sf_dir):
 @query("""SELECT doc_id, string_split(text, 'the') AS parts FROM documents""")
 def highlight_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.highlight("text", "the").alias("parts"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp FROM events)
+SELECT event_id, stamp, row_number() OVER (PARTITION BY user_id ORDER BY stamp DESC, event_id) AS place FROM s""")
+def stamped_events(spark, sf_dir):
+    """Events with their time as text, and their place among their user's, the newest first, by that text."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", X.stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+    return rows.select("event_id", "stamp", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("stamp"), "event_id")).cast("long").alias("place"))
