@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources import snapshots
 from textloom.sources.shared import shared_path
 from textloom.sources.versions import put_file
 
@@ -99,8 +100,8 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sha256) of the files of a folder."""
-    return spark.read.format("binaryFile").load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of the files of a folder: the hash of a file's length and its ranges' hashes (``snapshots``)."""
+    return snapshots.snapshot(spark, folder).where("kind = 'file'").select("path", F.col("hash").alias("sha256"))
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
