@@ -117,3 +117,21 @@ def test_sessions_at_hand(spark):
     got = sorted(tuple(r) for r in C.clocked_rows(df, rule, "session", "ts", ["k"], ["k", "final"]).collect())
     assert got == [(1, at, at, 2, "final"), (2, at, at + 7, 1, "silence")]
     assert C.clocked_rows(df.where(F.lit(False)), rule, "session", "ts", ["k"], ["k", "final"]).count() == 0
+
+
+def test_packets_of_any_pieces():
+    from textloom.streaming import segments
+
+    rng = random.Random(5)
+    piece = namedtuple("piece", ["samples", "final"])
+    for _ in range(200):
+        samples = [float(k) for k in range(rng.randrange(0, 60))]
+        pieces, at = [], 0
+        while at < len(samples):
+            n = rng.randrange(0, 25)
+            pieces.append(piece(samples[at : at + n], False))
+            at += n
+        pieces = [*pieces, piece([], True)] if rng.random() < 0.5 or not pieces else [*pieces[:-1], pieces[-1]._replace(final=True)]
+        _, out = segments.stepped(segments.packet_step(16), segments.Packets(), pieces)
+        want = [samples[k : k + 16] for k in range(0, len(samples), 16)] or [[]]
+        assert out == [(k, w, k == len(want) - 1) for k, w in enumerate(want)]

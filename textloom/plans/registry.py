@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from textloom.plans import ordered, relational, reports, rules, streams, text, transcripts  # noqa: E402, F401
+from textloom.plans import ordered, relational, reports, rules, stores, streams, text, transcripts  # noqa: E402, F401

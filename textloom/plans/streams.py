@@ -13,7 +13,7 @@ from textloom.operators import sketches as K
 from textloom.streaming import clocked as C
 from textloom.streaming.run import coalesced_previews, drained, in_parts, saved_revisions, stream_of
 from textloom.streaming.table_functions import register_all
-from textloom.streaming.segments import block_stream, endpoint_stream, ingest_stream, overlap_stream, segment_stream
+from textloom.streaming.segments import block_stream, endpoint_stream, ingest_stream, overlap_stream, packet_stream, segment_stream
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
@@ -242,3 +242,14 @@ def sessions_by_sql(spark, sf_dir):
     register_all(spark)
     _user_events(spark, sf_dir).select("session", F.unix_micros("ts").alias("at"), "event_id", (F.col("event_type") == "purchase").alias("final")).createOrReplaceTempView("session_rows")
     return spark.sql(f"SELECT * FROM sessions_ended(rows => TABLE(session_rows) PARTITION BY session ORDER BY (at, event_id), session => 'session', gap => {6 * HOUR})")
+
+
+@query(ORACLES["sample_packets"].replace("SELECT vec_id, CAST(i // 16 AS BIGINT) AS packet", "SELECT vec_id AS session, CAST(i // 16 AS BIGINT) AS number").replace("CAST(count(*) AS BIGINT) AS samples", "CAST(count(*) AS BIGINT) AS samples, round(sum(embedding[i + 1]::DOUBLE), 6) + 0.0 AS total"))
+def stream_packets(spark, sf_dir):
+    """Vectors that arrive in pieces of 10 samples, the pieces of one place in a micro-batch: packets of 16, carried from piece to piece."""
+    starts = F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(10))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("session"), F.size("embedding").alias("n"), "embedding", F.posexplode(starts).alias("place", "s"))
+    pieces = rows.select("session", "place", F.transform(F.slice("embedding", F.col("s") + 1, F.lit(10)), lambda x: x.cast("double")).alias("samples"), (F.col("s") + 10 >= F.col("n")).alias("final"), F.timestamp_seconds("place").alias("ts"))
+    out = drained(packet_stream(in_parts(pieces, "ts", 3, "pieces"), 16), "append", "packets")
+    total = F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6) + 0.0
+    return out.select("session", "number", F.size("samples").cast("long").alias("samples"), total.alias("total"), "final")

@@ -28,7 +28,7 @@ def stepped(step: Callable, state: NamedTuple, rows: Iterable) -> tuple[NamedTup
 
 
 def stateful(df: DataFrame, step: Callable, start: NamedTuple, order: str, emits: str, state_schema: str, session: str = "session") -> DataFrame:
-    """step over each session of a streaming DataFrame, in the order of a column within a micro-batch; sessions have no expiry."""
+    """step over each session of a streaming DataFrame, in the order of a column within a micro-batch; rows that come in a later one are taken as they come, and sessions have no expiry (``clocked`` has both)."""
     kind = dict(df.dtypes)[session]
     names = [c.split()[0] for c in emits.split(", ")]
 
@@ -222,6 +222,36 @@ def block_stream(items: DataFrame, **limits) -> DataFrame:
     return stateful(items, block_step(**limits), Block(), "place", "place long, block int", "number int, used long, since double")
 
 
+# packets of samples
+
+
+class Packets(NamedTuple):
+    number: int = 0
+    held: list[float] = []
+
+
+def packet_step(size: int) -> Callable:
+    """A step over pieces (samples, final) of any length: number, samples and final of each packet of so many samples; the last one may be short, and is there even if empty where nothing else is."""
+
+    def step(s: Packets, piece) -> tuple[Packets, list[tuple]]:
+        held = [*s.held, *(float(x) for x in piece.samples)]
+        # the last packet is known for the last one only when the session ends
+        full = (len(held) - 1) // size if not piece.final else max(0, -(-len(held) // size) - 1)
+        full = max(0, full)
+        out = [(s.number + k, held[k * size : (k + 1) * size], False) for k in range(full)]
+        rest = held[full * size :]
+        if piece.final:
+            return Packets(s.number + full + 1), [*out, (s.number + full, rest, True)]
+        return Packets(s.number + full, rest), out
+
+    return step
+
+
+def packet_stream(pieces: DataFrame, size: int) -> DataFrame:
+    """Packets of a streaming DataFrame of pieces (session, place, samples, final)."""
+    return stateful(pieces, packet_step(size), Packets(), "place", "number long, samples array<double>, final boolean", "number long, held array<double>")
+
+
 # texts without their overlaps
 
 
