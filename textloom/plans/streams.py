@@ -162,9 +162,11 @@ def stream_correlation(spark, sf_dir):
 HOUR = 3_600_000_000
 
 
-def _clocked(rows, rule, order, columns, name):
+def _clocked(spark, rows, rule, order, columns, name):
     found = C.clocked(in_parts(rows, "ts", 3, name, tick="400 days"), rule, "session", "ts", order, columns)
-    return drained(found, "append", name, settings=C.STATE_STORE).drop("batch")
+    # a state's partitions are for good, and each costs a store and a worker in every micro-batch: as many as the input has, or a few
+    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, rows.rdd.getNumPartitions()))
+    return drained(found, "append", name, settings=C.STATE_STORE | {"spark.sql.shuffle.partitions": str(wanted)}).drop("batch")
 
 
 def _user_events(spark, sf_dir):
@@ -178,7 +180,7 @@ SELECT user_id AS session, min(t) AS "start", CASE WHEN bool_or(final) THEN max(
 def stream_sessions_end(spark, sf_dir):
     """Sessions of users that a purchase ends, or the clock after six hours of silence."""
     rows = _user_events(spark, sf_dir).withColumn("final", F.col("event_type") == "purchase")
-    return _clocked(rows, C.silence_rule(6 * HOUR), ["event_id"], ["event_id", "final"], "sessions-end")
+    return _clocked(spark, rows, C.silence_rule(6 * HOUR), ["event_id"], ["event_id", "final"], "sessions-end")
 
 
 def _chain(need: str, most: int, span: int) -> str:
@@ -197,7 +199,7 @@ SELECT user_id AS session, begun AS "start", coalesce(until, begun + {24 * HOUR}
 def stream_blocks_close(spark, sf_dir):
     """Events of a user in blocks that close a day after their first one, by the clock, or when the next one doesn't fit."""
     rows = _user_events(spark, sf_dir).withColumn("size", F.floor("value").cast("long"))
-    return _clocked(rows, C.block_rule(24 * HOUR, 300), ["event_id"], ["event_id", "size"], "blocks-close")
+    return _clocked(spark, rows, C.block_rule(24 * HOUR, 300), ["event_id"], ["event_id", "size"], "blocks-close")
 
 
 @query(_chain("CAST(0 AS BIGINT)", 1, 2 * HOUR) + f"""
@@ -205,7 +207,7 @@ SELECT user_id AS session, begun + {2 * HOUR} AS saved_at, items AS changes, las
 def stream_autosaves(spark, sf_dir):
     """Events as changes of a user's record: saves are due two hours after the first change that isn't saved."""
     rows = _user_events(spark, sf_dir).withColumn("version", F.col("event_id"))
-    return _clocked(rows, C.autosave_rule(2 * HOUR), ["event_id"], ["event_id", "version"], "autosaves")
+    return _clocked(spark, rows, C.autosave_rule(2 * HOUR), ["event_id"], ["event_id", "version"], "autosaves")
 
 
 @query("""WITH r AS (SELECT o_custkey AS session, o_orderkey AS request, epoch_us(o_orderdate::TIMESTAMP) AS asked, (SELECT epoch_us(min(l_shipdate)::TIMESTAMP) FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate >= o_orderdate) AS sent FROM orders)
@@ -217,7 +219,7 @@ def stream_timeouts(spark, sf_dir):
     sent = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("sent"))
     answers = orders.join(sent, "id").where("sent >= ts").groupBy("session", "id").agg(F.min("sent").alias("ts")).withColumn("answer", F.lit(True))
     rows = orders.withColumn("answer", F.lit(False)).unionByName(answers)
-    return _clocked(rows, C.request_rule(60 * 24 * HOUR), ["answer", "id"], ["id", "answer"], "timeouts")
+    return _clocked(spark, rows, C.request_rule(60 * 24 * HOUR), ["answer", "id"], ["id", "answer"], "timeouts")
 
 
 @query("""WITH s AS (SELECT * FROM (VALUES ('p05', 0.05), ('p50', 0.5), ('p95', 0.95)) v(name, share))
