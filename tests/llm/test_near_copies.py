@@ -1,6 +1,8 @@
 """Near copies against the Jaccard similarity of all pairs."""
 
+import glob
 import random
+import time
 
 import numpy as np
 import pytest
@@ -128,3 +130,38 @@ def test_contracted_links_join_the_same(spark, kind):
     assert got.count() < 0.8 * len(set(links)) and not got.where("a = b").count()
     assert {tuple(r) for r in graph.components(got).collect()} == {tuple(r) for r in graph.components(df).collect()}
     assert near_copies.contracted(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("radius", "leaf", "blocks"), [(2, simhash.LEAF_ROWS, None), (2, 3, 1), (2, 2, 21), (3, 4, 7), (0, 2, 2)])
+def test_groups_link_as_all_pairs_do(spark, radius, leaf, blocks):
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(radius + 2))) for f in fps for _ in range(4)]
+    rows = sorted({(s, f, rng.getrandbits(3)) for s in (0, 1) for f in fps})
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    prints = spark.createDataFrame([(s, signed(f), c, v) for v, (s, f, c) in enumerate(rows)], "space int, fp long, check long, v long")
+    near = [(i, j) for j, (s, f, c) in enumerate(rows) for i, (t, g, d) in enumerate(rows[:j]) if s == t and (f ^ g).bit_count() <= radius and (c ^ d).bit_count() <= 1]
+    want = {tuple(r) for r in graph.components(spark.createDataFrame(near or [(0, 0)], "a long, b long")).collect()}
+    got = simhash.grouped_links(prints, radius, 1, leaf, blocks)
+    assert {tuple(r) for r in graph.components(got).collect()} == want
+
+
+def test_prints_go_to_as_many_shards_whatever_their_number(spark):
+    """Before, a print visited 21 shards of four blocks on the average and 73 of eight, which large inputs need."""
+    few = np.random.default_rng(1).integers(0, 1 << 63, 2000, dtype=np.uint64)
+    sizes = [simhash.group_blocks(few, n, 2) for n in (100, 10**6, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[-1] > 4
+    prints = spark.createDataFrame([(0, int(f), 0, k) for k, f in enumerate(few.tolist())], "space int, fp long, check long, v long")
+    assert {simhash._in_groups(prints, 5, b, 2).count() for b in sizes} == {3 * len(few)}
+
+
+def test_saved_rows_leave_no_shuffle_files(spark):
+    place = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in place for p in glob.glob(f"{d}/*/shuffle_*")}
+    before = files()
+    got = near_copies.saved(spark.range(50_000).groupBy((F.col("id") % 9000).alias("k")).count(), "test-cleanup")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert got.count() == 9000 and not left

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import drop_saved, saved, small_batches, text_blocks
 from textloom.llm.docstats import word_table
 from textloom.llm.graph import components
-from textloom.llm.simhash import majority, shingle_hashes, vantage_links
+from textloom.llm.simhash import grouped_links, majority, shingle_hashes
 
 WORDS = 5
 #: The least similarity, as a fraction: compared in whole numbers.
@@ -223,7 +223,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     keys = ["space", "fp", "check"]
     distinct = saved(prints.groupBy(*keys).agg(F.min("doc_id").alias("v")), "near-distinct")
     alike = prints.join(distinct, keys).where("doc_id <> v").select(F.col("v").alias("a"), F.col("doc_id").alias("b"))
-    pairs = saved(contracted(alike.unionByName(vantage_links(distinct, RADIUS, CHECK_BITS))), "near-candidates")
+    pairs = saved(contracted(alike.unionByName(grouped_links(distinct, RADIUS, CHECK_BITS))), "near-candidates")
     drop_saved(prints)
     drop_saved(distinct)
     return pairs

@@ -23,6 +23,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache, partial, reduce
 
 import numpy as np
@@ -41,6 +42,8 @@ DEPTHS, INNER_BLOCKS = (2, 4, 8, 16, 32, 64), 8
 LEAF_ROWS, LEAF = 20_000, 1 << 16
 #: Distinct fingerprints that the vantage point and the first depth are chosen from, and candidates for it.
 SAMPLE_ROWS, CANDIDATES = 20_000, 64
+#: Blocks of each group of bits (``grouped_links``), and rows that the shard of a random row should hold at most.
+GROUP_BLOCKS, GROUP_ROWS = (1, 2, 4, 7, 11, 21), 1_000
 
 
 def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
@@ -271,17 +274,83 @@ def first_depth(sample: np.ndarray, n: int, radius: int, leaf_rows: int) -> int:
     return len(DEPTHS) - 2
 
 
+def sampled(prints: DataFrame) -> np.ndarray:
+    """Fingerprints of prints (space, fp, check) that hashes choose: SAMPLE_ROWS rows of 8 bytes at most."""
+    rows = prints.orderBy(F.xxhash64("space", "fp", "check"), "space", "fp", "check").select("fp").limit(SAMPLE_ROWS)
+    return rows.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+
+
+def most_of_a_space(prints: DataFrame) -> int:
+    return prints.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def group_masks(radius: int, blocks: int) -> list[list[int]]:
+    """The bits in radius + 1 disjoint groups, each in blocks (of a bit at least)."""
+    edges = [g * 64 // (radius + 1) for g in range(radius + 2)]
+    cuts = [[a + (b - a) * k // min(blocks, b - a) for k in range(min(blocks, b - a) + 1)] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [[((1 << (hi - lo)) - 1) << lo for lo, hi in zip(c[:-1], c[1:], strict=True)] for c in cuts]
+
+
+def group_blocks(sample: np.ndarray, n: int, radius: int, rows: int = GROUP_ROWS) -> int:
+    """The fewest blocks at which the shard of a random one of n rows is expected to hold so many rows at most, in every group."""
+    for blocks in GROUP_BLOCKS[:-1]:
+        pairs = 0
+        for masks in group_masks(radius, blocks):
+            far = np.column_stack([np.bitwise_count(sample & np.uint64(m)) for m in masks])
+            _, size = np.unique(far, axis=0, return_counts=True)
+            pairs = max(pairs, int((size * (size - 1)).sum()))
+        if n * pairs / max(1, len(sample) * (len(sample) - 1)) <= rows:
+            return blocks
+    return GROUP_BLOCKS[-1]
+
+
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
+def _in_groups(prints: DataFrame, vantage: int, blocks: int, radius: int) -> DataFrame:
+    """A row for each print and group: the shard is the path of its distances from the vantage point over the group's blocks."""
+    shards = []
+    for masks in group_masks(radius, blocks):
+        path = F.lit(0).cast("long")
+        for m in masks:
+            path = path * (m.bit_count() + 1) + F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(vantage))).bitwiseAND(F.lit(_signed(m))))
+        shards.append(path)
+    return prints.select("space", F.posexplode(F.array(*shards)).alias("group", "shard"), F.lit(True).alias("own"), "fp", "check", "v")
+
+
+def grouped_links(prints: DataFrame, radius: int, check_radius: int | None = None, leaf_rows: int = LEAF_ROWS, blocks: int | None = None) -> DataFrame:
+    """What ``vantage_links`` links, with radius + 1 rows a print at any number of prints, as no print visits another's shard.
+
+    The bits make radius + 1 groups. Distances within the radius leave a group without any difference, and there both prints have the same
+    distances from the vantage point in all blocks: they share that group's shard. A shard is joined exactly; what lies in shards of
+    over leaf_rows rows goes through ``vantage_links``.
+    """
+    sample = sampled(prints)
+    vantage = choose_vantage(sample)
+    if blocks is None:
+        blocks = group_blocks(sample ^ np.uint64(vantage), most_of_a_space(prints), radius)
+    keys, names = ["space", "group", "shard"], ["space", "fp", "check", "v"]
+    rows = _in_groups(prints, vantage, blocks, radius)
+    large = saved(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows).select(*keys), "large-shards")
+    if large.isEmpty():
+        return saved(shard_links(rows, radius, check_radius, keys).distinct(), "fingerprint-links")
+    found = saved(shard_links(rows.join(large, keys, "left_anti"), radius, check_radius, keys).distinct(), "shard-links")
+    rest = saved(rows.join(large, keys, "left_semi").select(*names).distinct(), "large-rows")
+    more = vantage_links(rest, radius, check_radius, leaf_rows)
+    drop_saved(rest)
+    return saved(found.unionByName(more).distinct(), "fingerprint-links")
+
+
 def vantage_links(prints: DataFrame, radius: int, check_radius: int | None = None, leaf_rows: int = LEAF_ROWS, depth: int | None = None) -> DataFrame:
     """Links (a, b) of the vertices v of distinct prints (space, fp, check, v): those joined by links within the radius in some space, and no others.
 
     Each shard joins what it links to the least vertex of them, so that shards and spaces tell the same links.
     """
-    # SAMPLE_ROWS rows of 8 bytes at most
-    sample = prints.orderBy(F.xxhash64("space", "fp", "check"), "space", "fp", "check").select("fp").limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = sampled(prints)
     vantage = choose_vantage(sample)
     if depth is None:
-        most = prints.groupBy("space").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        depth = first_depth(sample ^ np.uint64(vantage), most, radius, leaf_rows)
+        depth = first_depth(sample ^ np.uint64(vantage), most_of_a_space(prints), radius, leaf_rows)
     names = ["space", "fp", "check", "v"]
     rows, found = saved(_dealt(prints.select(*names), vantage, DEPTHS[depth], radius, False), "shard-rows"), []
     while True:
@@ -300,8 +369,8 @@ def vantage_links(prints: DataFrame, radius: int, check_radius: int | None = Non
     return saved(reduce(DataFrame.unionByName, found).distinct(), "fingerprint-links")
 
 
-def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -> DataFrame:
-    """Links (a, b) of vertices: for each shard, every vertex that its exact links join to others, with the least of them."""
+def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None, keys: Sequence[str] = ("space", "shard")) -> DataFrame:
+    """Links (a, b) of vertices: for each shard (of one value of keys), every vertex that its exact links join to others, with the least of them."""
     kind = dict(rows.dtypes)["v"]
 
     def solve(own: np.ndarray, fp: np.ndarray, check: np.ndarray, v: pa.Array):
@@ -328,13 +397,13 @@ def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -
                 yield pa.RecordBatch.from_arrays([found[1], found[0]], ["a", "b"])
 
         for batch in batches:
-            space, shard, fp, check = (batch.column(c).to_numpy() for c in ("space", "shard", "fp", "check"))
-            own = batch.column("own").to_numpy(zero_copy_only=False)
-            if not len(shard):
+            fp, check = (batch.column(c).to_numpy() for c in ("fp", "check"))
+            own, names = batch.column("own").to_numpy(zero_copy_only=False), [batch.column(c).to_numpy() for c in keys]
+            if not len(fp):
                 continue
-            new = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (space[1:] != space[:-1]))))
-            for i, j in zip(new, np.append(new[1:], len(shard)), strict=True):
-                this = (space[i], shard[i])
+            new = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in names], axis=0))))
+            for i, j in zip(new, np.append(new[1:], len(fp)), strict=True):
+                this = tuple(x[i] for x in names)
                 if held and this != key:
                     yield from flush()
                     held = []
@@ -343,7 +412,6 @@ def shard_links(rows: DataFrame, radius: int, check_radius: int | None = None) -
         if held:
             yield from flush()
 
-    keys = ["space", "shard"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}").where("a <> b")
 
 
