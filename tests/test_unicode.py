@@ -2,6 +2,7 @@
 
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,3 +25,14 @@ def test_json_and_clocks(spark):
     with pytest.raises(Exception, match="not finite"):
         df.select(X.strict_json("b", "a").alias("j"), F.lit(1)).unionAll(spark.createDataFrame([(float("nan"), 1)], "a double, b int").select(X.strict_json("b", "a"), F.lit(1))).collect()
     assert [r[0] for r in spark.createDataFrame([(0.0,), (61.239,), (3599.999,), (3600.5,)], "s double").select(X.clock_fine(F.col("s"))).collect()] == ["0:00.00", "1:01.23", "59:59.99", "60:00.50"]
+
+
+def test_spans_come_in_bounded_batches(spark):
+    texts = ["Ａb é" * 30, None, "", "ﬁx ß" * 10] * 20
+    rows = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    got = list(U.span_batches([rows, rows.slice(0, 0)], "text", 200))
+    assert len(got) > 5 and all(sum(map(len, b.column("text").to_pylist())) < 200 + 120 for b in got)
+    want = [(k, t, [a for a, _ in s], [b for _, b in s]) for k, (t, s) in enumerate(U.normalize_with_spans(t or "") for t in texts)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert sorted(tuple(r) for r in U.with_normalized_spans(df).collect()) == want
