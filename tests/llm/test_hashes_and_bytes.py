@@ -1,7 +1,9 @@
 """Texts built so that sums of hashes would cancel: op3's segments, op8's words, language slices, whole rows of op8."""
 
+import glob
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -156,3 +158,17 @@ def test_scripts_of_three_bytes_give_as_many_slices(spark):
     for lang, each in (("aa", 100), ("ru", 100), ("ja", 99)):
         slices = got[lang].decode().split(" ")
         assert len(slices) == 60 and {len(s.encode()) for s in slices} == {each}
+
+
+def test_segments_leave_no_shuffle_files(spark):
+    """What the segments were shuffled through is gone before the texts are shuffled."""
+    place = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in place for p in glob.glob(f"{d}/*/shuffle_*")}
+    before = files()
+    docs = spark.createDataFrame([(i, 0, f"{i % 5} " + "some words " * 30) for i in range(40)], "doc long, row long, text string")
+    found = substring_dedup.repeated_spans(docs, shards=4)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and found.count() > 30
