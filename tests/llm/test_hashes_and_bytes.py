@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import docstats, language, packing, substring_dedup, toxicity
 
@@ -172,3 +173,19 @@ def test_segments_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and found.count() > 30
+
+
+def test_segments_of_hot_keys_do_not_go_window_by_window(spark, monkeypatch):
+    """A passage in many texts, each with edges of its own: what is stored of them grows with their bytes, not with their windows times the length."""
+    rng = random.Random(9)
+    part = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = part(300)
+    rows = [(i, part(120) + passage + part(120)) for i in range(400)]
+    stored, keep = [], substring_dedup.saved
+    monkeypatch.setattr(substring_dedup, "saved", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    monkeypatch.setattr(substring_dedup, "drop_saved", lambda df: None)
+    assert found(spark, rows, hot_segments=50, shards=4) == without(rows)
+    size = sum(df.where(F.col("kind") != substring_dedup.REMOVED).agg(F.sum(F.length("data"))).first()[0] or 0 for df in stored)
+    edges = 400 * 2 * 200
+    windows = 400 * 2 * 34 * (100 + substring_dedup.SEGMENT.itemsize)
+    assert edges < size < windows // 2, (edges, size, windows)

@@ -15,12 +15,13 @@ on the input, and never cross documents.
    with their common prefixes; neighbours that share ``length`` bytes or more are equal
    windows, of which all but the first are removed.
 
-A key with more than ``hot_segments`` different segments is cut into its single
-windows, combined in each task and keyed by the window itself, so that no key grows with the corpus.
+The segments of a key with more than ``hot_segments`` different ones are cut and met again by wider grams (steps 1 and 2
+over those segments), as often as a key has so many, at last window by window, so that no key grows with the corpus.
+Each cut makes a few segments of one, where its single windows would be some 30 times its bytes.
 The number of shards follows the number of the input's partitions.
 
-Segments of one key are equal where their sizes and the 128 bits of a cryptographic digest (BLAKE2b) of all their bytes are;
-windows of hot keys where their bytes are. A shard's pieces, its text and its order are on the task's disk, not in its
+Segments of one key are equal where their sizes and the 128 bits of a cryptographic digest (BLAKE2b) of all their bytes are.
+A shard's pieces, its text and its order are on the task's disk, not in its
 memory; what is in memory is 48 bytes for each piece.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; rows
@@ -35,6 +36,7 @@ import hashlib
 import os
 import shutil
 import tempfile
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +44,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import saved, table, text_blocks
+from textloom.llm.common import drop_saved, saved, table, text_blocks
 from textloom.llm.induced import MEMORY_ROWS, sorted_suffixes
 
 #: Wide grams: short ones that many texts hold would be the key of many different segments.
 LENGTH, GRAM = 100, 32
-#: Different segments of one key above which its windows are keyed one by one.
+#: Different segments of one key above which they are cut again by wider grams.
 HOT_SEGMENTS = 4_000
 #: Shards at most: beyond it they grow in size, and the queues of a shard on disk, not in number.
 MAX_SHARDS = 100_000
-#: Segments that a task of step 1 combines at a time, and windows of hot keys.
+#: Segments that a task of step 1 combines at a time.
 COMBINE_ROWS = 1 << 20
+#: Bytes of segments that leave a task together, and of those of hot keys that it cuts at a time.
+PIECE_BYTES, HOT_BYTES = 8 << 20, 2 << 20
 
 #: doc and row name a document: its id and, with the highest bit set, 63 bits of its text's hash; without an id two hashes of its text, that bit clear.
 SEGMENT = np.dtype([("key", "<u8"), ("code", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u4"), ("row", "<u8")])
@@ -98,7 +102,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, off: np.ndarray, docs: np.ndarray, rows: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The segments of a block of documents, and for each whether it may hold a window twice."""
+    """The segments of a block of documents, and for each whether it may hold a window twice. With grams of the whole length each window is one."""
     n = len(raw)
     if n < length:
         return np.zeros(0, SEGMENT), np.zeros(0, bool)
@@ -108,7 +112,7 @@ def segments(raw: np.ndarray, off: np.ndarray, docs: np.ndarray, rows: np.ndarra
     windows = n - length + 1
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:windows]
     ok = np.arange(windows) + length <= off[1:][doc]
-    change = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1]))
+    change = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1] | (gram == length)))
     first = np.flatnonzero(change & ok)
     if not len(first):
         return np.zeros(0, SEGMENT), np.zeros(0, bool)
@@ -252,72 +256,122 @@ def meet_by_key(pieces: DataFrame, shards: int, hot_segments: int) -> DataFrame:
     return pieces.repartition(shards, "place").mapInArrow(run, ROW_SCHEMA)
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, length: int, shards: int) -> DataFrame:
-    """The bytes of the wanted segments by shard of their keys, and spans that hot windows lose in a task.
+def wider_grams(length: int, gram: int) -> list[int]:
+    """Grams for the cuts of hot keys' segments; the last is the whole window."""
+    out, rest = [], length - gram
+    while not out or rest:
+        rest //= 3
+        out.append(length - rest)
+    return out
 
-    A piece is its SEGMENT (size: its bytes) and those bytes.
-    """
+
+def with_bytes(kind: int, seg: np.ndarray, flags: np.ndarray, texts: list[bytes], shards: int) -> pa.RecordBatch:
+    """A row for each shard that seg has keys of: how many segments, those (size: their bytes), of HOT ones a byte each with its flag, and their bytes."""
+    place = (seg["key"] * _ODD >> np.uint64(33)).astype(np.int64) % shards
+    order = np.argsort(place, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1]))) if len(seg) else np.zeros(0, np.int64)
+    datas = []
+    for i, j in zip(head, np.append(head[1:], len(seg))[: len(head)], strict=True):
+        own = order[i:j]
+        marks = flags[own].astype(np.uint8).tobytes() if kind == HOT else b""
+        datas.append(len(own).to_bytes(4, "little") + seg[own].tobytes() + marks + b"".join(texts[k] for k in own))
+    return _batch(kind, place[order][head], np.zeros(len(head)), np.zeros(len(head)), datas)
+
+
+def cut_again(seg: np.ndarray, texts: list[bytes], length: int, gram: int, shards: int) -> list[pa.RecordBatch]:
+    """Step 1 over segments of hot keys, by wider grams: spans to remove, and one of each content with its bytes."""
+    raw = b"".join(texts)
+    off = np.concatenate(([0], np.cumsum(seg["size"].astype(np.int64))))
+    sub, flags = segments(np.frombuffer(raw, np.uint8), off, np.arange(len(seg)), np.zeros(len(seg), np.uint64), length, gram)
+    own = sub["doc"].copy()
+    at = off[own] + sub["start"]
+    sub["doc"], sub["row"] = seg["doc"][own], seg["row"][own]
+    sub["start"] += seg["start"][own]
+    order = placed(sub)
+    sub, flags, at = sub[order], flags[order], at[order]
+    new = firsts(sub)
+    gone, sub, flags, at = sub[repeats_of_first(sub, new)], sub[new], flags[new], at[new]
+    return [by_document(REMOVED, gone, shards), with_bytes(HOT, sub, flags, [raw[i : i + n] for i, n in zip(at.tolist(), sub["size"].tolist(), strict=True)], shards)]
+
+
+def fetch(docs: DataFrame, wanted: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
+    """The bytes of the wanted segments by shard of their keys; those of hot keys cut by grams of gram bytes, and what they lose in a task."""
     lists = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "data")).alias("parts"))
-    # all columns of docs go along, so that the last join takes the same shuffle of the texts again
-    joined = docs.join(lists, ["doc", "row"]).select(*docs.columns, "parts")
-
-    def emit(seg: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
-        place = (seg["key"] * _ODD >> np.uint64(33)).astype(np.int64) % shards
-        order = np.argsort(place, kind="stable")
-        head = np.flatnonzero(np.concatenate(([True], place[order][1:] != place[order][:-1]))) if len(seg) else np.zeros(0, np.int64)
-        datas = [len(order[i:j]).to_bytes(4, "little") + seg[order[i:j]].tobytes() + b"".join(texts[k] for k in order[i:j]) for i, j in zip(head, np.append(head[1:], len(seg))[: len(head)], strict=True)]
-        return _batch(PIECES, place[order][head], np.zeros(len(head)), np.zeros(len(head)), datas)
-
-    def combine(hot: list) -> list[pa.RecordBatch]:
-        seg = np.concatenate([s for s, _ in hot])
-        texts = np.concatenate([t for _, t in hot])
-        hot.clear()
-        order = placed(seg)
-        seg, texts = seg[order], texts[order]
-        new = firsts(seg)
-        # windows are removed where their bytes are those of the first; others of its hash go on, too
-        head = np.maximum.accumulate(np.where(new, np.arange(len(seg)), 0))
-        other = (texts != texts[head]).any(axis=1)
-        on = new | other
-        return [by_document(REMOVED, seg[repeats_of_first(seg, new) & ~other], shards), emit(seg[on], [t.tobytes() for t in texts[on]])]
+    joined = docs.join(lists, ["doc", "row"]).select("text", "parts")
+
+    def leave(kind: int, held: list, texts: list[bytes]) -> list[pa.RecordBatch]:
+        seg = np.concatenate(held)
+        out = cut_again(seg, texts, length, gram, shards) if kind == HOT else [with_bytes(PIECES, seg, np.zeros(0, bool), texts, shards)]
+        held.clear()
+        texts.clear()
+        return out
 
     def run(batches):
-        hot, n_hot, cold, texts, n_cold = [], 0, [], [], 0
+        held, texts, size, most = {PIECES: [], HOT: []}, {PIECES: [], HOT: []}, {PIECES: 0, HOT: 0}, {PIECES: PIECE_BYTES, HOT: HOT_BYTES}
         for b in batches:
-            for doc, row, text, parts in zip(*(b.column(c) for c in ("doc", "row", "text", "parts")), strict=True):
+            for text, parts in zip(b.column("text"), b.column("parts"), strict=True):
                 raw = (text.as_py() or "").encode()
                 for p in parts.as_py():
-                    seg = np.frombuffer(p["data"], SEGMENT)
-                    if p["kind"] == PIECES:
-                        cold.append(seg)
-                        texts += [raw[s["start"] : int(s["start"]) + int(s["size"])] for s in seg]
-                        n_cold += int(seg["size"].sum())
-                        continue
-                    flat = np.frombuffer(raw, np.uint8)
-                    for s in seg:
-                        begin, count = int(s["start"]), int(s["size"]) - length + 1
-                        views = np.lib.stride_tricks.sliding_window_view(flat[begin : begin + int(s["size"])], length)
-                        # a window's key and code are hashes of all of its bytes
-                        w = np.zeros(count, SEGMENT)
-                        whole = gram_hashes(flat[begin : begin + int(s["size"])], length)[:count]
-                        w["key"], w["code"] = whole, whole * _MIX ^ gram_hashes(flat[begin + 1 : begin + int(s["size"])], length - 1)[:count]
-                        w["doc"], w["row"], w["start"], w["size"] = s["doc"], s["row"], begin + np.arange(count), length
-                        hot.append((w, np.ascontiguousarray(views)))
-                        n_hot += count
-                if n_cold >= 8 << 20:
-                    yield emit(np.concatenate(cold), texts)
-                    cold, texts, n_cold = [], [], 0
-                if n_hot >= COMBINE_ROWS // 8:
-                    yield from combine(hot)
-                    n_hot = 0
-        if cold:
-            yield emit(np.concatenate(cold), texts)
-        if hot:
-            yield from combine(hot)
+                    kind, seg = p["kind"], np.frombuffer(p["data"], SEGMENT)
+                    held[kind].append(seg)
+                    texts[kind] += [raw[i : i + n] for i, n in zip(seg["start"].tolist(), seg["size"].tolist(), strict=True)]
+                    size[kind] += int(seg["size"].sum())
+                    if size[kind] >= most[kind]:
+                        yield from leave(kind, held[kind], texts[kind])
+                        size[kind] = 0
+        for kind in (PIECES, HOT):
+            if held[kind]:
+                yield from leave(kind, held[kind], texts[kind])
 
     return joined.mapInArrow(run, ROW_SCHEMA)
 
 
+def meet_again(pieces: DataFrame, length: int, gram: int | None, shards: int, hot_segments: int) -> DataFrame:
+    """Step 2 over segments of hot keys and their bytes, which are on the task's disk: what is hot still is cut by grams of gram bytes (None: nothing is)."""
+
+    def run(batches):
+        folder = tempfile.mkdtemp(prefix="hot-")
+        try:
+            held, path = [], os.path.join(folder, "text")
+            with open(path, "wb") as out:
+                for b in batches:
+                    for data in b.column("data"):
+                        data = data.as_py()
+                        n = int.from_bytes(data[:4], "little")
+                        held.append(_unpack(data[4 : 4 + n * (SEGMENT.itemsize + 1)]))
+                        out.write(data[4 + n * (SEGMENT.itemsize + 1) :])
+            if not held:
+                return
+            seg, flags = np.concatenate([s for s, _ in held]), np.concatenate([f for _, f in held])
+            held.clear()
+            at = np.cumsum(seg["size"].astype(np.int64)) - seg["size"]
+            order = placed(seg)
+            seg, flags, at = seg[order], flags[order], at[order]
+            new = firsts(seg)
+            yield by_document(REMOVED, seg[repeats_of_first(seg, new)], shards)
+            seg, flags, at = seg[new], flags[new], at[new]
+            head = np.flatnonzero(np.concatenate(([True], seg["key"][1:] != seg["key"][:-1])))
+            size = np.diff(np.append(head, len(seg)))
+            contents = np.repeat(size, size)
+            hot = contents > hot_segments if gram is not None else np.zeros(len(seg), bool)
+            with open(path, "rb") as found:
+                for kind, chosen, most in ((PIECES, ((contents > 1) | flags) & ~hot, PIECE_BYTES), (HOT, hot, HOT_BYTES)):
+                    picked = np.flatnonzero(chosen)
+                    block = np.cumsum(seg["size"][picked].astype(np.int64)) // most
+                    for own in np.split(picked, np.flatnonzero(np.diff(block)) + 1):
+                        if not len(own):
+                            continue
+                        texts = []
+                        for i, n in zip(at[own].tolist(), seg["size"][own].tolist(), strict=True):
+                            found.seek(i)
+                            texts.append(found.read(n))
+                        yield from cut_again(seg[own], texts, length, gram, shards) if kind == HOT else [with_bytes(PIECES, seg[own], flags[own], texts, shards)]
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+
+    return pieces.repartition(shards, "place").mapInArrow(run, ROW_SCHEMA)
+
+
 def shard_text(pieces, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pieces' segments, where each begins, the text) of a shard; the text is on disk, a piece at a time is in memory.
 
@@ -416,12 +470,8 @@ def order_shards(pieces: DataFrame, length: int, shards: int) -> DataFrame:
         folder, places = tempfile.mkdtemp(prefix="shards-"), set()
         try:
             for b in batches:
-                kind = b.column("kind").to_numpy()
-                gone = np.flatnonzero(kind == REMOVED)
-                if len(gone):
-                    yield b.take(pa.array(gone))
-                for i in np.flatnonzero(kind == PIECES):
-                    place, data = b.column("place")[int(i)].as_py(), b.column("data")[int(i)].as_py()
+                for place, data in zip(b.column("place"), b.column("data"), strict=True):
+                    place, data = place.as_py(), data.as_py()
                     places.add(place)
                     with open(os.path.join(folder, str(place)), "ab") as out:
                         out.write(len(data).to_bytes(8, "little") + data)
@@ -442,8 +492,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
         # a multiple of the input's own partitions: a shard is of the order of what a task reads
         shards = min(MAX_SHARDS, max(16, 4 * docs.rdd.getNumPartitions()))
     met = saved(meet_by_key(cut_documents(docs, length, gram, shards), shards, hot_segments), "segments")
-    wanted = met.where(F.col("kind") != REMOVED)
-    hidden = order_shards(fetch(docs, wanted, length, shards), length, shards)
+    # texts are shuffled again at the end: what they and the shards are shuffled through isn't on disk at the same time
+    grams = wider_grams(length, gram)
+    levels = [saved(fetch(docs, met.where(F.col("kind") != REMOVED), length, grams[0], shards), "pieces")]
+    for wider in (*grams[1:], None):
+        hot = levels[-1].where(F.col("kind") == HOT)
+        if hot.isEmpty():
+            break
+        levels.append(saved(meet_again(hot, length, wider, shards, hot_segments), "pieces"))
+    found = reduce(DataFrame.unionByName, levels)
+    hidden = saved(order_shards(found.where(F.col("kind") == PIECES), length, shards).unionByName(found.where(F.col("kind") == REMOVED)), "spans")
+    for level in levels:
+        drop_saved(level)
     spans = met.where(F.col("kind") == REMOVED).select("doc", "row", "data").unionByName(hidden.select("doc", "row", "data"))
     return spans.groupBy("doc", "row").agg(F.collect_list("data").alias("spans"))
 
