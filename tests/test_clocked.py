@@ -135,3 +135,22 @@ def test_packets_of_any_pieces():
         _, out = segments.stepped(segments.packet_step(16), segments.Packets(), pieces)
         want = [samples[k : k + 16] for k in range(0, len(samples), 16)] or [[]]
         assert out == [(k, w, k == len(want) - 1) for k, w in enumerate(want)]
+
+
+def test_sessions_share_the_calls_of_their_bucket(spark, tmp_path):
+    """Sessions of several files a micro-batch: as at hand, and the store has a key for each bucket, not for each session."""
+    from textloom.streaming.run import in_parts
+
+    rng = random.Random(12)
+    stamp = lambda s: T0 + datetime.timedelta(seconds=s)
+    rows = [(f"u{rng.randrange(300)}", stamp(rng.randrange(900)), rng.choice([k, k, k + (1 << 40), None]), rng.random() < 0.5) for k in range(2000)]
+    df = spark.createDataFrame(rows, "session string, ts timestamp, id long, answer boolean").repartition(6)
+    rule, place = C.request_rule(60 * SECOND), f"file://{tmp_path}/place"
+    stream = in_parts(df, "ts", 3, "bucket-rows", tick="1 day", files=4)
+    assert stream.isStreaming
+    out = drained(C.clocked(stream, rule, "session", "ts", ["answer", "id"], ["id", "answer"], buckets=8), "append", "buckets", place=place, settings=C.STATE_STORE | {"spark.sql.shuffle.partitions": "2"})
+    want = C.clocked_rows(df, rule, "session", "ts", ["answer", "id"], ["id", "answer"])
+    plain = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    assert plain(out.drop("batch")) == plain(want)
+    with_states = spark.read.format("statestore").option("stateVarName", "waiting").option("batchId", 1).load(f"{place}/state")
+    assert 0 < with_states.count() <= 8

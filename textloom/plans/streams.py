@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from textloom.plans import ordered, relational  # noqa: F401 (their oracles)
 from textloom.plans.ordered import _tumbling
 from textloom.plans.registry import ORACLES, query
-from textloom.sources.shared import shared_path
+from textloom.sources.shared import shared_path, stored
 from textloom.operators import sketches as K
 from textloom.streaming import clocked as C
 from textloom.streaming.run import coalesced_previews, drained, in_parts, saved_revisions, stream_of
@@ -163,9 +163,10 @@ HOUR = 3_600_000_000
 
 
 def _clocked(spark, rows, rule, order, columns, name):
-    found = C.clocked(in_parts(rows, "ts", 3, name, tick="400 days"), rule, "session", "ts", order, columns)
+    most, own = int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()
+    found = C.clocked(in_parts(rows, "ts", 3, name, tick="400 days", files=min(most, own)), rule, "session", "ts", order, columns)
     # a state's partitions are for good, and each costs a store and a worker in every micro-batch: as many as the input has, or a few
-    wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, rows.rdd.getNumPartitions()))
+    wanted = min(most, max(8, own))
     return drained(found, "append", name, settings=C.STATE_STORE | {"spark.sql.shuffle.partitions": str(wanted)}).drop("batch")
 
 
@@ -218,7 +219,8 @@ def stream_timeouts(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     sent = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("sent"))
     answers = orders.join(sent, "id").where("sent >= ts").groupBy("session", "id").agg(F.min("sent").alias("ts")).withColumn("answer", F.lit(True))
-    rows = orders.withColumn("answer", F.lit(False)).unionByName(answers)
+    # the joins run once, not for each part
+    rows = stored(orders.withColumn("answer", F.lit(False)).unionByName(answers), "timeout-rows")
     return _clocked(spark, rows, C.request_rule(60 * 24 * HOUR), ["answer", "id"], ["id", "answer"], "timeouts")
 
 

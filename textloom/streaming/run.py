@@ -38,22 +38,31 @@ def session_settings(spark: SparkSession, settings: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def in_parts(df: DataFrame, time: str, parts: int, name: str, tick: str | None = None) -> DataFrame:
+def in_parts(df: DataFrame, time: str, parts: int, name: str, tick: str | None = None, files: int = 1) -> DataFrame:
     """df as a stream that arrives in parts, a micro-batch each, in the order of a timestamp; rows of one time come together.
 
-    With tick (an interval), a last row that is null but for its time, that much after all others, moves the clock on.
+    A part is that many files, so that as many tasks write and read it (empty ones where it has too few rows). With tick (an interval), a last row that is null but for its time, that much after all others, moves the clock on.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     low, high = df.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
+    none = df.limit(0).coalesce(1)
+
+    def filled(rows: DataFrame, before: int) -> int:
+        rows.write.mode("append").parquet(path)
+        for _ in range(before + files - len(spark.read.parquet(path).inputFiles()) if files > 1 else 0):
+            none.write.mode("append").parquet(path)
+        return before + files
+
+    n = 0
     at, step = F.unix_micros(F.col(time)), 1 if low is None else (high - low) // parts + 1
     for k in range(parts if low is not None else 0):
-        df.where((at >= low + k * step) & (at < low + (k + 1) * step)).coalesce(1).write.mode("append").parquet(path)
+        n = filled(df.where((at >= low + k * step) & (at < low + (k + 1) * step)).coalesce(files), n)
     if tick is not None and low is not None:
         late = F.timestamp_micros(F.lit(high)) + F.expr(f"INTERVAL {tick}")
-        spark.range(1).select(*((late if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema)).write.mode("append").parquet(path)
-    df.limit(0).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        filled(spark.range(1).coalesce(1).select(*((late if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema)), n)
+    none.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] | None = None, place: str | None = None, fingerprint: str | None = None, settings: dict[str, str] | None = None, emits: str | None = None) -> DataFrame:
